@@ -15,7 +15,6 @@ reported; a null item_id is left out; an empty benchmark contaminates nothing.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import ahocorasick

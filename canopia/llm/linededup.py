@@ -29,7 +29,7 @@ from canopia.llm.common import SPACES, cut, table
 MIN_CHARS, MIN_DOCS = 40, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-STREAMED = "h1 long, h2 long, doc_id long, same long, pos int, settled boolean"
+STREAMED = "h1 long, h2 long, doc_id long, same long, pos int, state int"
 
 
 def line_key(line):
@@ -43,6 +43,10 @@ def long_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return keyed.where(F.length("key") >= min_chars).select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "same", "pos")
 
 
+#: States of a streamed row: still open, to be dropped, or a mark that a document holds the hash.
+OPEN, DROP, MARK = 0, 1, 2
+
+
 class _Run:
     """The rows of one hash in a partition, in order; holds rows only until enough documents are seen."""
 
@@ -52,33 +56,34 @@ class _Run:
         self.held: list[np.ndarray] = []
 
     def feed(self, rows: np.ndarray):
-        if self.first:  # may go on from the partition before
-            yield rows, False
-            return
-        if len(self.seen) < self.min_docs:
+        complete = len(self.seen) >= self.min_docs
+        if not complete:
             new = np.concatenate(([True], rows[1:, 2] != rows[:-1, 2]))
             if self.seen and self.seen[-1][2] == rows[0, 2]:
                 new[0] = False
             self.seen += list(rows[np.flatnonzero(new)[: self.min_docs - len(self.seen)]])
+        if self.first:  # may go on from the partition before
+            yield rows, OPEN
+            return
+        if not complete:
             self.held.append(rows)
             if len(self.seen) < self.min_docs:
                 return
             rows, self.held = np.concatenate(self.held), []
-        yield rows[rows[:, 2] != self.seen[0][2]], True
+        yield rows[rows[:, 2] != self.seen[0][2]], DROP
 
-    def end_partition(self):
-        if self.held:
-            yield np.concatenate(self.held), False
-        elif not self.first:  # its documents count for what the next partition holds
-            marks = np.array(self.seen)
-            marks[:, 4] = -1
-            yield marks, False
+    def end(self, partition: bool):
+        """What a hash that another partition may share leaves behind: its held rows and a few marks."""
+        if self.held and partition:
+            yield np.concatenate(self.held), OPEN
+        if self.first or partition:
+            yield np.array(self.seen), MARK
 
 
 def _stream(min_docs: int):
-    def batch_of(rows: np.ndarray, settled: bool):
-        columns = [pa.array(rows[:, k]) for k in range(4)] + [pa.array(rows[:, 4].astype(np.int32)), pa.array(np.full(len(rows), settled))]
-        return pa.RecordBatch.from_arrays(columns, ["h1", "h2", "doc_id", "same", "pos", "settled"])
+    def batch_of(rows: np.ndarray, state: int):
+        columns = [pa.array(rows[:, k]) for k in range(4)] + [pa.array(rows[:, 4].astype(np.int32)), pa.array(np.full(len(rows), state, np.int32))]
+        return pa.RecordBatch.from_arrays(columns, ["h1", "h2", "doc_id", "same", "pos", "state"])
 
     def run(batches):
         open_run, last = None, None
@@ -94,14 +99,13 @@ def _stream(min_docs: int):
             for k in np.flatnonzero(at_edge | (ends - starts >= min_docs)).tolist():
                 part = rows[starts[k] : ends[k]]
                 if open_run is None or (last != part[0, :2]).any():
+                    if open_run is not None:
+                        yield from (batch_of(*x) for x in open_run.end(False))
                     open_run = _Run(open_run is None, min_docs)
-                for out, settled in open_run.feed(part):
-                    if len(out):
-                        yield batch_of(out, settled)
+                yield from (batch_of(*x) for x in open_run.feed(part) if len(x[0]))
                 last = part[-1, :2]
         if open_run is not None:
-            for out, settled in open_run.end_partition():
-                yield batch_of(out, settled)
+            yield from (batch_of(*x) for x in open_run.end(True))
 
     return run
 
@@ -113,11 +117,11 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     order = ["h1", "h2", F.desc("doc_id"), "same", "pos"]
     streamed = cut(lines.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_stream(min_docs), STREAMED))
-    open_rows = streamed.where("NOT settled")
-    # at most the first and the last hash of each partition
-    verdict = open_rows.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
-    late = open_rows.join(F.broadcast(verdict), ["h1", "h2"]).where("doc_id <> keeper AND pos >= 0")
-    return streamed.where("settled").select("doc_id", "same", "pos").unionByName(late.select("doc_id", "same", "pos"))
+    # at most min_docs marks from the first and the last hash of each partition, and as many hashes
+    marks = streamed.where(F.col("state") == MARK)
+    verdict = marks.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
+    late = streamed.where(F.col("state") == OPEN).join(F.broadcast(verdict), ["h1", "h2"]).where("doc_id <> keeper")
+    return streamed.where(F.col("state") == DROP).select("doc_id", "same", "pos").unionByName(late.select("doc_id", "same", "pos"))
 
 
 def pack(positions) -> bytes:

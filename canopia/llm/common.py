@@ -56,25 +56,28 @@ def is_held_out(column, parts: int, rest: int):
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b), both long; component is the smallest node reachable.
 
-    Each round hooks every node to its smallest neighbour, follows that pointer
-    once more and contracts the edges, so the edge list shrinks by at least the
-    nodes that are no local minimum; rounds grow with the logarithm of the
-    longest chain. Minima are partial aggregates, and joins against a hot node
-    are plain equi-joins that the adaptive planner splits.
+    Each round hooks every node to its smallest neighbour, follows the pointers
+    to their roots by doubling and contracts the edges to the roots, so only
+    local minima are left; both loops grow with the logarithm of the longest
+    chain. Minima are partial aggregates, and joins against a hot node are plain
+    equi-joins that the adaptive planner splits.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     labels = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("up"))
-        top = hook.select(F.col("a").alias("up"), F.col("up").alias("upper"))
-        hook = cut(hook.join(top, "up", "left").select("a", F.coalesce("upper", "up").alias("up")))
+        hook, moved = cut(hook), True
+        while moved:
+            top = hook.select(F.col("a").alias("up"), F.col("up").alias("upper"))
+            step = cut(hook.join(top, "up").select("a", F.col("upper").alias("up"), (F.col("upper") < F.col("up")).alias("moved")))
+            hook, moved = step.select("a", "up"), not step.where("moved").isEmpty()
         if labels is None:
             labels = hook.select(F.col("a").alias("node"), F.col("up").alias("component"))
         else:
             labels = labels.join(hook, labels.component == hook.a, "left").select("node", F.coalesce("up", "component").alias("component"))
         labels = cut(labels)
         up_b = hook.select(F.col("a").alias("b"), F.col("up").alias("up_b"))
-        moved = edges.join(hook, "a").join(up_b, "b").where("up <> up_b")
-        edges = cut(moved.select(F.greatest("up", "up_b").alias("a"), F.least("up", "up_b").alias("b")).distinct())
+        apart = edges.join(hook, "a").join(up_b, "b").where("up <> up_b")
+        edges = cut(apart.select(F.greatest("up", "up_b").alias("a"), F.least("up", "up_b").alias("b")).distinct())
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -167,12 +167,12 @@ def links(fps: DataFrame, tau: int = 4, heavy: int = HEAVY) -> DataFrame:
     parts = plan(fps, tau)
     for g, (bits, e) in enumerate(parts):
         # the constant keeps partitions apart; a clash only costs a verification
-        own = F.col("fp").bitwiseAND(F.lit(_mask(bits))).bitwiseXOR(F.lit(_signed(0x9E3779B97F4A7C15 * (g + 1) % (1 << 64))))
-        index.append(F.struct(F.lit(g).alias("g"), own.alias("key")))
-        flips = [_mask(c) for k in range(e + 1) for c in itertools.combinations(bits, k)]
-        probe += [F.struct(F.lit(g).alias("g"), own.bitwiseXOR(F.lit(x)).alias("key")) for x in flips]
-    left = fps.select("fp", F.explode(F.array(*probe)).alias("p")).select("p.g", "p.key", F.col("fp").alias("a"))
-    right = fps.select("fp", F.explode(F.array(*index)).alias("p")).select("p.g", "p.key", F.col("fp").alias("b"))
+        salt = _signed(0x9E3779B97F4A7C15 * (g + 1) % (1 << 64))
+        own = f"(fp & {_mask(bits)}L ^ {salt}L)"
+        index.append(f"struct({g} AS g, {own} AS key)")
+        probe += [f"struct({g} AS g, {own} ^ {_mask(c)}L AS key)" for k in range(e + 1) for c in itertools.combinations(bits, k)]
+    left = fps.select("fp", F.expr(f"explode(array({', '.join(probe)})) AS p")).select("p.g", "p.key", F.col("fp").alias("a"))
+    right = fps.select("fp", F.expr(f"explode(array({', '.join(index)})) AS p")).select("p.g", "p.key", F.col("fp").alias("b"))
     crowded = cut(right.groupBy("g", "key").count().where(F.col("count") > heavy).select("g", "key", F.lit(True).alias("crowded")))
     if not crowded.isEmpty():
         left, right = (_split(x, c, crowded, parts, tau) for x, c in ((left, "a"), (right, "b")))

@@ -2,19 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canopia.operators import geometry, store
 from canopia.sources.tables import view
 
+LABELS = ("weed", "crop", "soil", "debris")
+SINCE = "1998-01-01"
+_NEWEST = "ROW_NUMBER() OVER (PARTITION BY plant_id, image_id ORDER BY image_timestamp DESC, measurement_id DESC) = 1"
+_TERMINAL = ", ".join(f"'{x}'" for x in store.TERMINAL)
+_PENDING = f"p AS (SELECT * FROM measurements m WHERE NOT EXISTS (SELECT 1 FROM decisions d WHERE d.measurement_id = m.measurement_id AND d.action IN ({_TERMINAL})))"
+_BED, _CIRCLES, _BOXES = (0.0, 0.0, 3000.0, 1500.0), [(1500.0, 750.0, 200.0)], [(200.0, 200.0, 600.0, 500.0)]
+_ZONED = "SELECT *, CASE WHEN NOT (x BETWEEN 0 AND 3000 AND y BETWEEN 0 AND 1500) THEN 'outside' WHEN (x - 1500) * (x - 1500) + (y - 750) * (y - 750) <= 40000 OR (x BETWEEN 200 AND 600 AND y BETWEEN 200 AND 500) THEN 'excluded' ELSE 'permitted' END AS verdict"
 
-def training_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """agg3: samples of each label of the fixed list, zeros included."""
-    labels = spark.createDataFrame([(x,) for x in ("weed", "crop", "soil", "debris")], "label string")
-    counts = view(spark, sf_dir, "training").groupBy("label").count()
-    return labels.join(counts, "label", "left").select("label", F.coalesce("count", F.lit(0)).alias("samples"))
+
+def _of(*names):
+    return lambda f: lambda spark, sf_dir: f(*(view(spark, sf_dir, n) for n in names))
 
 
 PLANS = {
-    "agg3": (training_summary, "SELECT l.label, count(t.doc_id) AS samples FROM (VALUES ('weed'), ('crop'), ('soil'), ('debris')) AS l(label) LEFT JOIN training t ON t.label = l.label GROUP BY l.label"),
-}
+    "q7": (_of("measurements")(lambda m: store.recent(m, "image_timestamp", "measurement_id", 20).select("measurement_id", "plant_id", "recommended_mm")),
+           "SELECT measurement_id, plant_id, recommended_mm FROM measurements ORDER BY image_timestamp DESC, measurement_id DESC LIMIT 20"),
+    "q16": (_of("change_log")(lambda c: store.recent(c, "created_at", "id", 50).select("id", "entity_id", "change_type")),
+            "SELECT id, entity_id, change_type FROM change_log ORDER BY created_at DESC, id DESC LIMIT 50"),
+    "q18": (_of("soil_measurements")(lambda s: store.latest(s, "point_id", "created_at", "measurement_id").select("point_id", "measurement_id", "status")),
+            "SELECT point_id, measurement_id, status FROM soil_measurements QUALIFY ROW_NUMBER() OVER (PARTITION BY point_id ORDER BY created_at DESC, measurement_id DESC) = 1"),
+    "q25": (_of("plants")(lambda p: p.where("height_mm IS NULL OR height_mm > 250").select("id", "height_mm")),
+            "SELECT id, height_mm FROM plants WHERE height_mm IS NULL OR height_mm > 250"),
+    "q30": (_of("measurements", "decisions")(lambda m, d: store.pending(m, d).select("measurement_id", "plant_id")),
+            f"WITH {_PENDING} SELECT measurement_id, plant_id FROM p"),
+    "q32": (_of("measurements", "decisions")(lambda m, d: store.review_queue(m, d).select("plant_id", "images", "confidence", "radius_mm", "change_mm")),
+            f"""WITH {_PENDING},
+r AS (SELECT *, confidence * visible_fraction AS w FROM (SELECT * FROM p QUALIFY {_NEWEST}) WHERE NOT vegetation_absent),
+s AS (SELECT plant_id, recommended_mm, sum(w) OVER (PARTITION BY plant_id ORDER BY recommended_mm) AS run, sum(w) OVER (PARTITION BY plant_id) AS total FROM r),
+m AS (SELECT plant_id, CASE WHEN max(total) <= 0 THEN max(recommended_mm) ELSE min(CASE WHEN run >= total / 2 THEN recommended_mm END) END AS radius_mm FROM s GROUP BY plant_id),
+f AS (SELECT plant_id, count(*) AS images, max(confidence) AS confidence, min(current_radius_mm) AS current_mm FROM r GROUP BY plant_id)
+SELECT plant_id, images, confidence, radius_mm, radius_mm - current_mm AS change_mm FROM f JOIN m USING (plant_id)
+WHERE abs(radius_mm - current_mm) >= 3 AND confidence >= 0.3 ORDER BY abs(radius_mm - current_mm) DESC, plant_id LIMIT 150"""),
+    "q33": (_of("soil_measurements")(lambda s: store.outstanding_failures(s).select("measurement_id", "point_id")),
+            "SELECT measurement_id, point_id FROM (SELECT * FROM soil_measurements QUALIFY ROW_NUMBER() OVER (PARTITION BY point_id ORDER BY created_at DESC, measurement_id DESC) = 1) WHERE status = 'failed'"),
+    "q41": (_of("plants", "weeds")(lambda p, w: geometry.within(w.select("id", "x", "y"), p.select("id", "x", "y"), 200.0).select("id", "o_id")),
+            "SELECT w.id, p.id AS o_id FROM weeds w JOIN plants p ON sqrt((w.x - p.x) * (w.x - p.x) + (w.y - p.y) * (w.y - p.y)) <= 200"),
+    "q42": (_of("weeds")(lambda w: geometry.permitted(w, _BED, _CIRCLES, _BOXES).where("verdict <> 'permitted'").select("id", "verdict")),
+            f"SELECT id, verdict FROM ({_ZONED} FROM weeds) WHERE verdict <> 'permitted'"),
+    "agg2": (_of("measurements")(lambda m: store.weighted_median(m, "plant_id", "recommended_mm", "visible_fraction", "median_mm")),
+             "WITH s AS (SELECT plant_id, recommended_mm, sum(visible_fraction) OVER (PARTITION BY plant_id ORDER BY recommended_mm) AS run, sum(visible_fraction) OVER (PARTITION BY plant_id) AS total FROM measurements) SELECT plant_id, CASE WHEN max(total) <= 0 THEN max(recommended_mm) ELSE min(CASE WHEN run >= total / 2 THEN recommended_mm END) END AS median_mm FROM s GROUP BY plant_id"),
+    "agg3": (_of("training")(lambda t: store.label_counts(t, LABELS)),
+             "SELECT l.label, count(t.doc_id) AS samples FROM (VALUES ('weed'), ('crop'), ('soil'), ('debris')) AS l(label) LEFT JOIN training t ON t.label = l.label GROUP BY l.label"),
+    "agg8": (_of("decisions")(lambda d: d.agg(*[F.count_if(F.col("action") == a).alias(a) for a in ("applied", "reject", "keep")])),
+             "SELECT count(*) FILTER (action = 'applied') AS applied, count(*) FILTER (action = 'reject') AS reject, count(*) FILTER (action = 'keep') AS keep FROM decisions"),
+    "win1": (_of("measurements")(store.absent_streak),
+             f"WITH n AS (SELECT * FROM measurements QUALIFY {_NEWEST}), s AS (SELECT plant_id, sum(CASE WHEN vegetation_absent THEN 0 ELSE 1 END) OVER (PARTITION BY plant_id ORDER BY image_timestamp DESC, measurement_id DESC ROWS UNBOUNDED PRECEDING) AS present FROM n) SELECT plant_id, CAST(count(*) FILTER (present = 0) AS BIGINT) AS streak FROM s GROUP BY plant_id"),
+    "win2": (_of("change_log")(lambda c: store.growth_baseline(c, SINCE)),
+             f"SELECT entity_id, original_radius_mm AS baseline_mm FROM (SELECT * FROM change_log WHERE change_type = 'radius increased' AND created_at >= TIMESTAMP '{SINCE}') QUALIFY ROW_NUMBER() OVER (PARTITION BY entity_id ORDER BY created_at, id) = 1"),
+    "win4": (_of("measurements")(lambda m: store.newest_per_image(m).select("measurement_id", "plant_id", "image_id")),
+             f"SELECT measurement_id, plant_id, image_id FROM measurements QUALIFY {_NEWEST}"),
+    "pln10": (_of("weeds", "plants")(geometry.clearance),
+              "SELECT w.id, count(*) AS plants, min(sqrt((w.x - p.x) * (w.x - p.x) + (w.y - p.y) * (w.y - p.y)) - p.radius) AS clearance_mm FROM weeds w JOIN plants p ON sqrt((w.x - p.x) * (w.x - p.x) + (w.y - p.y) * (w.y - p.y)) <= 200 GROUP BY w.id"),
+    "grd4": (_of("images")(lambda i: geometry.grid_cells(i).select("cell_x", "cell_y", "images")),
+             "SELECT CAST(floor(x / 373 + 0.5) AS BIGINT) AS cell_x, CAST(floor(y / 294 + 0.5) AS BIGINT) AS cell_y, count(*) AS images FROM images WHERE processed GROUP BY ALL"),
+}

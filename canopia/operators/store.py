@@ -29,9 +29,10 @@ def newest_per_image(measurements: DataFrame) -> DataFrame:
 def weighted_median(rows: DataFrame, key: str, value: str, weight: str, out: str) -> DataFrame:
     """agg2: per key the first value whose running weight reaches half the total; the last if the total is not positive."""
     by = W.partitionBy(key)
-    running = F.sum(weight).over(by.orderBy(value).rangeBetween(W.unboundedPreceding, 0))
-    marked = rows.withColumn("_run", running).withColumn("_total", F.sum(weight).over(by))
-    return marked.groupBy(key).agg(F.when(F.max("_total") <= 0, F.max(value)).otherwise(F.min(F.when(F.col("_run") >= F.col("_total") / 2, F.col(value)))).alias(out))
+    exact = F.col(weight).cast("decimal(20,12)")  # sums of doubles depend on their order
+    running = F.sum(exact).over(by.orderBy(value).rangeBetween(W.unboundedPreceding, 0))
+    marked = rows.withColumn("_run", running).withColumn("_total", F.sum(exact).over(by))
+    return marked.groupBy(key).agg(F.when(F.max("_total") <= 0, F.max(value)).otherwise(F.min(F.when(F.col("_run") * 2 >= F.col("_total"), F.col(value)))).alias(out))
 
 
 def review_queue(measurements: DataFrame, decisions: DataFrame, least_confidence: float = 0.3, least_change: float = 3.0, limit: int = 150) -> DataFrame:

@@ -34,8 +34,8 @@ PLANS = {
     "q32": (_of("measurements", "decisions")(lambda m, d: store.review_queue(m, d).select("plant_id", "images", "confidence", "radius_mm", "change_mm")),
             f"""WITH {_PENDING},
 r AS (SELECT *, confidence * visible_fraction AS w FROM (SELECT * FROM p QUALIFY {_NEWEST}) WHERE NOT vegetation_absent),
-s AS (SELECT plant_id, recommended_mm, sum(w) OVER (PARTITION BY plant_id ORDER BY recommended_mm) AS run, sum(w) OVER (PARTITION BY plant_id) AS total FROM r),
-m AS (SELECT plant_id, CASE WHEN max(total) <= 0 THEN max(recommended_mm) ELSE min(CASE WHEN run >= total / 2 THEN recommended_mm END) END AS radius_mm FROM s GROUP BY plant_id),
+s AS (SELECT plant_id, recommended_mm, sum(CAST(w AS DECIMAL(20,12))) OVER (PARTITION BY plant_id ORDER BY recommended_mm) AS run, sum(CAST(w AS DECIMAL(20,12))) OVER (PARTITION BY plant_id) AS total FROM r),
+m AS (SELECT plant_id, CASE WHEN max(total) <= 0 THEN max(recommended_mm) ELSE min(CASE WHEN 2 * run >= total THEN recommended_mm END) END AS radius_mm FROM s GROUP BY plant_id),
 f AS (SELECT plant_id, count(*) AS images, max(confidence) AS confidence, min(current_radius_mm) AS current_mm FROM r GROUP BY plant_id)
 SELECT plant_id, images, confidence, radius_mm, radius_mm - current_mm AS change_mm FROM f JOIN m USING (plant_id)
 WHERE abs(radius_mm - current_mm) >= 3 AND confidence >= 0.3 ORDER BY abs(radius_mm - current_mm) DESC, plant_id LIMIT 150"""),
@@ -46,7 +46,7 @@ WHERE abs(radius_mm - current_mm) >= 3 AND confidence >= 0.3 ORDER BY abs(radius
     "q42": (_of("weeds")(lambda w: geometry.permitted(w, _BED, _CIRCLES, _BOXES).where("verdict <> 'permitted'").select("id", "verdict")),
             f"SELECT id, verdict FROM ({_ZONED} FROM weeds) WHERE verdict <> 'permitted'"),
     "agg2": (_of("measurements")(lambda m: store.weighted_median(m, "plant_id", "recommended_mm", "visible_fraction", "median_mm")),
-             "WITH s AS (SELECT plant_id, recommended_mm, sum(visible_fraction) OVER (PARTITION BY plant_id ORDER BY recommended_mm) AS run, sum(visible_fraction) OVER (PARTITION BY plant_id) AS total FROM measurements) SELECT plant_id, CASE WHEN max(total) <= 0 THEN max(recommended_mm) ELSE min(CASE WHEN run >= total / 2 THEN recommended_mm END) END AS median_mm FROM s GROUP BY plant_id"),
+             "WITH s AS (SELECT plant_id, recommended_mm, sum(CAST(visible_fraction AS DECIMAL(20,12))) OVER (PARTITION BY plant_id ORDER BY recommended_mm) AS run, sum(CAST(visible_fraction AS DECIMAL(20,12))) OVER (PARTITION BY plant_id) AS total FROM measurements) SELECT plant_id, CASE WHEN max(total) <= 0 THEN max(recommended_mm) ELSE min(CASE WHEN 2 * run >= total THEN recommended_mm END) END AS median_mm FROM s GROUP BY plant_id"),
     "agg3": (_of("training")(lambda t: store.label_counts(t, LABELS)),
              "SELECT l.label, count(t.doc_id) AS samples FROM (VALUES ('weed'), ('crop'), ('soil'), ('debris')) AS l(label) LEFT JOIN training t ON t.label = l.label GROUP BY l.label"),
     "agg8": (_of("decisions")(lambda d: d.agg(*[F.count_if(F.col("action") == a).alias(a) for a in ("applied", "reject", "keep")])),

@@ -58,3 +58,24 @@ HALF_LIFE = math.log(2)
 def recency(days, half_life: float = 14.0):
     """fn11: weight of an observation of that age."""
     return F.exp(F.lit(-HALF_LIFE) * days / half_life)
+
+
+def obstacles(plants: DataFrame, weeds: DataFrame, least_radius: float = 15.0, least_age: int = 10) -> DataFrame:
+    """set3: plants that are large and old enough (or of unknown age), and all weeds."""
+    grown = plants.where((F.col("radius") >= least_radius) & (F.col("age_days").isNull() | (F.col("age_days") >= least_age)))
+    columns = ["id", "x", "y", "radius"]
+    return grown.select(F.lit("plant").alias("kind"), *columns).unionByName(weeds.select(F.lit("weed").alias("kind"), *columns))
+
+
+def missing_cells(cells: DataFrame) -> DataFrame:
+    """set5: cells of the product of the grid's axes that hold no image; cells has cell_x and cell_y, one row a cell."""
+    xs, ys = cells.select("cell_x").distinct(), cells.select("cell_y").distinct()
+    return xs.crossJoin(ys).join(cells, ["cell_x", "cell_y"], "left_anti")  # the axes are a few values each
+
+
+def neighbour_cells(cells: DataFrame) -> DataFrame:
+    """q45: pairs of cells at Manhattan distance 1."""
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((1, 0), (-1, 0), (0, 1), (0, -1))]))
+    moved = cells.select("cell_x", "cell_y", steps.alias("d")).select("cell_x", "cell_y", (F.col("cell_x") + F.col("d.i")).alias("o_cell_x"), (F.col("cell_y") + F.col("d.j")).alias("o_cell_y"))
+    return moved.join(cells.select(F.col("cell_x").alias("o_cell_x"), F.col("cell_y").alias("o_cell_y")), ["o_cell_x", "o_cell_y"])
+

@@ -13,6 +13,7 @@ _NEWEST = "ROW_NUMBER() OVER (PARTITION BY plant_id, image_id ORDER BY image_tim
 _TERMINAL = ", ".join(f"'{x}'" for x in store.TERMINAL)
 _PENDING = f"p AS (SELECT * FROM measurements m WHERE NOT EXISTS (SELECT 1 FROM decisions d WHERE d.measurement_id = m.measurement_id AND d.action IN ({_TERMINAL})))"
 _BED, _CIRCLES, _BOXES = (0.0, 0.0, 3000.0, 1500.0), [(1500.0, 750.0, 200.0)], [(200.0, 200.0, 600.0, 500.0)]
+_CELL_X, _CELL_Y = "CAST(floor(x / 373 + 0.5) AS BIGINT)", "CAST(floor(y / 294 + 0.5) AS BIGINT)"
 _ZONED = "SELECT *, CASE WHEN NOT (x BETWEEN 0 AND 3000 AND y BETWEEN 0 AND 1500) THEN 'outside' WHEN (x - 1500) * (x - 1500) + (y - 750) * (y - 750) <= 40000 OR (x BETWEEN 200 AND 600 AND y BETWEEN 200 AND 500) THEN 'excluded' ELSE 'permitted' END AS verdict"
 
 
@@ -61,4 +62,12 @@ WHERE abs(radius_mm - current_mm) >= 3 AND confidence >= 0.3 ORDER BY abs(radius
               "SELECT w.id, count(*) AS plants, min(sqrt((w.x - p.x) * (w.x - p.x) + (w.y - p.y) * (w.y - p.y)) - p.radius) AS clearance_mm FROM weeds w JOIN plants p ON sqrt((w.x - p.x) * (w.x - p.x) + (w.y - p.y) * (w.y - p.y)) <= 200 GROUP BY w.id"),
     "grd4": (_of("images")(lambda i: geometry.grid_cells(i).select("cell_x", "cell_y", "images")),
              "SELECT CAST(floor(x / 373 + 0.5) AS BIGINT) AS cell_x, CAST(floor(y / 294 + 0.5) AS BIGINT) AS cell_y, count(*) AS images FROM images WHERE processed GROUP BY ALL"),
+    "set3": (_of("plants", "weeds")(geometry.obstacles),
+             "SELECT 'plant' AS kind, id, x, y, radius FROM plants WHERE radius >= 15 AND (age_days IS NULL OR age_days >= 10) UNION ALL SELECT 'weed', id, x, y, radius FROM weeds"),
+    "set5": (_of("weeds")(lambda w: geometry.missing_cells(geometry.grid_cells(w.selectExpr("x", "y", "true AS processed", "id AS created_at")).select("cell_x", "cell_y"))),
+             f"WITH c AS (SELECT DISTINCT {_CELL_X} AS cell_x, {_CELL_Y} AS cell_y FROM weeds) SELECT * FROM (SELECT DISTINCT cell_x FROM c), (SELECT DISTINCT cell_y FROM c) EXCEPT SELECT * FROM c"),
+    "q45": (_of("images")(lambda i: geometry.neighbour_cells(geometry.grid_cells(i).select("cell_x", "cell_y"))),
+            f"WITH c AS (SELECT DISTINCT {_CELL_X} AS cell_x, {_CELL_Y} AS cell_y FROM images WHERE processed) SELECT a.cell_x, a.cell_y, b.cell_x AS o_cell_x, b.cell_y AS o_cell_y FROM c a JOIN c b ON abs(a.cell_x - b.cell_x) + abs(a.cell_y - b.cell_y) = 1"),
+    "fn17": (_of("training")(lambda t: t.groupBy("image_id").agg(F.count_if(F.col("label") == "crop").alias("s"), F.count("*").alias("n")).select("image_id", F.round(geometry.wilson_lower(F.col("s"), F.col("n")), 6).alias("bound"))),
+             "SELECT image_id, round(greatest(0, (s / n + 1.2816 * 1.2816 / (2 * n) - 1.2816 * sqrt(s / n * (1 - s / n) / n + 1.2816 * 1.2816 / (4.0 * n * n))) / (1 + 1.2816 * 1.2816 / n)), 6) AS bound FROM (SELECT image_id, CAST(count(*) FILTER (label = 'crop') AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS n FROM training GROUP BY image_id)"),
 }

@@ -79,3 +79,25 @@ def neighbour_cells(cells: DataFrame) -> DataFrame:
     moved = cells.select("cell_x", "cell_y", steps.alias("d")).select("cell_x", "cell_y", (F.col("cell_x") + F.col("d.i")).alias("o_cell_x"), (F.col("cell_y") + F.col("d.j")).alias("o_cell_y"))
     return moved.join(cells.select(F.col("cell_x").alias("o_cell_x"), F.col("cell_y").alias("o_cell_y")), ["o_cell_x", "o_cell_y"])
 
+
+
+def near_detection(points: DataFrame, detections: DataFrame, scales: dict[str, float], least: float, widest: float) -> DataFrame:
+    """q39, q40: points (id, x, y) with a detection of a listed status within max(least, scale * its radius).
+
+    Pairs are found in cells of side `widest`; a detection whose reach exceeds
+    it is joined in cells of the next power of two, so no link is lost.
+    """
+    scale = F.coalesce(F.create_map(*[x for k, v in scales.items() for x in (F.lit(k), F.lit(v))])[F.col("status")], F.lit(0.0))
+    reach = F.greatest(F.lit(least), scale * F.coalesce("radius_mm", F.lit(0.0)))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(reach / widest))).cast("int")
+    marked = detections.where(F.col("status").isin(*scales)).select("x", "y", reach.alias("reach"), level.alias("level"))
+    levels = marked.select("level").distinct()  # a few values: sizes double from one to the next
+    left = points.select("id", "x", "y").crossJoin(F.broadcast(levels))
+    side = F.lit(widest) * F.pow(F.lit(2.0), F.col("level"))
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("d")
+    right = marked.select(F.col("x").alias("o_x"), F.col("y").alias("o_y"), "reach", "level", steps)
+    right = right.select("o_x", "o_y", "reach", "level", (F.floor(F.col("o_x") / side) + F.col("d.i")).alias("_cx"), (F.floor(F.col("o_y") / side) + F.col("d.j")).alias("_cy"))
+    left = left.select("*", F.floor(F.col("x") / side).alias("_cx"), F.floor(F.col("y") / side).alias("_cy"))
+    gap = F.sqrt((F.col("x") - F.col("o_x")) * (F.col("x") - F.col("o_x")) + (F.col("y") - F.col("o_y")) * (F.col("y") - F.col("o_y")))
+    hit = left.join(right, ["level", "_cx", "_cy"]).where(gap <= F.col("reach")).select("id").distinct()
+    return points.join(hit, "id", "left_semi")

@@ -9,6 +9,7 @@ from canopia.sources.tables import view
 
 LABELS = ("weed", "crop", "soil", "debris")
 SINCE = "1998-01-01"
+RETRY = "1998-06-01"
 _NEWEST = "ROW_NUMBER() OVER (PARTITION BY plant_id, image_id ORDER BY image_timestamp DESC, measurement_id DESC) = 1"
 _TERMINAL = ", ".join(f"'{x}'" for x in store.TERMINAL)
 _PENDING = f"p AS (SELECT * FROM measurements m WHERE NOT EXISTS (SELECT 1 FROM decisions d WHERE d.measurement_id = m.measurement_id AND d.action IN ({_TERMINAL})))"
@@ -40,8 +41,11 @@ m AS (SELECT plant_id, CASE WHEN max(total) <= 0 THEN max(recommended_mm) ELSE m
 f AS (SELECT plant_id, count(*) AS images, max(confidence) AS confidence, min(current_radius_mm) AS current_mm FROM r GROUP BY plant_id)
 SELECT plant_id, images, confidence, radius_mm, radius_mm - current_mm AS change_mm FROM f JOIN m USING (plant_id)
 WHERE abs(radius_mm - current_mm) >= 3 AND confidence >= 0.3 ORDER BY abs(radius_mm - current_mm) DESC, plant_id LIMIT 150"""),
-    "q33": (_of("soil_measurements")(lambda s: store.outstanding_failures(s).select("measurement_id", "point_id")),
-            "SELECT measurement_id, point_id FROM (SELECT * FROM soil_measurements QUALIFY ROW_NUMBER() OVER (PARTITION BY point_id ORDER BY created_at DESC, measurement_id DESC) = 1) WHERE status = 'failed'"),
+    "q33": (_of("soil_measurements", "soil_decisions")(lambda s, d: store.outstanding_failures(s, d, RETRY).select("measurement_id", "point_id")),
+            f"""SELECT measurement_id, point_id FROM soil_measurements m WHERE status = 'failed' AND created_at <= TIMESTAMP '{RETRY}'
+AND NOT EXISTS (SELECT 1 FROM soil_measurements n WHERE m.point_id > 0 AND n.point_id = m.point_id AND (n.created_at > m.created_at OR (n.created_at = m.created_at AND n.measurement_id > m.measurement_id)))
+AND NOT EXISTS (SELECT 1 FROM soil_measurements n WHERE m.point_id = 0 AND abs(n.capture_x - m.capture_x) <= 0.001 AND abs(n.capture_y - m.capture_y) <= 0.001 AND (n.created_at > m.created_at OR (n.created_at = m.created_at AND n.measurement_id > m.measurement_id)))
+AND NOT EXISTS (SELECT 1 FROM soil_decisions d WHERE d.measurement_id = m.measurement_id AND d.action = 'automatic_retry_started' AND d.created_at > TIMESTAMP '{RETRY}')"""),
     "q41": (_of("plants", "weeds")(lambda p, w: geometry.within(w.select("id", "x", "y"), p.select("id", "x", "y"), 200.0).select("id", "o_id")),
             "SELECT w.id, p.id AS o_id FROM weeds w JOIN plants p ON sqrt((w.x - p.x) * (w.x - p.x) + (w.y - p.y) * (w.y - p.y)) <= 200"),
     "q42": (_of("weeds")(lambda w: geometry.permitted(w, _BED, _CIRCLES, _BOXES).where("verdict <> 'permitted'").select("id", "verdict")),

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopia.plans import garden
+from canopia.plans import garden, reads
 from canopia.sources.tables import with_views
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, (f, _) in garden.PLANS.items()}
-ORACLES: dict[str, str] = {k: with_views(sql) for k, (_, sql) in garden.PLANS.items() if sql}
+_ALL = garden.PLANS | reads.PLANS
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, (f, _) in _ALL.items()}
+ORACLES: dict[str, str] = {k: with_views(sql) for k, (_, sql) in _ALL.items() if sql}

@@ -18,9 +18,14 @@ VIEWS = {
     "soil_measurements": "SELECT o_orderkey AS measurement_id, o_custkey % 200 AS point_id, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'valid' ELSE 'applied' END AS status, CAST(o_orderdate AS TIMESTAMP) AS created_at, CAST((o_orderkey * 17) % 3000 AS DOUBLE) AS capture_x, CAST((o_orderkey * 7) % 1500 AS DOUBLE) AS capture_y, o_totalprice / 1000 AS proposed_z_mm FROM orders",
     "change_log": "SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS entity_id, CASE l_returnflag WHEN 'A' THEN 'radius increased' WHEN 'R' THEN 'radius decreased' ELSE 'weed added' END AS change_type, CAST(l_shipdate AS TIMESTAMP) AS created_at, CAST(l_quantity AS DOUBLE) AS original_radius_mm FROM lineitem",
     "training": "SELECT l.doc_id, CASE WHEN l.toxic = 1 THEN 'weed' WHEN l.quality = 1 THEN 'crop' ELSE 'soil' END AS label, CAST(d.n_chars AS DOUBLE) AS f1, d.doc_id % 50 AS image_id FROM labels l JOIN documents d ON d.doc_id = l.doc_id",
+    "detections": "SELECT event_id AS detection_id, event_id % 211 AS image_id, CAST(ts AS TIMESTAMP) AS image_timestamp, CAST((event_id * 211) % 3000 AS DOUBLE) AS x, CAST((event_id * 131) % 1500 AS DOUBLE) AS y, CAST(8 + event_id % 25 AS DOUBLE) AS radius_mm, CAST((event_id * 17) % 1000 AS DOUBLE) / 1000 AS score, event_id % 9 <> 0 AS has_crop, CASE event_id % 6 WHEN 0 THEN 'created' WHEN 1 THEN 'rejected' WHEN 2 THEN 'dismissed' WHEN 3 THEN 'recommended' WHEN 4 THEN 'observing' ELSE 'superseded' END AS status FROM events",
+    "labelled": "SELECT event_id AS detection_id, CASE event_id % 3 WHEN 0 THEN 'weed' WHEN 1 THEN 'crop' ELSE 'soil' END AS label FROM events WHERE event_id % 4 = 1",
+    "soil_decisions": "SELECT o_orderkey AS measurement_id, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 DAY AS created_at, CASE o_orderkey % 4 WHEN 0 THEN 'approve' WHEN 1 THEN 'automatic_approve' WHEN 2 THEN 'legacy_v2_repair_apply' ELSE 'automatic_retry_started' END AS action FROM orders WHERE o_orderkey % 3 = 0",
+    "legacy_repairs": "SELECT o_orderkey AS legacy_measurement_id, CAST(o_orderdate AS TIMESTAMP) AS created_at, CAST(o_orderkey % 41 - 20 AS DOUBLE) AS delta_mm, CASE o_orderkey % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'unavailable' WHEN 2 THEN 'unchanged' WHEN 3 THEN 'applied' WHEN 4 THEN 'rejected' ELSE 'conflict' END AS state FROM orders WHERE o_orderkey % 5 = 0",
+    "growth": "SELECT event_id AS id, user_id % 13 AS crop, CAST(event_id % 90 AS INT) AS age_days, CAST(10 + event_id % 90 AS DOUBLE) + value / 10 AS radius FROM events",
 }
 #: Which given tables a view reads.
-READS = {"plants": ["part"], "weeds": ["supplier"], "soil_points": ["customer"], "images": ["events"], "measurements": ["events"], "decisions": ["events"], "soil_measurements": ["orders"], "change_log": ["lineitem"], "training": ["labels", "documents"]}
+READS = {"detections": ["events"], "labelled": ["events"], "soil_decisions": ["orders"], "legacy_repairs": ["orders"], "growth": ["events"], "plants": ["part"], "weeds": ["supplier"], "soil_points": ["customer"], "images": ["events"], "measurements": ["events"], "decisions": ["events"], "soil_measurements": ["orders"], "change_log": ["lineitem"], "training": ["labels", "documents"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +44,8 @@ def with_views(sql: str) -> str:
     used = [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
     body = sql.strip()
     ctes = ", ".join(f"{v} AS ({VIEWS[v]})" for v in used)
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes}, {body[5:]}" if used else body
     return f"WITH {ctes} {body}" if used else body

@@ -81,16 +81,14 @@ def neighbour_cells(cells: DataFrame) -> DataFrame:
 
 
 
-def near_detection(points: DataFrame, detections: DataFrame, scales: dict[str, float], least: float, widest: float) -> DataFrame:
-    """q39, q40: points (id, x, y) with a detection of a listed status within max(least, scale * its radius).
+def reach_pairs(points: DataFrame, discs: DataFrame, widest: float) -> DataFrame:
+    """Pairs of a point's id and a disc (x, y, reach) that holds it, with reach and gap, their distance.
 
-    Pairs are found in cells of side `widest`; a detection whose reach exceeds
-    it is joined in cells of the next power of two, so no link is lost.
+    Pairs are found in cells of side `widest`; a disc that reaches further is
+    joined in cells of the next power of two, so no link is lost.
     """
-    scale = F.coalesce(F.create_map(*[x for k, v in scales.items() for x in (F.lit(k), F.lit(v))])[F.col("status")], F.lit(0.0))
-    reach = F.greatest(F.lit(least), scale * F.coalesce("radius_mm", F.lit(0.0)))
-    level = F.greatest(F.lit(0), F.ceil(F.log2(reach / widest))).cast("int")
-    marked = detections.where(F.col("status").isin(*scales)).select("x", "y", reach.alias("reach"), level.alias("level"))
+    level = F.when(F.col("reach") <= widest, 0).otherwise(F.ceil(F.log2(F.col("reach") / widest))).cast("int")
+    marked = discs.where("reach >= 0").select("x", "y", "reach", level.alias("level"))
     levels = marked.select("level").distinct()  # a few values: sizes double from one to the next
     left = points.select("id", "x", "y").crossJoin(F.broadcast(levels))
     side = F.lit(widest) * F.pow(F.lit(2.0), F.col("level"))
@@ -99,5 +97,18 @@ def near_detection(points: DataFrame, detections: DataFrame, scales: dict[str, f
     right = right.select("o_x", "o_y", "reach", "level", (F.floor(F.col("o_x") / side) + F.col("d.i")).alias("_cx"), (F.floor(F.col("o_y") / side) + F.col("d.j")).alias("_cy"))
     left = left.select("*", F.floor(F.col("x") / side).alias("_cx"), F.floor(F.col("y") / side).alias("_cy"))
     gap = F.sqrt((F.col("x") - F.col("o_x")) * (F.col("x") - F.col("o_x")) + (F.col("y") - F.col("o_y")) * (F.col("y") - F.col("o_y")))
-    hit = left.join(right, ["level", "_cx", "_cy"]).where(gap <= F.col("reach")).select("id").distinct()
-    return points.join(hit, "id", "left_semi")
+    return left.join(right, ["level", "_cx", "_cy"]).select("id", "reach", gap.alias("gap")).where("gap <= reach")
+
+
+def reached(points: DataFrame, discs: DataFrame, widest: float, strict: bool = False) -> DataFrame:
+    """Ids of points (id, x, y) within a disc (x, y, reach); strict leaves the rim out."""
+    pairs = reach_pairs(points, discs, widest)
+    return (pairs.where("gap < reach") if strict else pairs).select("id").distinct()
+
+
+def near_detection(points: DataFrame, detections: DataFrame, scales: dict[str, float], least: float, widest: float) -> DataFrame:
+    """q39, q40: points (id, x, y) with a detection of a listed status within max(least, scale * its radius)."""
+    scale = F.coalesce(F.create_map(*[x for k, v in scales.items() for x in (F.lit(k), F.lit(v))])[F.col("status")], F.lit(0.0))
+    reach = F.greatest(F.lit(least), scale * F.coalesce("radius_mm", F.lit(0.0)))
+    discs = detections.where(F.col("status").isin(*scales)).select("x", "y", reach.alias("reach"))
+    return points.join(reached(points, discs, widest), "id", "left_semi")

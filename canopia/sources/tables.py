@@ -23,9 +23,14 @@ VIEWS = {
     "soil_decisions": "SELECT o_orderkey AS measurement_id, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 DAY AS created_at, CASE o_orderkey % 4 WHEN 0 THEN 'approve' WHEN 1 THEN 'automatic_approve' WHEN 2 THEN 'legacy_v2_repair_apply' ELSE 'automatic_retry_started' END AS action FROM orders WHERE o_orderkey % 3 = 0",
     "legacy_repairs": "SELECT o_orderkey AS legacy_measurement_id, CAST(o_orderdate AS TIMESTAMP) AS created_at, CAST(o_orderkey % 41 - 20 AS DOUBLE) AS delta_mm, CASE o_orderkey % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'unavailable' WHEN 2 THEN 'unchanged' WHEN 3 THEN 'applied' WHEN 4 THEN 'rejected' ELSE 'conflict' END AS state FROM orders WHERE o_orderkey % 5 = 0",
     "growth": "SELECT event_id AS id, user_id % 13 AS crop, CAST(event_id % 90 AS INT) AS age_days, CAST(10 + event_id % 90 AS DOUBLE) + value / 10 AS radius FROM events",
+    "foliage": "SELECT l_partkey % 20 AS plant_id, (l_orderkey * 7919 + l_linenumber * 104729 + l_partkey * 31) % 72 AS sector, CAST(l_quantity AS DOUBLE) + CASE WHEN (l_orderkey * 7919 + l_linenumber * 104729 + l_partkey * 31) % 72 < (l_partkey % 20) THEN 60 ELSE 0 END AS distance_mm FROM lineitem",
+    "beds": "SELECT s_suppkey AS bed_id, CAST(1000 + (s_suppkey * 37) % 2000 AS DOUBLE) AS width_mm, CAST(500 + (s_suppkey * 91) % 1000 AS DOUBLE) AS depth_mm, CAST(300 + s_suppkey % 90 AS DOUBLE) AS frame_x, CAST(200 + s_suppkey % 70 AS DOUBLE) AS frame_y FROM supplier",
+    "cases": "SELECT event_id AS measurement_id, event_id % 11 <> 0 AS calibrated, event_type = 'error' AS absent, CASE WHEN event_id % 13 = 0 THEN NULL ELSE event_id % 90 END AS age_days, CAST(20 + user_id % 90 AS DOUBLE) AS current_mm, CAST(20 + (event_id * 7) % 120 AS DOUBLE) AS proposed_mm, event_id % 5 <> 0 AS seen_before, event_id % 4 AS streak, CAST((event_id * 31) % 100 AS DOUBLE) / 100 AS confidence, event_id % 3 = 0 AS misaligned, event_id % 17 = 0 AS ambiguous, event_id % 6 AS days FROM events",
+    "sightings": "SELECT event_id AS measurement_id, user_id AS plant_id, CAST(ts AS TIMESTAMP) AS image_timestamp, event_type <> 'error' AS has_evidence, event_id % 3 <> 0 AS center_visible, event_id % 4 = 0 AS truncated, user_id % 5 <> 0 AS fits, CAST((event_id * 37) % 101 AS DOUBLE) / 100 AS coverage, CAST((event_id * 31) % 100 AS DOUBLE) / 100 AS confidence, CAST((event_id * 13) % 100 AS DOUBLE) / 100 AS image_quality, CAST((event_id * 7) % 100 AS DOUBLE) / 100 AS segmentation_quality, CAST((event_id * 53) % 72 AS INT) AS first_sector FROM events",
+    "traits": "SELECT l.doc_id, l.quality, d.doc_id % 97 AS image_id, CAST(d.n_chars AS DOUBLE) / 1000 AS f1, CAST(length(regexp_replace(d.text, '[^0-9]', '')) AS DOUBLE) / greatest(1, length(d.text)) AS f2, CAST(length(regexp_replace(d.text, '[a-z ]', '')) AS DOUBLE) / greatest(1, length(d.text)) AS f3 FROM labels l JOIN documents d ON d.doc_id = l.doc_id",
 }
 #: Which given tables a view reads.
-READS = {"detections": ["events"], "labelled": ["events"], "soil_decisions": ["orders"], "legacy_repairs": ["orders"], "growth": ["events"], "plants": ["part"], "weeds": ["supplier"], "soil_points": ["customer"], "images": ["events"], "measurements": ["events"], "decisions": ["events"], "soil_measurements": ["orders"], "change_log": ["lineitem"], "training": ["labels", "documents"]}
+READS = {"traits": ["labels", "documents"], "foliage": ["lineitem"], "beds": ["supplier"], "cases": ["events"], "sightings": ["events"], "detections": ["events"], "labelled": ["events"], "soil_decisions": ["orders"], "legacy_repairs": ["orders"], "growth": ["events"], "plants": ["part"], "weeds": ["supplier"], "soil_points": ["customer"], "images": ["events"], "measurements": ["events"], "decisions": ["events"], "soil_measurements": ["orders"], "change_log": ["lineitem"], "training": ["labels", "documents"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -58,8 +58,8 @@ SELECT plant_id, absent, count(*) AS views, round(least(0.99, CAST(sum(CAST(conf
 round(CASE WHEN absent THEN 0 ELSE min(CASE WHEN 2 * run >= total THEN recommended_mm END) END, 6) AS radius_mm FROM k GROUP BY plant_id, absent"""),
     "agg6": (_of("growth")(lambda g: curves.fit_curve(g, "crop")),
              f"WITH {_ISO}, rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY crop ORDER BY day) - 1 AS p, count(*) OVER (PARTITION BY crop) AS n FROM fit) SELECT crop, day, round(fitted * 2, 1) AS diameter_mm FROM rk WHERE n <= 10 OR p IN (SELECT CAST(round_even(range * (n - 1) / 9.0, 0) AS BIGINT) FROM range(10))"),
-    "agg7": (_of("growth")(lambda g: curves.isotonic(g.groupBy("crop", (F.floor(F.greatest(F.lit(0), c("age_days")) / 3) * 3).cast("long").alias("day")).agg(F.percentile("radius", F.lit(0.9)).alias("upper"), F.count("*").alias("n")), "crop", "day", "upper", "n").select("crop", "day", F.round("fitted", 6).alias("fitted"))),
-             f"WITH {_ISO} SELECT crop, day, round(fitted, 6) AS fitted FROM fit"),
+    "agg7": (_of("growth")(lambda g: curves.isotonic(g.groupBy("crop", (F.floor(F.greatest(F.lit(0), c("age_days")) / 3) * 3).cast("long").alias("day")).agg(F.percentile("radius", F.lit(0.9)).alias("upper"), F.count("*").alias("n")), "crop", "day", "upper", "n").select("crop", "day", F.round("fitted", 9).alias("fitted"))),
+             f"WITH {_ISO} SELECT crop, day, round(fitted, 9) AS fitted FROM fit"),
     "agg10": (_of("foliage")(lambda f: f.groupBy("plant_id", "sector").agg(F.percentile("distance_mm", F.lit(0.98)).alias("edge_mm"), F.count("*").alias("n")).where("n >= 3").select("plant_id", "sector", F.round("edge_mm", 6).alias("edge_mm"))),
               "SELECT plant_id, sector, round(quantile_cont(distance_mm, 0.98), 6) AS edge_mm FROM foliage GROUP BY ALL HAVING count(*) >= 3"),
     "agg13": (_of("sightings")(lambda s: s.select("measurement_id", F.round(S.fused_confidence(c("confidence"), c("coverage"), c("first_sector") % 6 + 1, c("image_quality"), c("truncated")), 6).alias("confidence"))),
@@ -114,9 +114,9 @@ n AS (SELECT f.id, ring, angle, f.x, f.y, arg_min(p.id, (sqrt((f.x - p.x) * (f.x
 g AS (SELECT n.*, (SELECT round(min(sqrt((n.x - ox) * (n.x - ox) + (n.y - oy) * (n.y - oy)) - reach), 6) FROM o) AS clearance FROM n) SELECT id, ring, angle, anchor_id FROM g QUALIFY ROW_NUMBER() OVER (PARTITION BY id ORDER BY ring, clearance DESC, angle) = 1"""),
     "grd1": (_of("beds")(planning.capture_grid),
              f'WITH {_GRID} SELECT bed_id, "index", "row", "column", x, y FROM cells'),
-    "grd2": (_of("beds")(lambda b: planning.cell_bounds(planning.capture_grid(b), b).select("bed_id", "index", *[F.round(n, 3).alias(n) for n in ("x0", "x1", "y0", "y1")])),
+    "grd2": (_of("beds")(lambda b: planning.cell_bounds(planning.capture_grid(b), b).select("bed_id", "index", *[F.round(n, 6).alias(n) for n in ("x0", "x1", "y0", "y1")])),
              f"""WITH {_GRID}, cx AS (SELECT bed_id, "column", width_mm, x, lag(x) OVER (PARTITION BY bed_id ORDER BY "column") AS a, lead(x) OVER (PARTITION BY bed_id ORDER BY "column") AS b FROM (SELECT DISTINCT bed_id, "column", width_mm, x FROM cells)), cy AS (SELECT bed_id, "row", depth_mm, y, lag(y) OVER (PARTITION BY bed_id ORDER BY "row") AS a, lead(y) OVER (PARTITION BY bed_id ORDER BY "row") AS b FROM (SELECT DISTINCT bed_id, "row", depth_mm, y FROM cells))
-SELECT cells.bed_id, "index", round(coalesce((cx.a + cx.x) / 2, 0), 3) AS x0, round(coalesce((cx.x + cx.b) / 2, cx.width_mm), 3) AS x1, round(coalesce((cy.a + cy.y) / 2, 0), 3) AS y0, round(coalesce((cy.y + cy.b) / 2, cy.depth_mm), 3) AS y1 FROM cells JOIN cx ON cx.bed_id = cells.bed_id AND cx."column" = cells."column" JOIN cy ON cy.bed_id = cells.bed_id AND cy."row" = cells."row" """),
+SELECT cells.bed_id, "index", round(coalesce((cx.a + cx.x) / 2, 0), 6) AS x0, round(coalesce((cx.x + cx.b) / 2, cx.width_mm), 6) AS x1, round(coalesce((cy.a + cy.y) / 2, 0), 6) AS y0, round(coalesce((cy.y + cy.b) / 2, cy.depth_mm), 6) AS y1 FROM cells JOIN cx ON cx.bed_id = cells.bed_id AND cx."column" = cells."column" JOIN cy ON cy.bed_id = cells.bed_id AND cy."row" = cells."row" """),
     "grd6": (_of("detections", "plants")(lambda d, p: planning.open_ground(d.select(c("detection_id").alias("id"), "x", "y"), p).select("id")),
              "SELECT detection_id AS id FROM detections d WHERE NOT EXISTS (SELECT 1 FROM plants p WHERE sqrt((d.x - p.x) * (d.x - p.x) + (d.y - p.y) * (d.y - p.y)) <= p.radius + 45)"),
 }

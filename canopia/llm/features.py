@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopia.llm.common import slices
+from canopia.llm.common import cut, slices
 
 PIECE = 1 << 19
 BASE = np.uint64(0x100000001B3)
@@ -115,18 +115,24 @@ def vector(text: str | None, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
 
 
 def training_vectors(docs: DataFrame, grams: Grams, label: str) -> tuple[list, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Ids, labels and vectors of the (bounded, already sampled) rows of docs (doc_id, text, label), by id."""
+    """Ids, labels and vectors of the (bounded, already sampled) rows of docs (doc_id, text, label), by id.
+
+    Vectors are made in parallel and written; the driver takes them a partition
+    at a time, as bytes in the narrowest types, and keeps one copy.
+    """
+    narrow = np.min_scalar_type((1 << grams.bits) - 1)
 
     def run(batches):
         for batch in batches:
             rows = [vector(t, grams) for _, texts in slices(batch, 1) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))], ["doc_id", "label", "buckets", "shares"])
+            packed = [pa.array([r[0].astype(narrow).tobytes() for r in rows], pa.binary()), pa.array([r[1].tobytes() for r in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *packed], ["doc_id", "label", "buckets", "shares"])
 
     kind = docs.schema[label].dataType.simpleString()
-    rows = docs.select(F.col("doc_id").cast("long"), "text", label).mapInArrow(run, f"doc_id long, label {kind}, buckets array<int>, shares array<float>").toArrow().sort_by("doc_id")
-    buckets, shares = rows.column("buckets").combine_chunks(), rows.column("shares").combine_chunks()
-    pairs = [(buckets[i].values.to_numpy(), shares[i].values.to_numpy()) for i in range(len(rows))]
-    return rows.column("doc_id").to_pylist(), np.array(rows.column("label").to_pylist()), pairs
+    made = cut(docs.select(F.col("doc_id").cast("long"), "text", label).mapInArrow(run, f"doc_id long, label {kind}, buckets binary, shares binary"))
+    rows = sorted(((r[0], r[1], bytes(r[2]), bytes(r[3])) for r in made.toLocalIterator()), key=lambda r: r[0])
+    pairs = [(np.frombuffer(b, narrow), np.frombuffer(s, np.float32)) for _, _, b, s in rows]
+    return [r[0] for r in rows], np.array([r[1] for r in rows]), pairs
 
 
 def sampled(rate: float | Column, seed: int = 7) -> Column:

@@ -136,3 +136,73 @@ def expired(artifacts: DataFrame, time: str, now: Column, mask: Column, mask_day
     """snk10: artifacts past their keeping time; masks are kept for a shorter one."""
     age = now.cast("long") - F.col(time).cast("timestamp").cast("long")
     return artifacts.where(age > F.when(mask, mask_days * 86400).otherwise(days * 86400))
+
+
+def rejected_near(detections: DataFrame, tolerance: float = 40.0) -> DataFrame:
+    """dec11: detection_id and status of pending detections after all rejections: one within the tolerance rejects them."""
+    open_ = detections.where(F.col("status").isin("recommended", "observing")).select(F.col("detection_id").alias("id"), "x", "y", "status")
+    discs = detections.where("status = 'rejected'").select("x", "y", F.lit(tolerance).alias("reach")).distinct()
+    hit = geometry.reached(open_, discs, tolerance).withColumn("hit", F.lit(True))
+    return open_.join(hit, "id", "left").select(F.col("id").alias("detection_id"), F.when(F.col("hit"), "rejected").otherwise(F.col("status")).alias("status"))
+
+
+def upserted(writes: DataFrame, key: str, order: str, replaced: list[str], kept: list[str], first: list[str]) -> DataFrame:
+    """dec14, dec16: one row a key from its writes: columns that the last write replaces, columns that keep their
+    last value over nulls, and columns that the first write sets for good. Partial aggregates, no sort."""
+    last = [F.max_by(c, order).alias(c) for c in replaced]
+    known = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in kept]
+    return writes.groupBy(key).agg(*last, *known, *[F.min_by(c, order).alias(c) for c in first])
+
+
+def boundary_union(views: DataFrame, key: str, sectors: Column, total: int = 72) -> DataFrame:
+    """set4: share of the boundary's sectors that any view of the key covers; at most `total` values a key are gathered."""
+    seen = views.select(key, F.explode_outer(sectors).alias("sector")).distinct()
+    return seen.groupBy(key).agg(F.count("sector").alias("sectors")).select(key, (F.col("sectors") / total).alias("coverage"))
+
+
+def due(at: Column, days: tuple[int, ...], clock: str, enabled: bool = True) -> Column:
+    """fn20: whether a schedule fires in that minute; days count from Monday, 0, and none means never."""
+    return F.lit(enabled) & F.weekday(at).isin(*days) & (F.date_format(at, "HH:mm") == clock) if days else F.lit(False)
+
+
+def selected_images(images: DataFrame, excluded: DataFrame) -> DataFrame:
+    """q23: processed images that are not excluded (id), for one job."""
+    return images.where("processed").join(excluded.select("id").distinct(), "id", "left_anti")
+
+
+def applicable(status: Column, height: Column, x: Column, y: Column, point: Column, updated: Column) -> Column:
+    """q24: whether a measured soil height may be applied: valid, with a place, and for a known point its update time."""
+    return (status == "valid") & height.isNotNull() & x.isNotNull() & y.isNotNull() & ((F.coalesce(point, F.lit(0)) == 0) | updated.isNotNull())
+
+
+def absence(observations: DataFrame, least: int = 2, sure: float = 0.5) -> DataFrame:
+    """dec8: for each counted observation (weed_id, image_id, at, id, absent, confidence, fully_visible) how often in a
+    row the weed was absent, the least confidence of that run, and whether the weed may be removed.
+
+    Only fully visible weeds count, each once an image; a present one starts anew.
+    """
+    once = W.partitionBy("weed_id", "image_id").orderBy("at", "id")
+    rows = observations.where("fully_visible").withColumn("_n", F.row_number().over(once)).where("_n = 1")
+    order = W.partitionBy("weed_id").orderBy("at", "id").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("_run", F.count_if(~F.col("absent")).over(order))
+    within = W.partitionBy("weed_id", "_run").orderBy("at", "id").rowsBetween(W.unboundedPreceding, 0)
+    streak, least_sure = F.count_if("absent").over(within), F.min(F.when(F.col("absent"), F.col("confidence"))).over(within)
+    rows = rows.withColumns({"streak": streak, "confidence": F.when(F.col("absent"), least_sure).otherwise(F.col("confidence"))})
+    return rows.select("weed_id", "id", "streak", "confidence", (F.col("absent") & (F.col("streak") >= least) & (F.col("confidence") >= sure)).alias("remove"))
+
+
+#: The directions in which an obstructed cell is viewed again, in shares of the offset.
+ASIDE = ((-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (1, -1), (-1, 1), (1, 1), (-0.5, 0), (0.5, 0), (0, -0.5), (0, 0.5))
+
+
+def views_aside(cells: DataFrame, share: float = 0.2, least: float = 20.0, most: int = 4) -> DataFrame:
+    """grd9: the first `most` distinct places beside each cell (bed_id, index, x, y, width_mm, depth_mm, frame_x, frame_y), kept on the bed.
+
+    Map-only: a row's places are made and told apart within it.
+    """
+    dx, dy = (F.greatest(F.lit(least), F.col(f) * share) for f in ("frame_x", "frame_y"))
+    on = lambda at, span: F.round(F.least(F.col(span), F.greatest(F.lit(0.0), at)), 3)
+    places = F.array(*[F.struct(on(F.col("x") + dx * float(i), "width_mm").alias("x"), on(F.col("y") + dy * float(j), "depth_mm").alias("y")) for i, j in ASIDE])
+    moved = F.filter(places, lambda p: (p["x"] != F.col("x")) | (p["y"] != F.col("y")))
+    rows = cells.select("bed_id", "index", F.posexplode(F.slice(F.array_distinct(moved), 1, most)).alias("turn", "p"))
+    return rows.select("bed_id", "index", "turn", "p.x", "p.y")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from canopia.operators import geometry, reviews, store
+from canopia.operators import evidence, geometry, planning, reviews, store
 from canopia.plans.garden import _PENDING, _of
+from canopia.plans.garden import PLANS as GARDEN
+from canopia.plans.measures import _GRID
 from canopia.sources.tables import view
 from canopia.streaming import events
 
@@ -61,6 +63,19 @@ def _waiting(spark, sf_dir):
     return events.drained(spark, stream.join(gone, "event_id", "left_anti")).select("event_id", "user_id")
 
 
+def _queue(m, d, w):
+    found = store.recent(w.where("status IN ('recommended', 'observing')"), "image_timestamp", "detection_id", 100)
+    return store.review_queue(m, d).select(F.lit("plant").alias("kind"), F.col("plant_id").alias("id")).unionByName(found.select(F.lit("weed").alias("kind"), F.col("detection_id").alias("id")))
+
+
+def _tracks(spark, sf_dir):
+    """str5: tracks of weed candidates, one state an observer."""
+    seen = events.event_stream(spark, sf_dir).selectExpr("user_id AS entry_id", "event_id AS detection_id", "event_id % 211 AS image_id", "ts", "CAST((event_id * 211) % 3000 AS DOUBLE) AS x", "CAST((event_id * 131) % 1500 AS DOUBLE) AS y", "CAST((event_id * 17) % 1000 AS DOUBLE) / 1000 AS confidence")
+    return events.drained(spark, events.candidate_tracks(seen, 150.0, 240))
+
+
+_APPLICABLE = "status = 'valid' AND proposed_z_mm IS NOT NULL AND (point_id = 0 OR measurement_id % 3 <> 0)"
+
 PLANS = {
     "win5": (_of("measurements", "decisions")(reviews.superseded),
              "SELECT measurement_id, 'superseded' AS action FROM measurements m WHERE EXISTS (SELECT 1 FROM measurements o WHERE o.plant_id = m.plant_id AND o.image_id = m.image_id AND o.measurement_id > m.measurement_id) AND NOT EXISTS (SELECT 1 FROM decisions d WHERE d.measurement_id = m.measurement_id AND d.action = 'superseded')"),
@@ -90,5 +105,28 @@ PLANS = {
              "SELECT id FROM (SELECT id, ROW_NUMBER() OVER (ORDER BY created_at DESC, id DESC) AS n FROM images) WHERE n > 256"),
     "snk10": (_of("detections")(lambda d: reviews.expired(d, "image_timestamp", F.lit(NOW).cast("timestamp"), F.col("has_crop")).select("detection_id")),
               f"SELECT detection_id FROM detections WHERE floor(epoch(TIMESTAMP '{NOW}')) - floor(epoch(image_timestamp)) > CASE WHEN has_crop THEN 7 ELSE 14 END * 86400"),
+    "dec11": (_of("detections")(reviews.rejected_near),
+              "SELECT detection_id, CASE WHEN EXISTS (SELECT 1 FROM detections r WHERE r.status = 'rejected' AND sqrt(power(r.x - d.x, 2) + power(r.y - d.y, 2)) <= 40) THEN 'rejected' ELSE status END AS status FROM detections d WHERE status IN ('recommended', 'observing')"),
+    "dec14": (_of("measurements")(lambda m: reviews.upserted(m.selectExpr("plant_id", "measurement_id", "image_id", "CASE WHEN measurement_id % 3 = 0 THEN confidence ELSE NULL END AS confidence", "visible_fraction"), "plant_id", "measurement_id", ["image_id"], ["confidence"], ["visible_fraction"]).fillna(-1.0, ["confidence"])),
+              "SELECT plant_id, arg_max(image_id, measurement_id) AS image_id, coalesce(arg_max(confidence, measurement_id) FILTER (measurement_id % 3 = 0), -1) AS confidence, arg_min(visible_fraction, measurement_id) AS visible_fraction FROM measurements GROUP BY plant_id"),
+    "set4": (_of("sightings")(lambda s: reviews.boundary_union(s, "plant_id", evidence.sectors(F.col("first_sector"), F.col("coverage"))).select("plant_id", F.round("coverage", 9).alias("coverage"))),
+             "WITH se AS (SELECT plant_id, (k + first_sector) % 72 AS sector FROM (SELECT plant_id, first_sector, unnest(range(CAST(round_even(coverage * 72, 0) AS BIGINT))) AS k FROM sightings)) SELECT plant_id, round(count(DISTINCT sector) / 72, 9) AS coverage FROM (SELECT plant_id, sector FROM se UNION ALL SELECT DISTINCT plant_id, NULL FROM sightings) GROUP BY plant_id"),
+    "fn20": (_of("images")(lambda i: i.select("id", reviews.due(F.col("created_at"), (0, 2, 5), "12:30").alias("due"))),
+             "SELECT id, isodow(created_at) IN (1, 3, 6) AND strftime(created_at, '%H:%M') = '12:30' AS due FROM images"),
+    "fn24": (_of("plants")(lambda p: p.where(F.lower("crop").contains("econ")).select("id", "crop")),
+             "SELECT id, crop FROM plants WHERE contains(lower(crop), 'econ')"),
+    "q17": (_of("soil_measurements")(lambda s: store.recent(s, "created_at", "measurement_id", 100).select("measurement_id", "point_id", "status")),
+            "SELECT measurement_id, point_id, status FROM soil_measurements ORDER BY created_at DESC, measurement_id DESC LIMIT 100"),
+    "q22": (_of("measurements", "decisions", "detections")(_queue),
+            f"SELECT 'plant' AS kind, plant_id AS id FROM ({GARDEN['q32'][1]}) UNION ALL SELECT 'weed', detection_id FROM (SELECT detection_id FROM detections WHERE status IN ('recommended', 'observing') ORDER BY image_timestamp DESC, detection_id DESC LIMIT 100)"),
+    "q23": (_of("images", "decisions")(lambda i, d: reviews.selected_images(i, d.where("action = 'reject'").select(F.col("measurement_id").alias("id"))).select("id", "x", "y")),
+            "SELECT id, x, y FROM images WHERE processed AND id NOT IN (SELECT measurement_id FROM decisions WHERE action = 'reject')"),
+    "q24": (_of("soil_measurements")(lambda s: s.select("measurement_id", reviews.applicable(F.col("status"), F.col("proposed_z_mm"), F.col("capture_x"), F.col("capture_y"), F.col("point_id"), F.when(_expr("measurement_id % 3 <> 0"), F.col("created_at"))).alias("applicable"))),
+            f"SELECT measurement_id, {_APPLICABLE} AS applicable FROM soil_measurements"),
+    "dec8": (_of("sightings")(lambda s: reviews.absence(s.selectExpr("plant_id AS weed_id", "measurement_id % 97 AS image_id", "image_timestamp AS at", "measurement_id AS id", "NOT has_evidence AS absent", "confidence", "center_visible AND NOT truncated AS fully_visible"), 1)),
+             "WITH ob AS (SELECT plant_id AS weed_id, image_timestamp AS t, measurement_id AS id, NOT has_evidence AS absent, confidence FROM sightings WHERE center_visible AND NOT truncated QUALIFY ROW_NUMBER() OVER (PARTITION BY plant_id, measurement_id % 97 ORDER BY image_timestamp, measurement_id) = 1), rn AS (SELECT *, count(*) FILTER (NOT absent) OVER (PARTITION BY weed_id ORDER BY t, id) AS run FROM ob), sk AS (SELECT weed_id, id, absent, count(*) FILTER (absent) OVER w AS streak, CASE WHEN absent THEN min(confidence) FILTER (absent) OVER w ELSE confidence END AS confidence FROM rn WINDOW w AS (PARTITION BY weed_id, run ORDER BY t, id)) SELECT weed_id, id, streak, confidence, absent AND streak >= 1 AND confidence >= 0.5 AS remove FROM sk"),
+    "grd9": (_of("beds")(lambda b: reviews.views_aside(planning.capture_grid(b).join(b, "bed_id"))),
+             f"WITH {_GRID}, vc(p, i, j) AS (VALUES {', '.join(f'({k}, {i}, {j})' for k, (i, j) in enumerate(reviews.ASIDE))}), mv AS (SELECT c.bed_id, c.index, p, c.x AS ox, c.y AS oy, round(least(b.width_mm, greatest(0, c.x + greatest(20, b.frame_x * 0.2) * i)), 3) AS x, round(least(b.depth_mm, greatest(0, c.y + greatest(20, b.frame_y * 0.2) * j)), 3) AS y FROM cells c JOIN beds b ON b.bed_id = c.bed_id, vc), ds AS (SELECT bed_id, index, x, y, min(p) AS p FROM mv WHERE x <> ox OR y <> oy GROUP BY ALL) SELECT bed_id, index, x, y, turn FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY bed_id, index ORDER BY p) - 1 AS turn FROM ds) WHERE turn < 4"),
+    "str5": (_tracks, None),
     "str2": (_waiting, "SELECT event_id, user_id FROM events WHERE event_id NOT IN (SELECT measurement_id FROM decisions WHERE action = 'reject')"),
 }

@@ -101,6 +101,27 @@ def test_ml5_scores_every_sample(spark, sf_dir):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_tracks_equal_a_fold(spark, sf_dir):
+    tracks, want = {}, set()
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("ts", "event_id").collect()
+    for e in events:
+        x, y, own = e.event_id * 211 % 3000, e.event_id * 131 % 1500, tracks.setdefault(e.user_id, [])
+        near = [t for t in own if (e.ts - t["seen"]).total_seconds() <= 240 * 3600 and math.dist((x, y), t["at"]) <= 150]
+        if near:
+            track = min(near, key=lambda t: math.dist((x, y), t["at"]))
+            if track["image"] != e.event_id % 211:
+                n = track["n"]
+                track.update(at=((track["at"][0] * n + x) / (n + 1), (track["at"][1] * n + y) / (n + 1)), n=n + 1, seen=e.ts, image=e.event_id % 211)
+        else:
+            track = {"id": e.event_id, "at": (x, y), "n": 1, "seen": e.ts, "image": e.event_id % 211}
+            own.append(track)
+        want.add((e.event_id, track["id"], track["n"], round(track["at"][0], 6)))
+    found = registry.QUERIES["str5"](spark, sf_dir).collect()
+    assert {(r.detection_id, r.track, r.observations, round(r.x, 6)) for r in found} == want
+    assert len(found) == len(events)
+    assert max(n for _, _, n, _ in want) > 1
+
+
 def test_zone_settings_are_checked():
     with pytest.raises(ValueError):
         zones.Zone("line", "exclusion", points=((0, 0), (1, 1)))

@@ -184,3 +184,16 @@ def test_balanced_partitions_keep_their_size():
     x = neighbours._unit(np.random.default_rng(0).normal(size=(500, 8)))
     part = neighbours.balanced_partition(x, neighbours.neighbour_graph(x, 5), 7)
     assert np.bincount(part, minlength=7).max() <= np.ceil(1.1 * 500 / 7) + 1 and len(set(part)) == 7
+
+
+def test_passage_with_a_phrase_that_stands_earlier_in_the_representative():
+    """The shared run is aligned on its own diagonal, wherever else its shingles occur."""
+    rng = np.random.default_rng(3)
+    shared, other = rng.integers(1, 1 << 62, 60).astype(np.uint64), rng.integers(1, 1 << 62, 400).astype(np.uint64)
+    whole = np.concatenate((other[:50], shared[28:31], other[50:90], shared[:9], other[90:120], shared[50:], other[120:200], shared, other[200:]))
+    at = 50 + 3 + 40 + 9 + 30 + 10 + 80
+    assert passages.matches(shared, whole, 46, 0.8) == [(0, 60, at, at + 60, 1.0)]
+    assert passages.matches(np.concatenate((other[:20], shared)), np.concatenate((shared[30:31], whole, whole)), 46, 0.8)[0][:2] == (20, 80)
+    ones = np.ones(3000, np.uint64)
+    start, end, *_, score = passages.matches(ones, ones[:2000], 46, 0.8)[0]
+    assert start == 0 and 2000 <= end <= 2000 + passages.GAP and score == 1

@@ -197,3 +197,15 @@ def test_passage_with_a_phrase_that_stands_earlier_in_the_representative():
     ones = np.ones(3000, np.uint64)
     start, end, *_, score = passages.matches(ones, ones[:2000], 46, 0.8)[0]
     assert start == 0 and 2000 <= end <= 2000 + passages.GAP and score == 1
+
+
+def test_passages_count_words_between_ascii_white_space(spark):
+    """Other spaces stand inside words, before a shared passage and in it."""
+    rng = random.Random(12)
+    shared = text(rng, 52)
+    for k, space in zip((5, 15, 25, 35, 45), "  　\u0085\x1c", strict=True):
+        shared[k] = f"a{space}b{k}"
+    odd = [f"une{c}fois{i}" for i, c in enumerate("  　\u0085\x1c\x1f" * 8)]
+    docs = {1: text(rng, 70) + shared + text(rng, 50), 2: odd + shared + text(rng, 60), 3: odd[::-1] + text(rng, 7) + shared}
+    found = passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.rep_id) for r in found if docs[r.doc_id][r.start : r.end] == shared == docs[1][r.rep_start : r.rep_end]} == {(2, 1), (3, 1)}

@@ -209,3 +209,19 @@ def test_passages_count_words_between_ascii_white_space(spark):
     docs = {1: text(rng, 70) + shared + text(rng, 50), 2: odd + shared + text(rng, 60), 3: odd[::-1] + text(rng, 7) + shared}
     found = passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).collect()
     assert {(r.doc_id, r.rep_id) for r in found if docs[r.doc_id][r.start : r.end] == shared == docs[1][r.rep_start : r.rep_end]} == {(2, 1), (3, 1)}
+
+
+def test_passages_of_documents_that_meet_unrelated_smaller_ones(spark):
+    """Smaller documents hold every low-hash shingle of a passage in other contexts; near copies differ in their words."""
+    rng = random.Random(21)
+    shared, near = text(rng, 50), text(rng, 60)
+    docs = {}
+    for i in range(41):  # pieces of ten words, apart from each other
+        docs[i] = text(rng, 60) + shared[i : i + 10] + text(rng, 60)
+    docs |= {60: text(rng, 70) + shared + text(rng, 60), 61: text(rng, 90) + shared + text(rng, 55)}
+    for i in range(70, 75):  # pieces of thirty words that two functions may well agree on
+        docs[i] = text(rng, 60) + near[(i - 70) * 7 :][:30] + text(rng, 60)
+    docs |= {i: text(rng, 40 + i) + near + text(rng, 60) for i in range(80, 100)}
+    found = passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.rep_id) for r in found} == {(61, 60)} | {(i, 80) for i in range(81, 100)}
+    assert all(docs[r.doc_id][r.start : r.end] == docs[r.rep_id][r.rep_start : r.rep_end] == (shared if r.doc_id == 61 else near) for r in found)

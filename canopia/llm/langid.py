@@ -7,7 +7,7 @@ machines are columns of one table of bucket weights, so a document is scored in
 one pass without a shuffle.
 
 The training sample is bounded: about `per_lang` documents of each language,
-chosen by a hash of the id (of at most `max_langs` languages, the most frequent).
+of all languages, chosen by a hash of the id.
 
 Defined results: `und` with score 0 for a null text, a text without letters, or
 when nothing was learned; a family with one language needs no second stage;
@@ -27,7 +27,7 @@ from canopia.llm.common import is_held_out, table
 from canopia.llm.features import Grams, sampled, scored, training_vectors
 
 GRAMS = Grams(chars=(1, 2, 3), words=(1,), bits=16, lower=True)
-PER_LANG, MAX_LANGS = 1000, 100
+PER_LANG = 1000
 EPOCHS, REGULAR, SCALE = 8, 1e-5, 30.0
 LETTER = re.compile(r"[^\W\d_]")
 #: Language families. A language in none of them is a family of its own.
@@ -111,10 +111,10 @@ class Machines:
         return best.tolist(), score
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS, grams: Grams = GRAMS) -> Machines | None:
+def fit(docs: DataFrame, per_lang: int = PER_LANG, grams: Grams = GRAMS) -> Machines | None:
     """The machines from docs (doc_id, text, lang), already limited to rows that may teach."""
     known = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string").alias("label"))
-    counts = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_langs).collect()
+    counts = known.groupBy("label").count().orderBy(F.desc("count"), "label").collect()
     if not counts:
         return None
     rates = F.create_map(*[F.lit(x) for r in counts for x in (r["label"], min(1.0, per_lang / r["count"]))])

@@ -199,3 +199,11 @@ def test_mixing_shares_go_to_siblings_first(spark):
     taken = {(r.source): r["sum(n)"] for r in mixing.mix(docs, weights, epochs=1, percent=50).groupBy("source").agg({"epochs": "sum"}).withColumnRenamed("sum(epochs)", "sum(n)").collect()}
     # 2500 tokens: 1250 a domain; en and de 625 each; src0 gives its 100, src3 the other 525
     assert taken == {"src0": 10, "src3": 52, "src6": 62, "src1": 125}
+
+
+def test_every_language_is_taught(spark):
+    """More languages than a hundred, each with words of its own."""
+    rows = [(3 * k + i, f"word{k}x only{k}y here{k}z " * 3, f"l{k:03d}") for k in range(104) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    machines = langid.fit(docs)
+    assert machines.langs == sorted({r[2] for r in rows})

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,18 +22,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _shared(spark: SparkSession) -> str:
+    """The checkpoint folder in use, set from the session's configuration if need be."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the cluster's checkpoint folder and returns it without lineage.
 
     The folder is the session's spark.checkpoint.dir; only where that is unset
-    (local tests) a temporary one is taken.
+    and the master is local (tests) a temporary one is taken.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the checkpoint folder: like `cut`, for large tables of which a reader may want few columns."""
+    spark = df.sparkSession
+    path = f"{_shared(spark)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_CHARS) -> Iterator[tuple[int, list[str | None]]]:
     """Consecutive runs of a text column with about `most` characters each, with the row they start at."""
     values = batch.column(column)

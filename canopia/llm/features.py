@@ -1,12 +1,15 @@
 """Hashed word and character n-grams of texts, in numpy over many texts at once, and linear scores from them.
 
-A feature is a bucket; a text's vector is the mean over its features. Texts of
-over PIECE characters are taken in consecutive pieces, all of them; n-grams do
-not cross pieces.
+A feature is a bucket; a text's vector is the mean over its features. Texts are
+taken whole. One of over PIECE characters is worked on in pieces that overlap
+where n-grams cross a cut, and each n-gram counts in the piece it starts in, so
+the features are those of the whole text. Cuts lie at white space; only a word
+that is itself longer than a piece makes its piece longer.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -52,14 +55,63 @@ def words(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, last, (total[last] - total[first]) * back[first]
 
 
-def _streams(texts: list[str], grams: Grams) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each kind of n-gram: buckets in text order, and where each text's run starts and ends."""
-    if grams.lower:
-        texts = [t.lower() for t in texts]
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+class _Piece(NamedTuple):
+    """Part of a text: n-grams count that start in the first `own` characters; the rest only completes them."""
+
+    owner: int
+    text: str
+    own: int
+
+
+SPACE = re.compile("[\t\n\x0b\x0c\r ]")
+SOLID = re.compile("[^\t\n\x0b\x0c\r ]+")
+
+
+def _tail(text: str, at: int, grams: Grams) -> int:
+    """Where the characters end that complete n-grams starting before `at`."""
+    end = at + max(grams.chars, default=1) - 1
+    seen = at
+    for _ in range(max(grams.words, default=1) - 1):
+        word = SOLID.search(text, seen)
+        if not word:
+            return len(text)
+        seen = word.end()
+    return min(len(text), max(end, seen))
+
+
+def _pieces(texts: list[str | None], grams: Grams, size: int) -> Iterator[list[_Piece]]:
+    """Pieces of the texts, about `size` characters at a time."""
+    run, total = [], 0
+    for i, text in enumerate(texts):
+        text = (text or "").lower() if grams.lower else text or ""
+        at = 0
+        while at < len(text):
+            stop = len(text)
+            if at + size < stop and (space := SPACE.search(text, at + size)):
+                stop = space.start() + 1
+            piece = _Piece(i, text[at : _tail(text, stop, grams)], stop - at)
+            if total + len(piece.text) > size and run:
+                yield run
+                run, total = [], 0
+            run.append(piece)
+            total += len(piece.text)
+            at = stop
+    if run:
+        yield run
+
+
+def _bounded(low: np.ndarray, high: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    low = np.minimum(low, n)
+    return low, np.clip(high, low, n)
+
+
+def _streams(pieces: list[_Piece], grams: Grams) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each kind of n-gram: buckets in text order, and where each piece's run starts and ends."""
+    sizes = np.fromiter((len(p.text) for p in pieces), np.int64, len(pieces))
+    own = np.fromiter((p.own for p in pieces), np.int64, len(pieces))
     start = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
     end = start + sizes
-    cp = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    cp = np.frombuffer("\n".join(p.text for p in pieces).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     h = np.zeros(len(cp), np.uint64)
     done = 0
     for n in sorted(grams.chars):
@@ -68,38 +120,23 @@ def _streams(texts: list[str], grams: Grams) -> Iterator[tuple[np.ndarray, np.nd
             h *= BASE
             h += cp[k : k + len(h)]
         done = n
-        yield _bucket(h, grams.bits, n), start, np.maximum(start, end - n + 1)
+        yield _bucket(h, grams.bits, n), *_bounded(start, np.minimum(end - n + 1, start + own), len(h))
     if grams.words:
         first, _, word = words(cp)
-        low, high = np.searchsorted(first, start), np.searchsorted(first, end)
+        low, high, top = (np.searchsorted(first, x) for x in (start, end, start + own))
         for n in grams.words:
             h = word[: max(0, len(word) - n + 1)].copy()
             for k in range(1, n):
                 h = h * MIX + word[k : k + len(h)]
-            yield _bucket(h, grams.bits, 100 + n), low, np.maximum(low, high - n + 1)
-
-
-def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-    """Pieces of the texts, about PIECE characters at a time, and the texts they are from."""
-    owner, run, size = [], [], 0
-    for i, text in enumerate(texts):
-        for at in range(0, len(text or ""), PIECE):
-            piece = text[at : at + PIECE]
-            if size + len(piece) > PIECE and run:
-                yield owner, run
-                owner, run, size = [], [], 0
-            owner.append(i)
-            run.append(piece)
-            size += len(piece)
-    if run:
-        yield owner, run
+            yield _bucket(h, grams.bits, 100 + n), *_bounded(low, np.minimum(high - n + 1, top), len(h))
 
 
-def sums(texts: list[str | None], grams: Grams, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def sums(texts: list[str | None], grams: Grams, weights: np.ndarray, size: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
     """Per text the sum of weights[bucket] over its features (weights: buckets by outputs), and their number."""
     out, n = np.zeros((len(texts), weights.shape[1])), np.zeros(len(texts))
-    for owner, run in _pieces(texts):
-        for bucket, low, high in _streams(run, grams):
+    for pieces in _pieces(texts, grams, size):
+        owner = [p.owner for p in pieces]
+        for bucket, low, high in _streams(pieces, grams):
             np.add.at(n, owner, high - low)
             for k in range(weights.shape[1]):
                 total = np.concatenate(([0.0], np.cumsum(weights[:, k].take(bucket), dtype=np.float64)))
@@ -107,9 +144,9 @@ def sums(texts: list[str | None], grams: Grams, weights: np.ndarray) -> tuple[np
     return out, n
 
 
-def vector(text: str | None, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
+def vector(text: str | None, grams: Grams, size: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
     """A text's buckets, ascending, and their shares of its features."""
-    parts = [b[lo[k] : hi[k]] for _, run in _pieces([text]) for b, lo, hi in _streams(run, grams) for k in range(len(run))]
+    parts = [b[lo[k] : hi[k]] for pieces in _pieces([text], grams, size) for b, lo, hi in _streams(pieces, grams) for k in range(len(pieces))]
     bucket, count = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True)
     return bucket.astype(np.int32), (count / max(1, count.sum())).astype(np.float32)
 

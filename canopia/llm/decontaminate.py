@@ -1,21 +1,30 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark windows.
+"""Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark texts.
 
-Benchmark items become windows of consecutive words; all windows make one
-automaton, which scans each normalised text once. Matches give the words hit,
-and the words' places in the original text give character spans.
+A window is a number of consecutive words of an item. Any window holds a whole
+block of half that many words, counted from the item's start, so the automaton
+is made of the items' blocks (over word numbers, a node a word; items shorter
+than a window are a block of their own) and finds all places where a window may
+occur. Each is extended over the item's words around the block; a stretch as
+long as a window is hit. The text is scanned once, and the words' places in the
+original text give character spans.
 
-The automaton is broadcast, so its size is bounded: items are dealt into
-shards of at most `shard_chars` window characters by running totals, and each
-shard is scanned in turn. A benchmark of the usual size is one shard.
+The automaton is broadcast: about 150 bytes a benchmark word, and 100 for each
+different word. A benchmark of over MOST_CHARS characters is not collected;
+hashes of its windows are joined with those of the texts instead, with the same
+result.
 
 Defined results: a null text has no words; an item without words is no window;
 repeated rows of a document each give a row; items with equal windows are all
-reported; a null item_id is left out; an empty benchmark contaminates nothing.
+reported; a null item_id is left out; very long texts are scanned whole; columns
+other than the id, the text and those in `keep` are ignored; an empty table gives
+an empty result, and an empty benchmark contaminates nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -23,13 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopia.llm.common import slices, table
+from canopia.llm.common import cut, slices, table
 
 WINDOW = 13
 #: Share of a document's words, as 1 in so many, from which it is contaminated.
 SHARE = 20
-#: Window characters of one automaton: about 30 bytes of memory each.
-SHARD_CHARS = 4_000_000
+#: Benchmark characters up to which there is an automaton (under 1 GB of memory); beyond it, windows are joined.
+MOST_CHARS = 32_000_000
+#: Windows of a text that are hashed at once.
+SLICE = 1 << 14
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Lower-case for A to Z, a space for other ASCII that is no letter or digit.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else 32 if b < 0x30 or 0x39 < b < 0x61 or 0x7A < b < 0x80 else b for b in range(256))
@@ -42,12 +53,6 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in (text or "").encode("utf-8", "surrogatepass").translate(NORMAL).decode("utf-8", "surrogatepass").split(" ") if w]
 
 
-def normalise(text: str | None) -> tuple[str, int]:
-    """The text's words with a space before, between and after them, and their number."""
-    words = words_of(text)
-    return f" {' '.join(words)} ", len(words)
-
-
 def windows(text: str | None, width: int = WINDOW) -> list[tuple[str, int]]:
     """Distinct windows of an item, with their number of words."""
     words = words_of(text)
@@ -55,52 +60,54 @@ def windows(text: str | None, width: int = WINDOW) -> list[tuple[str, int]]:
     return list(dict.fromkeys((f" {' '.join(run)} ", len(run)) for run in runs))
 
 
-def automata(benchmark: DataFrame, id_col: str, text_col: str, width: int, shard_chars: int):
-    """Automata of the benchmark's windows, one a shard; a window's value is (words, items)."""
-    shard: dict[str, tuple[int, list[int]]] = {}
-    size = 0
-    items = benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).where(F.col(id_col).isNotNull())
-    for item, text in items.toLocalIterator():
-        for window, n in windows(text, width):
-            known = shard.setdefault(window, (n, []))
-            if not known[1]:
-                size += len(window)
-            if item not in known[1]:
-                known[1].append(item)
-        if size >= shard_chars:
-            yield _automaton(shard)
-            shard, size = {}, 0
-    if shard:
-        yield _automaton(shard)
-
-
-def _automaton(shard: dict) -> ahocorasick.Automaton:
-    found = ahocorasick.Automaton()
-    for window, value in shard.items():
-        found.add_word(window, value)
-    found.make_automaton()
-    return found
-
-
-def scan(automaton, text: str | None) -> tuple[int, list[int], list[int]]:
-    """Words of the text, the words hit (ascending) and the items with occurring windows."""
-    normal, n = normalise(text)
-    if not n:
-        return 0, [], []
-    ends, lengths, items = [], [], set()
-    for end, (length, owners) in automaton.iter(normal):
-        ends.append(end)
-        lengths.append(length)
-        items.update(owners)
-    if not ends:
-        return n, [], []
-    # the space at `end` closes the window: as many spaces lie before it as words
-    spaces = np.flatnonzero(np.frombuffer(normal.encode("utf-32-le", "surrogatepass"), np.uint32) == 32)
-    last = np.searchsorted(spaces, np.array(ends))
-    cover = np.zeros(n + 1, np.int64)
-    np.add.at(cover, last - np.array(lengths), 1)
-    np.add.at(cover, last, -1)
-    return n, np.flatnonzero(np.cumsum(cover)[:-1] > 0).tolist(), sorted(items)
+class Benchmark:
+    """The items' words as numbers, and the automaton of their blocks."""
+
+    def __init__(self, items: list[tuple[int, str | None]], width: int = WINDOW):
+        self.width, self.number, self.items = width, {}, []
+        places: dict[tuple, list[tuple[int, int]]] = {}
+        half = (width + 1) // 2
+        for item, text in items:
+            own = tuple(self.number.setdefault(w, len(self.number) + 1) for w in words_of(text))
+            step = half if len(own) >= width else max(1, len(own))
+            for at in range(0, len(own) - step + 1, step):
+                places.setdefault(own[at : at + step], []).append((len(self.items), at))
+            self.items.append((item, own))
+        self.blocks = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for block, where in places.items():
+            self.blocks.add_word(block, (len(block), where))
+        self.blocks.make_automaton()
+        self.empty = not places
+
+    def scan(self, text: str | None) -> tuple[int, list[int], list[int]]:
+        """Words of the text, the words hit (ascending) and the items with occurring windows."""
+        words = words_of(text)
+        n, items = len(words), set()
+        if self.empty or not n:
+            return n, [], []
+        doc = tuple(map(self.number.get, words, repeat(0)))
+        cover, done = None, {}
+        for last, (size, where) in self.blocks.iter(doc):
+            for k, at in where:
+                item, own = self.items[k]
+                shift = last + 1 - size - at
+                if done.get((k, shift), -1) > last:
+                    continue
+                low, high = last + 1 - size, last + 1
+                if len(own) >= self.width:
+                    while low > 0 and low > shift and doc[low - 1] == own[low - 1 - shift]:
+                        low -= 1
+                    while high < n and high - shift < len(own) and doc[high] == own[high - shift]:
+                        high += 1
+                    done[k, shift] = high
+                    if high - low < self.width:
+                        continue
+                if cover is None:
+                    cover = np.zeros(n + 1, np.int64)
+                cover[low] += 1
+                cover[high] -= 1
+                items.add(item)
+        return n, [] if cover is None else np.flatnonzero(np.cumsum(cover)[:-1] > 0).tolist(), sorted(items)
 
 
 def char_spans(text: str, hits: list[int]) -> list[dict]:
@@ -115,30 +122,77 @@ def char_spans(text: str, hits: list[int]) -> list[dict]:
     return out
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, shard_chars: int = SHARD_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, most_chars: int = MOST_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row per row of docs: n_words, hits (words hit), items, char_spans, and the columns `keep` of docs."""
-    sc = docs.sparkSession.sparkContext
-    shards = [sc.broadcast(a) for a in automata(benchmark, item_col, item_text_col, width, shard_chars)]
-    kinds = dict(docs.dtypes)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"), *keep)
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if size > most_chars:
+        return _joined(rows, items, width, keep)
+    known = docs.sparkSession.sparkContext.broadcast(Benchmark([(r["item"], r["text"]) for r in items.collect()], width))
+    return _marked(rows, lambda text, _: known.value.scan(text), keep)
+
+
+def _marked(rows: DataFrame, scan, keep: tuple[str, ...], found: tuple[str, ...] = ()) -> DataFrame:
+    """rows (doc_id, _text, keep, found) with what `scan` makes of a text and of the values of the columns `found`."""
+    kinds = dict(rows.dtypes)
     schema = ", ".join([SCHEMA, *(f"`{c}` {kinds[c]}" for c in keep)])
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.int64())), ("char_spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+    arrow = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+    names = ["doc_id", "n_words", "hits", "items", "char_spans", *keep]
 
-    def one(text):
-        n, hit, items = scan(shards[0].value, text) if shards else (normalise(text)[1], [], [])
-        for more in shards[1:]:
-            _, h, i = scan(more.value, text)
-            hit, items = sorted({*hit, *h}), sorted({*items, *i})
+    def one(text, extra):
+        n, hit, items = scan(text, extra)
         return n, hit, items, char_spans(text, hit) if hit else []
 
     def run(batches):
         for batch in batches:
             for start, texts in slices(batch, 1):
-                rows = [one(t) for t in texts]
-                own = [pa.array([r[k] for r in rows], arrow.field(k + 1).type) for k in range(4)]
                 part = batch.slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays([part.column(0), *own, *part.columns[2:]], [*arrow.names, *keep])
+                extra = zip(*(part.column(2 + len(keep) + k).to_pylist() for k in range(len(found))), strict=True) if found else [()] * len(texts)
+                made = [one(t, x) for t, x in zip(texts, extra, strict=True)]
+                own = [pa.array([r[k] for r in made], kind) for k, kind in enumerate(arrow)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *own, *part.columns[2 : 2 + len(keep)]], names)
+
+    return rows.mapInArrow(run, schema)
+
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"), *keep).mapInArrow(run, schema)
+def _joined(rows: DataFrame, items: DataFrame, width: int, keep: tuple[str, ...]) -> DataFrame:
+    """The same for a benchmark of any size: hashes of windows are joined, and what they hit is brought back to the texts."""
+
+    def of_items(batches):
+        for batch in batches:
+            found = [(item, n, *_digest(w)) for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for w, n in windows(text, width)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(4)], ["item", "n", "h1", "h2"])
+
+    theirs = cut(items.mapInArrow(of_items, "item long, n long, h1 long, h2 long").distinct())
+    sizes = [r["n"] for r in theirs.select("n").distinct().collect()]  # at most `width` values
+
+    def of_docs(batches):
+        for batch in batches:
+            for doc, same, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                words = words_of(text)
+                for n in sizes:
+                    for lo in range(0, max(0, len(words) - n + 1), SLICE):
+                        own = range(lo, min(lo + SLICE, len(words) - n + 1))
+                        h = [_digest(f" {' '.join(words[p : p + n])} ") for p in own]
+                        columns = [[doc] * len(h), [same] * len(h), list(own), [n] * len(h), [x[0] for x in h], [x[1] for x in h]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "same", "at", "n", "h1", "h2"])
+
+    marked = rows.withColumn("_same", F.xxhash64("_text"))
+    ours = marked.select("doc_id", "_same", "_text").dropDuplicates(["doc_id", "_same"]).mapInArrow(of_docs, "doc_id long, same long, at long, n long, h1 long, h2 long")
+    met = ours.join(theirs, ["n", "h1", "h2"]).groupBy(F.col("doc_id").alias("_id"), F.col("same").alias("_s")).agg(F.collect_set(F.struct("at", "n")).alias("_runs"), F.collect_set("item").alias("_items"))
+    both = marked.join(met, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_same").eqNullSafe(F.col("_s")), "left")
+
+    def scan(text, extra):
+        runs, found = extra
+        return len(words_of(text)), sorted({p for r in runs or () for p in range(r["at"], r["at"] + r["n"])}), sorted(found or ())
+
+    return _marked(both.select("doc_id", "_text", *keep, "_runs", "_items"), scan, keep, ("_runs", "_items"))
+
+
+def _digest(window: str) -> tuple[int, int]:
+    found = hashlib.blake2b(window.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    return int.from_bytes(found[:8], "little", signed=True), int.from_bytes(found[8:], "little", signed=True)
 
 
 def is_contaminated(share: int = SHARE):

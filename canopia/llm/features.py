@@ -24,6 +24,8 @@ PIECE = 1 << 19
 BASE = np.uint64(0x100000001B3)
 INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: The hash of n-grams of one repeated word, whichever it is: repetition is learned once, not for each word.
+REPEATED = np.uint64(0x5DEECE66D)
 
 
 class Grams(NamedTuple):
@@ -126,8 +128,11 @@ def _streams(pieces: list[_Piece], grams: Grams) -> Iterator[tuple[np.ndarray, n
         low, high, top = (np.searchsorted(first, x) for x in (start, end, start + own))
         for n in grams.words:
             h = word[: max(0, len(word) - n + 1)].copy()
+            same = np.ones(len(h), bool)
             for k in range(1, n):
                 h = h * MIX + word[k : k + len(h)]
+                same &= word[k : k + len(h)] == word[: len(h)]
+            h[same & (n > 1)] = REPEATED
             yield _bucket(h, grams.bits, 100 + n), *_bounded(low, np.minimum(high - n + 1, top), len(h))
 
 

@@ -11,11 +11,14 @@ of all languages, chosen by a hash of the id.
 
 Defined results: `und` with score 0 for a null text, a text without letters, or
 when nothing was learned; a family with one language needs no second stage;
-repeated rows each give a row; rows with a null lang teach nothing.
+repeated rows each give a row; rows with a null lang teach nothing; very long
+texts are scored whole; numerals such as a half or a roman one are no letters;
+other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import copy
 import itertools
 import re
 
@@ -29,6 +32,7 @@ from canopia.llm.features import Grams, sampled, scored, training_vectors
 GRAMS = Grams(chars=(1, 2, 3), words=(1,), bits=16, lower=True)
 PER_LANG = 1000
 EPOCHS, REGULAR, SCALE = 8, 1e-5, 30.0
+#: Letters, and numerals that are none.
 LETTER = re.compile(r"[^\W\d_]")
 #: Language families. A language in none of them is a family of its own.
 FAMILIES = {
@@ -45,6 +49,10 @@ def family(lang: str) -> str:
     return next((name for name, members in FAMILIES.items() if lang in members), lang)
 
 
+def has_letter(text: str | None) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text or ""))
+
+
 def svm(vectors: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, bits: int, seed: int = 1) -> tuple[np.ndarray, float]:
     """Hinge-loss weights and bias by averaged stochastic subgradient steps; sign is 1 or -1."""
     rng = np.random.default_rng(seed)
@@ -132,17 +140,17 @@ def predict(docs: DataFrame, machines: Machines | None, grams: Grams = GRAMS, ke
         if machines is None:
             return [["und"] * len(texts), np.zeros(len(texts))]
         best, score = machines.decide(total / np.maximum(n, 1)[:, None] + bias)
-        lettered = np.array([bool(LETTER.search(t or "")) for t in texts], bool)
+        lettered = np.array([has_letter(t) for t in texts], bool)
         return [[b if x else "und" for b, x in zip(best, lettered, strict=True)], np.where(lettered, score, 0.0)]
 
-    weights = machines.weights if machines else np.zeros((1 << grams.bits, 1), np.float32)
+    weights = machines.weights if machines else np.zeros((1, 1), np.float32)
     bias = machines.bias if machines else 0.0
     if len(weights) == 1:
         weights = np.zeros((1 << grams.bits, 1), np.float32)
     if machines:
-        machines.weights = np.zeros((1, 1), np.float32)  # they travel as a broadcast
-    found = scored(docs, finish, "lang_pred string, score double", grams, weights, keep)
-    return found
+        machines = copy.copy(machines)
+        machines.weights = None  # the weights travel as a broadcast
+    return scored(docs, finish, "lang_pred string, score double", grams, weights, keep)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

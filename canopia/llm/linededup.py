@@ -12,7 +12,8 @@ aggregate. The result is one compressed bitmap per document, never text.
 Defined results: a null text is one empty line; a row without doc_id neither
 counts nor loses lines; repeated rows with the same doc_id and text are one
 document, get the same bitmap and stay; lines are compared by two 64-bit
-hashes; columns other than the id and the text are ignored.
+hashes; very long texts are split whole; columns other than the id and the text
+are ignored (or returned as they are); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,10 +46,19 @@ def long_lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 #: States of a streamed row: still open, to be dropped, or a mark that a document holds the hash.
 OPEN, DROP, MARK = 0, 1, 2
+#: Rows of one hash that a task holds.
+MOST_HELD = 1 << 16
+#: Bytes of bitmaps, and rows, up to which they are broadcast to the documents.
+MOST_BYTES, MOST_ROWS = 1 << 25, 500_000
 
 
 class _Run:
-    """The rows of one hash in a partition, in order; holds rows only until enough documents are seen."""
+    """The rows of one hash in a partition, in order.
+
+    Rows are held only until enough documents are seen, never those of the first
+    document, which keeps its lines, and never more than MOST_HELD: beyond that
+    they leave open, as those do whose hash goes on in another partition.
+    """
 
     def __init__(self, first: bool, min_docs: int):
         self.first, self.min_docs = first, min_docs
@@ -65,18 +75,22 @@ class _Run:
         if self.first:  # may go on from the partition before
             yield rows, OPEN
             return
+        rows = rows[rows[:, 2] != self.seen[0][2]]
         if not complete:
             self.held.append(rows)
             if len(self.seen) < self.min_docs:
+                if sum(map(len, self.held)) > MOST_HELD:
+                    yield np.concatenate(self.held), OPEN
+                    self.held, self.first = [], True
                 return
             rows, self.held = np.concatenate(self.held), []
-        yield rows[rows[:, 2] != self.seen[0][2]], DROP
+        yield rows, DROP
 
     def end(self, partition: bool):
         """What a hash that another partition may share leaves behind: its held rows and a few marks."""
         if self.held and partition:
             yield np.concatenate(self.held), OPEN
-        if self.first or partition:
+        if (self.first or partition) and self.seen:
             yield np.array(self.seen), MARK
 
 
@@ -117,7 +131,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     order = ["h1", "h2", F.desc("doc_id"), "same", "pos"]
     streamed = cut(lines.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_stream(min_docs), STREAMED))
-    # at most min_docs marks from the first and the last hash of each partition, and as many hashes
+    # at most min_docs marks from the first and the last hash of each partition, and from hashes with over MOST_HELD rows
     marks = streamed.where(F.col("state") == MARK)
     verdict = marks.groupBy("h1", "h2").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
     late = streamed.where(F.col("state") == OPEN).join(F.broadcast(verdict), ["h1", "h2"]).where("doc_id <> keeper")
@@ -154,10 +168,16 @@ def bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
 
 
 def apply_bitmaps(docs: DataFrame, maps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text column cut to its kept lines, and n_lines and n_dropped; nothing else changes."""
+    """docs with the text column cut to its kept lines, and n_lines and n_dropped; nothing else changes.
+
+    Bitmaps of few bytes in all are broadcast, so texts stay where they are;
+    beyond that both sides are shuffled.
+    """
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     at = names.index(text_col)
-    maps = maps.select(F.col("doc_id").alias("_id"), F.col("same").alias("_same"), F.col("keep").alias("_keep"))
+    maps = cut(maps.select(F.col("doc_id").alias("_id"), F.col("same").alias("_same"), F.col("keep").alias("_keep")))
+    size = maps.agg(F.coalesce(F.sum(F.length("_keep")), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
+    maps = F.broadcast(maps) if size["bytes"] <= MOST_BYTES and size["rows"] <= MOST_ROWS else maps
     joined = docs.select(*names).join(maps, (docs[id_col].cast("long") == maps["_id"]) & (F.xxhash64(docs[text_col].cast("string")) == maps["_same"]), "left").select(*names, "_keep")
     schema = docs.select(*names, F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
 

@@ -13,10 +13,14 @@ result can need. Large partitions are dealt into blocks of bounded size, and so
 are the queries that visit them, so a hot region costs more tasks, not a larger
 one. The number of partitions follows the number of vectors.
 
-Defined results: vectors that are null, of another length than the most common,
-zero, or with null or non-finite components take no part, nor do rows without
-id; repeated rows (same id and vector) count once; fewer rows than asked come
-back only if there are no more candidates; ties go to the smaller id.
+Vectors of the most common length are routed by the model; each other length
+makes a partition of its own, which its queries search whole.
+
+Defined results: vectors that are null, zero, or with null or non-finite
+components take no part, nor do rows without id; vectors of different lengths
+are no neighbours; repeated rows (same id and vector) count once; fewer rows
+than asked come back only if there are no more candidates; ties go to the
+smaller id; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,25 +36,29 @@ from canopia.llm.common import cut, table
 
 #: Vectors the model is fitted on (most of them train, the rest calibrate), and neighbours in its graph.
 SAMPLE, GRAPH = 4096, 10
-#: Vectors a partition should hold, and the bounds of the number of partitions.
-ROWS, LEAST_PARTS, MOST_PARTS = 4096, 8, 256
-#: Vectors, and queries, that one task compares at once.
-BLOCK = 1024
+#: Vectors a partition should hold, the least number of partitions, and sample vectors that one needs to be learned: a larger table takes a larger sample.
+ROWS, LEAST_PARTS, PER_PART = 4096, 8, 16
+#: Vectors, and queries, that meet in one task, and queries of them that are compared at once.
+BLOCK, STEP = 8192, 512
 TARGET, HELD = 0.95, 0.2
+#: Rows up to which the table of partitions may be broadcast (three numbers a row).
+MOST_BROADCAST = 500_000
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, vec) of the rows that take part, each once."""
     flat = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where("id IS NOT NULL AND vec IS NOT NULL AND size(vec) > 0")
-    common = flat.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if not common:
-        return flat
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    return flat.where((F.size("vec") == common[0]["n"]) & fine).distinct()
+    return flat.where(fine).distinct()
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, largest component near 1: cosines keep every bit, and no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = _scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -174,69 +182,80 @@ def search(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_co
     firsts = W.partitionBy("vec").orderBy("id")
     index = good.withColumn("n", F.row_number().over(firsts)).where(F.col("n") <= k + 1).groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     index = cut(index)
-    n = index.count()
-    if not n:
+    sizes = index.groupBy(F.size("vec").alias("dim")).count()
+    common = sizes.orderBy(F.desc("count"), "dim").limit(1).collect()
+    if not common:
         return spark.createDataFrame([], "query_id long, rank int, id long, score double")
-    parts = int(min(MOST_PARTS, max(LEAST_PARTS, n // ROWS)))
-    chosen = index.where(F.pmod(F.xxhash64("vec", F.lit(11)), F.lit(1 << 30)) < F.lit(float(1 << 30) * min(1.0, SAMPLE / n))).select("vec").limit(2 * SAMPLE)
-    sample = chosen.toArrow().column("vec").combine_chunks()
+    dim, n = common[0]["dim"], common[0]["count"]
+    parts = int(max(LEAST_PARTS, n // ROWS))
+    size = max(SAMPLE, PER_PART * parts)
+    usual = index.where(F.size("vec") == dim).select("vec")
+    sample = usual.where(F.pmod(F.xxhash64("vec", F.lit(11)), F.lit(1 << 30)) < F.lit(float(1 << 30) * min(1.0, size / n))).limit(2 * size).toArrow().column("vec").combine_chunks()
     if not len(sample):
-        sample = index.select("vec").limit(SAMPLE).toArrow().column("vec").combine_chunks()
+        sample = usual.limit(size).toArrow().column("vec").combine_chunks()
     sample = _matrix(sample)
     router, visits = fit(sample[np.lexsort(sample.T[::-1])][np.random.default_rng(2).permutation(len(sample))], parts, k)
     model = spark.sparkContext.broadcast(router)
 
+    def chances(column: pa.Array):
+        """Row numbers of the usual length with their chances, and of the other rows with their lengths."""
+        lengths = column.value_lengths().to_numpy()
+        own, odd = np.flatnonzero(lengths == dim), np.flatnonzero(lengths != dim)
+        return own, model.value.chances(_unit(_matrix(column.take(pa.array(own))))) if len(own) else np.zeros((0, parts)), odd, lengths[odd]
+
     def place(batches):
         for batch in batches:
-            if len(batch):
-                home = model.value.chances(_unit(_matrix(batch.column(0)))).argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), *batch.columns], ["part", "vec", "ids"])
+            own, p, odd, lengths = chances(batch.column(0))
+            home = np.zeros(len(batch), np.int32)
+            home[own], home[odd] = p.argmax(axis=1) if len(own) else 0, -lengths
+            yield pa.RecordBatch.from_arrays([pa.array(home), *batch.columns], ["part", "vec", "ids"])
 
     indexed = cut(index.select("vec", "ids").mapInArrow(place, "part int, vec array<double>, ids array<long>"))
     held = np.zeros(parts, np.int64)
-    for r in indexed.groupBy("part").count().collect():  # a row for each of at most MOST_PARTS partitions
+    for r in indexed.where("part >= 0").groupBy("part").count().collect():  # a row a partition
         held[r["part"]] = r["count"]
 
     def route(batches):
         for batch in batches:
-            if not len(batch):
-                continue
-            order = np.argsort(-model.value.chances(_unit(_matrix(batch.column(2)))), axis=1, kind="stable")
+            own, p, odd, lengths = chances(batch.column(2))
+            order = np.argsort(-p, axis=1, kind="stable")
             # more partitions where the most probable ones are too small for k results
             need = np.maximum(visits, (np.cumsum(held[order], axis=1) < k + 1).sum(axis=1) + 1)
             which = np.flatnonzero((np.arange(parts)[None, :] < need[:, None]).ravel())
-            part, row = order.ravel()[which], pa.array(which // parts)
+            part, row = np.concatenate((order.ravel()[which], -lengths)), pa.array(np.concatenate((own[which // parts], odd)))
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(c.take(row) for c in batch.columns)], ["part", "q1", "q2", "vec"])
 
     key = [F.xxhash64("vec").alias("q1"), F.xxhash64(F.lit(1), "vec").alias("q2")]
     asked = cut(good.where(is_query).select(*key, "id", "vec"))
     distinct = asked.groupBy("q1", "q2").agg(F.first("vec").alias("vec"))
     routed = cut(distinct.mapInArrow(route, "part int, q1 long, q2 long, vec array<double>"))
-    visiting = np.zeros(parts, np.int64)
-    for r in routed.groupBy("part").count().collect():
-        visiting[r["part"]] = r["count"]
-    dealt = {"b": np.maximum(1, -(-held // BLOCK)), "q": np.maximum(1, -(-visiting // BLOCK))}
-    many = {c: F.element_at(F.array(*[F.lit(int(x)) for x in v]), F.col("part") + 1) for c, v in dealt.items()}
-    every = {c: F.explode(F.sequence(F.lit(0), m - 1)) for c, m in many.items()}
-    left = indexed.withColumn("b", F.pmod(F.xxhash64("vec"), many["b"]).cast("int")).withColumn("q", every["q"])
-    right = routed.withColumn("q", F.pmod("q1", many["q"]).cast("int")).withColumn("b", every["b"])
+    blocks = [x.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"n_{c}")) for x, c in ((indexed, "b"), (routed, "q"))]
+    dealt = cut(blocks[0].join(blocks[1], "part"))  # a row a partition
+    few = F.broadcast(dealt) if dealt.count() <= MOST_BROADCAST else dealt
+    left = indexed.join(few, "part").withColumn("b", F.pmod(F.xxhash64("vec"), "n_b").cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)))
+    right = routed.join(few, "part").withColumn("q", F.pmod("q1", "n_q").cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("n_b") - 1)))
+    left, right = left.select("part", "b", "q", "vec", "ids"), right.select("part", "b", "q", "q1", "q2", "vec")
 
     def compare(rows_: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(rows_) or not len(queries):
             return pd.DataFrame({"q1": [], "q2": [], "id": [], "score": []}).astype({"q1": "int64", "q2": "int64", "id": "int64"})
-        x, y = np.stack(rows_["vec"].to_numpy()), np.stack(queries["vec"].to_numpy())
-        near = _unit(y) @ _unit(x).T
-        most = min(k + 1, near.shape[1])
-        least = np.partition(near, near.shape[1] - most, axis=1)[:, near.shape[1] - most]
-        q, c = np.nonzero(near >= least[:, None] - 1e-9)  # ties and rounding included
+        x, y = _scaled(np.stack(rows_["vec"].to_numpy())), _scaled(np.stack(queries["vec"].to_numpy()))
         nx, ny = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
-        score = (y[q] * x[c]).sum(axis=1) / (ny[q] * nx[c])
-        ids = rows_["ids"].to_numpy()
-        size = np.array([len(ids[i]) for i in c])
-        q1, q2 = queries["q1"].to_numpy()[q], queries["q2"].to_numpy()[q]
-        out = pd.DataFrame({"q1": np.repeat(q1, size), "q2": np.repeat(q2, size), "id": np.concatenate([ids[i] for i in c]), "score": np.repeat(score, size)})
-        best = out.sort_values(["q1", "q2", "score", "id"], ascending=[True, True, False, True], kind="stable")
-        return best.groupby(["q1", "q2"], sort=False).head(k + 1)
+        unit, ids = (x / nx[:, None]).T.copy(), rows_["ids"].to_numpy()
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        q1, q2, out = queries["q1"].to_numpy(), queries["q2"].to_numpy(), []
+        for at in range(0, len(y), STEP):
+            near = (y[at : at + STEP] / ny[at : at + STEP, None]) @ unit
+            most = min(k + 1, near.shape[1])
+            least = np.partition(near, near.shape[1] - most, axis=1)[:, near.shape[1] - most]
+            q, c = np.nonzero(near >= least[:, None] - 1e-9)  # ties and rounding included
+            q += at
+            score = (y[q] * x[c]).sum(axis=1) / (ny[q] * nx[c])
+            many = size[c]
+            found = pd.DataFrame({"q1": np.repeat(q1[q], many), "q2": np.repeat(q2[q], many), "id": np.concatenate([ids[i] for i in c]), "score": np.repeat(score, many)})
+            best = found.sort_values(["q1", "q2", "score", "id"], ascending=[True, True, False, True], kind="stable")
+            out.append(best.groupby(["q1", "q2"], sort=False).head(k + 1))
+        return pd.concat(out)
 
     by = ["part", "b", "q"]
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(compare, "q1 long, q2 long, id long, score double")

@@ -5,8 +5,9 @@ before an identifier are its lexical patterns. Spark scores the bipartite graph
 of patterns and instances in rounds: a pattern's confidence for a kind is the
 share of its distinct instances that are of that kind (weighted by the
 instances' scores), an unknown identifier's score is the mean confidence of its
-patterns, and confident instances count in the next round. Patterns of high
-confidence and support then mark the unknown identifiers after them, if their
+patterns, and confident instances count in the next round, also for patterns that
+have no seed of their own. Patterns of high confidence and support then mark the
+unknown identifiers after them (any token with a digit or an at sign), if their
 shape suits the kind. Base spans are never changed.
 
 Texts are read once; positions, contexts and values are all that is kept.
@@ -14,9 +15,10 @@ Regular expressions have no repeated groups and start only where a run starts,
 so no text overflows a stack or takes quadratic time. A character U+0001 in a
 text is treated as U+0002, which no pattern names.
 
-Defined results: null texts have no spans; repeated rows each give a row with
-the same spans; a row without doc_id keeps its base spans and gains none; other
-columns are ignored.
+Defined results: null and empty texts have no spans; very long texts are read
+whole, in time near their length; repeated rows each give a row with the same
+spans; a row without doc_id keeps its base spans and gains none; other columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ from canopia.llm.common import cut, table
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct instances (by score) and share of them that make a pattern confident; rounds of scoring.
 SUPPORT, CONFIDENCE, ROUNDS = 4.0, 0.6, 3
-#: Characters before a span that its two context words may take.
-REACH = 48
+#: A pattern is read in the so many characters before a span, back to the last but one match; a longer word counts by its last ones.
+REACH = 64
+#: Values that are folded one by one before blocks are joined.
+BLOCK = 64
 
 _MARK = "\x01"
 _LOCAL = r"[A-Za-z0-9._%+\x01-]"
@@ -42,25 +46,57 @@ CARD = r"[0-9][0-9\x01]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 #: Identifier-like tokens that may be of a kind unseen by the base patterns.
-UNKNOWN = r"(?:(?<![A-Za-z0-9._@+-])|\G)[+(]?[0-9][0-9() /-]{4,}(?<=[0-9])(?![A-Za-z0-9@])"
+UNKNOWN = r"(?:(?<![A-Za-z0-9._:@+-])|\G)(?:[+(]?[0-9][0-9() ./-]{4,}(?<=[0-9])(?![A-Za-z0-9@:])|(?=[A-Za-z._:/-]*+[0-9])[A-Za-z0-9][A-Za-z0-9._:/-]{3,}(?<=[A-Za-z0-9])(?![A-Za-z0-9@]))"
 UNKNOWN_AT = r"(?:(?<![A-Za-z0-9._%+@-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++"
-SPAN = "array<struct<start:int,end:int,value:string>>"
+SPAN = "array<struct<start:int,end:int,value:string,left:string>>"
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(values: Column, op) -> Column:
+    """Running results of an associative op over an array of longs.
+
+    Blocks of BLOCK values are folded on their own, then shifted by what is
+    before them, so the work is near the array's length and not its square.
+    """
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        own = F.when(acc["last"].isNull(), x).otherwise(op(acc["last"], x))
+        return F.struct(own.alias("last"), F.concat(acc["out"], F.array(own)).alias("out"))
+
+    def fold(block: Column) -> Column:
+        return F.aggregate(block, start, step, lambda acc: acc["out"])
+
+    def joined(blocks: Column) -> Column:
+        return _let(
+            fold(F.transform(blocks, lambda x: F.element_at(x, -1))),
+            lambda upto: F.flatten(F.transform(blocks, lambda x, i: F.when(i == 0, x).otherwise(F.transform(x, lambda y: op(F.element_at(upto, i), y))))),
+        )
+
+    def dealt(all_: Column) -> Column:
+        number = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int"))
+        return _let(F.transform(number, lambda k: fold(F.slice(all_, k * BLOCK + 1, F.lit(BLOCK)))), joined)
+
+    return F.when(F.size(values) > 0, _let(values, dealt)).otherwise(F.array().cast("array<bigint>"))
 
 
 def _found(text: Column, pattern: str, valid=None) -> Column:
-    """Spans of the pattern's matches in text, from the pieces between them; `valid` takes a match."""
+    """Spans of the pattern's matches in text, from the lengths of the pieces between them; `valid` takes a match."""
     pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["piece"])
-        end = start + F.length(x["match"])
-        own = F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("value"))).cast(SPAN)
-        good = valid(x["match"]) if valid is not None else F.lit(True)
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
+    def spans(both: Column) -> Column:
+        steps = F.transform(both["match"], lambda m, i: (F.length(m) + F.length(F.get(both["piece"], i))).cast("long"))
+        ends = _running(steps, lambda x, y: x + y)
+        # what stands before, taken from the piece and the match before it: a place in a long text is far from its start
+        lefts = F.transform(both["match"], lambda m, i: F.right(F.concat(F.coalesce(F.get(both["match"], i - 1), F.lit("")), F.get(both["piece"], i)), F.lit(REACH)))
+        return F.zip_with(F.arrays_zip(ends.alias("e"), lefts.alias("l")), both["match"], lambda x, m: F.struct((x["e"] - F.length(m)).cast("int").alias("start"), x["e"].cast("int").alias("end"), m.alias("value"), x["l"].alias("left")))
 
-    both = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(matches)).alias("piece"), matches.alias("match"))
-    return F.when(F.size(matches) > 0, F.aggregate(both, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    found = _let(F.struct(pieces.alias("piece"), matches.alias("match")), lambda both: F.when(F.size(both["match"]) > 0, spans(both)).otherwise(F.array().cast(SPAN)))
+    return F.filter(found, lambda s: valid(s["value"])) if valid is not None else found
 
 
 def _digits(match: Column) -> Column:
@@ -103,15 +139,36 @@ def base_spans(docs: DataFrame) -> DataFrame:
     )
 
 
+def _clear_of(spans: Column, known: Column) -> Column:
+    """The spans that overlap none of the known ones.
+
+    All are put in order, a known one at its start and a span at its end; a span
+    is clear if no known end before it lies beyond its start.
+    """
+    events = F.array_sort(
+        F.concat(
+            F.transform(known, lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("turn"), s["end"].cast("long").alias("top"), F.lit(None).cast(SPAN[6:-1]).alias("span"))),
+            F.transform(spans, lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("turn"), F.lit(-1).cast("long").alias("top"), s.alias("span"))),
+        )
+    )
+
+    def clear(ordered: Column) -> Column:
+        tops = _running(F.transform(ordered, lambda e: e["top"]), lambda x, y: F.greatest(x, y))
+        kept = F.filter(F.arrays_zip(ordered.alias("e"), tops.alias("t")), lambda x: x["e"]["span"].isNotNull() & (x["t"] <= x["e"]["span"]["start"]))
+        return F.transform(kept, lambda x: x["e"]["span"])
+
+    return F.when((F.size(spans) == 0) | (F.size(known) == 0), spans).otherwise(_let(events, clear))
+
+
 def _with_context(spans: Column, kind: str | None) -> Column:
     """Spans with their kind, a hash of their value and the words before them, as normalised patterns."""
 
     def one(s: Column) -> Column:
-        from_ = F.greatest(s["start"] - REACH, F.lit(0))
-        left = F.regexp_replace(F.lower(F.substring(F.col("text"), from_ + 1, s["start"] - from_)), "[0-9]+", "0")
+        left = F.regexp_replace(F.lower(F.translate(s["left"], _MARK, " ")), "[0-9]+", "0")
         last = F.regexp_extract(left, r"(\S*\p{L}\S*)\s+$|(\S*\p{L}\S*[:=#(\"'])$", 0)
         two = F.regexp_extract(left, r"\S+\s+\S*\p{L}\S*\s+$|\S+\s+\S*\p{L}\S*[:=#(\"']$", 0)
-        shape = F.when(F.contains(s["value"], F.lit("@")), "at").otherwise(F.length(_digits(s["value"])).cast("string"))
+        colons = F.length(s["value"]) - F.length(F.replace(s["value"], F.lit(":"), F.lit("")))
+        shape = F.when(F.contains(s["value"], F.lit("@")), "at").when(colons >= 2, "colons").otherwise(F.length(_digits(s["value"])).cast("string"))
         contexts = F.filter(F.array(F.btrim(last), F.concat(F.lit("2 "), F.btrim(two))), lambda c: F.length(c) > 2)
         return F.struct(F.lit(kind).cast("string").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(s["value"]).alias("value"), shape.alias("shape"), contexts.alias("contexts"))
 
@@ -121,22 +178,22 @@ def _with_context(spans: Column, kind: str | None) -> Column:
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, same, base, unknown): spans with contexts, a row per row of docs; same tells texts of one doc_id apart."""
     found = base_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")))
-    known = F.concat(*[F.col(k) for k in KINDS])
-    free = found.withColumn("known", known).withColumn("unknown", F.filter("unknown", lambda u: ~F.exists("known", lambda s: (s["start"] < u["end"]) & (u["start"] < s["end"]))))
+    known = F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS])
+    free = found.withColumn("unknown", _clear_of(F.col("unknown"), known))
     return free.select("doc_id", F.xxhash64("text").alias("same"), F.concat(*[_with_context(F.col(k), k) for k in KINDS]).alias("base"), _with_context(F.col("unknown"), None).alias("unknown"))
 
 
 def _suits(kind: Column, shape: Column) -> Column:
-    """Whether an unknown identifier's shape (its number of digits, or 'at') may be of the kind."""
-    n = F.when(shape != "at", shape.cast("int")).otherwise(0)
-    return ((kind == "email") & (shape == "at")) | ((kind == "phone") & n.between(7, 15)) | ((kind == "card") & n.between(12, 19)) | ((kind == "ip") & n.between(4, 12))
+    """Whether an unknown identifier's shape (its number of digits, 'at', or 'colons') may be of the kind."""
+    n = F.coalesce(shape.try_cast("int"), F.lit(0))
+    return ((kind == "email") & (shape == "at")) | ((kind == "phone") & n.between(7, 15)) | ((kind == "card") & n.between(12, 19)) | ((kind == "ip") & ((shape == "colons") | n.between(4, 12)))
 
 
 def patterns(found: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
     """(context, kind, conf) of the confident patterns after the rounds of scoring; found as from `occurrences`."""
     rows = found.select(F.explode(F.concat("base", "unknown")).alias("o")).select("o.value", "o.kind", "o.shape", F.explode("o.contexts").alias("context"))
     edges = cut(rows.groupBy("context", "value").agg(F.max("kind").alias("kind"), F.max("shape").alias("shape")))
-    totals = edges.groupBy("context").agg(F.count("*").alias("n"), F.count("kind").alias("seeds")).where(F.col("seeds") > 0)
+    totals = edges.groupBy("context").agg(F.count("*").alias("n")).where(F.col("n") >= support)  # fewer never make a pattern
     seeds = edges.where("kind IS NOT NULL").groupBy("value").agg(F.max("kind").alias("of"), F.lit(1.0).alias("score"))
     totals, seeds = cut(totals), cut(seeds)
     scored, best = seeds, None

@@ -8,9 +8,11 @@ the output layer is the mean of per-bucket logits, so a document costs one
 table lookup a feature, and no shuffle.
 
 Defined results: an empty or null text scores by the bias alone; rows without
-label, with a null label or with contradicting labels teach nothing; without
-any label (or with one class only) every score is 0.5 or that class's share;
-repeated rows each give a row; other columns are never read.
+label, with a null label or with contradicting labels teach nothing; of several
+texts of a labelled doc_id the one of the least hash teaches; without any label
+(or with one class only) every score is 0.5 or that class's share; very long
+texts are scored whole; repeated rows each give a row; other columns are never
+read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,22 +35,25 @@ def train(vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits
     emb = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim))
     out, bias = np.zeros((dim, 2)), np.zeros(2)
     emb_seen, out_seen = np.full(1 << bits, 1e-6), np.full(2, 1e-6)
+    share = np.bincount(labels, minlength=2) / max(1, len(labels))
+    own = np.sqrt(0.5 / np.maximum(share, 1e-3))  # the rarer class counts more, half-way to equal parts
     steps = [i for i in range(len(labels)) if len(vectors[i][0])]
     for epoch in range(epochs if steps else 0):
         lr = rate * (1 - epoch / epochs)
         for i in rng.permutation(steps):
-            bucket, share = vectors[i]
+            bucket, part = vectors[i]
             rows = emb[bucket]
-            mean = share @ rows
+            mean = part @ rows
             p = np.exp((z := mean @ out + bias) - z.max())
             p /= p.sum()
             p[labels[i]] -= 1
+            p *= own[labels[i]]
             back = out @ p
             out_seen += p * p
             step = lr * p / np.sqrt(out_seen)
             out -= np.outer(mean, step)
             bias -= 0.1 * step
-            grad = np.outer(share, back)
+            grad = np.outer(part, back)
             emb_seen[bucket] += (grad * grad).mean(axis=1)
             emb[bucket] = rows - lr * grad / np.sqrt(emb_seen[bucket])[:, None]
     return (emb @ (out[:, 1] - out[:, 0])).astype(np.float32)[:, None], float(bias[1] - bias[0])
@@ -60,7 +65,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: i
     n = clear.count()
     few = clear.where(sampled(min(1.0, max_train / max(n, 1)))).limit(2 * max_train)
     # few has at most 2 * max_train rows
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(few), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     _, y, vectors = training_vectors(rows, grams, "label")
     if len(set(y)) < 2:
         return np.zeros((1 << grams.bits, 1), np.float32), {(): 0.0, (0,): -20.0, (1,): 20.0}[tuple(set(y.tolist()))]

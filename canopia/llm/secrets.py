@@ -7,10 +7,14 @@ Sensitivity flows from a name to the names it is assigned from, so a literal in
 `KEY = "..."` counts when `password = KEY` follows; literals are then scored by
 the most sensitive name that they reach and by their own shape.
 
-One pass over the rows, no shuffle. Positions are code points, end exclusive.
+Constants propagate by name over the whole text; order and scope are ignored.
 
-Defined results: a null text has no spans; repeated rows each give a row; other
-columns are ignored.
+One pass over the rows, no shuffle; work grows with a text's length, whatever
+it holds. Positions are code points, end exclusive.
+
+Defined results: a null or empty text has no spans; very long texts are read
+whole, names and literals of any length; repeated rows each give a row; other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +22,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,14 +39,14 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "literal")
 
 OPERATOR = re.compile(r":=|=>|[:=]")
-NAME = re.compile(r"""(?:([A-Za-z_$][A-Za-z0-9_.$-]*)|"([^"\n]+)"|'([^'\n]+)')[ \t]*\Z""")
-VALUE = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([^\s"',;(){}\[\]<>]+))""")
+#: A bare value ends at the next operator, but for trailing equals signs.
+VALUE = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([^\s"',;(){}\[\]<>:=]+=*))""")
+NAME_START = re.compile("[A-Za-z_$]")
 MARKUP = re.compile(r"<([A-Za-z_][A-Za-z0-9_.-]*)>([^<\n]+)</\1>")
 URL = re.compile(r"://[^\s:/@]+:([^\s:/@]+)@")
 JOIN = re.compile(r"[ \t]*[+.][ \t]*(?=[\"'A-Za-z_$])")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
-#: Characters before an operator that a name may take.
-REACH = 120
+NAME_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.$-")
 #: How sensitive the words of a name are.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 1.0, "passcode": 0.9, "secret": 1.0, "secrets": 0.9, "token": 0.9,
@@ -70,12 +76,27 @@ def shape(literal: str) -> float:
     return min(1.0, 0.25 * min(entropy, 3.0) / 3 + 0.25 * min(n, 12) / 12 + 0.25 * min(classes, 3) - 0.0)
 
 
+def name_before(text: str, end: int, least: int) -> str | None:
+    """The name, bare or quoted, that ends before `end` (blanks aside) and starts at `least` or later."""
+    while end > least and text[end - 1] in " \t":
+        end -= 1
+    if end > least and text[end - 1] in "\"'":
+        start = text.rfind(text[end - 1], least, end - 1)
+        inner = text[start + 1 : end - 1] if start >= 0 else ""
+        return inner if inner and "\n" not in inner else None
+    start = end
+    while start > least and text[start - 1] in NAME_CHARS:
+        start -= 1
+    first = NAME_START.search(text, start, end)
+    return text[first.start() : end] if first else None
+
+
 def pairs(text: str) -> list[tuple[str, list[tuple[int, int, bool]]]]:
     """(name, parts) of every assignment; a part is the span of a literal (True) or of a name (False)."""
-    out = []
+    out, last = [], 0
     for op in OPERATOR.finditer(text):
-        left = NAME.search(text, max(0, op.start() - REACH), op.start())
-        if not left:
+        name, last = name_before(text, op.start(), last), op.end()
+        if name is None:
             continue
         parts, at = [], op.end()
         while value := VALUE.match(text, at):
@@ -86,7 +107,7 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int, bool]]]]:
                 break
             at = more.end()
         if parts:
-            out.append((left[1] or left[2] or left[3], parts))
+            out.append((name, parts))
     if "</" in text:
         out += [(m[1], [(*m.span(2), True)]) for m in MARKUP.finditer(text)]
     if "://" in text:
@@ -136,8 +157,13 @@ def spans(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     base += [(*m.span(), "access") for m in ACCESS.finditer(text)]
     base += [(*m.span(), "hex") for m in HEX.finditer(text)]
     base.sort(key=lambda x: (x[0], KINDS.index(x[2])))
-    added = {(s, e, "literal") for s, e, _ in literals(text) if not any(a <= s and e <= b for a, b, _ in base)}
-    return base, sorted(added)
+    starts, reach = [x[0] for x in base], list(accumulate((x[1] for x in base), max))
+
+    def inside(start: int, end: int) -> bool:
+        k = bisect_right(starts, start)
+        return k > 0 and reach[k - 1] >= end
+
+    return base, sorted({(s, e, "literal") for s, e, _ in literals(text) if not inside(s, e)})
 
 
 def listed(found: list[tuple[int, int, str]]) -> str:

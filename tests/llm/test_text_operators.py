@@ -74,7 +74,7 @@ def test_decontamination_edges(spark, edges, nothing):
     assert found[3].items == [1, 2] and len(found[3].hits) == found[3].n_words == 24
     assert found[5].items == [1, 2, 3] and found[5].char_spans[-1].end == len(LONG + "\nown line")
     assert found[1].n_words == 0 and found[9].n_words == 1 and not found[9].hits
-    small = {r.doc_id: (r.hits, r.items) for r in decontaminate.hits(edges, items, shard_chars=10).collect()}
+    small = {r.doc_id: (r.hits, r.items) for r in decontaminate.hits(edges, items, most_chars=10).collect()}
     assert small == {k: (r.hits, r.items) for k, r in found.items()}
     assert decontaminate.hits(nothing, items).count() == 0
     assert decontaminate.hits(edges, items.limit(0)).where("size(hits) > 0").count() == 0

@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _shared(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder in use, set from the session's configuration if need be."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -30,7 +30,7 @@ def _shared(spark: SparkSession) -> str:
         if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -39,14 +39,14 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the session's spark.checkpoint.dir; only where that is unset
     and the master is local (tests) a temporary one is taken.
     """
-    _shared(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the checkpoint folder: like `cut`, for large tables of which a reader may want few columns."""
     spark = df.sparkSession
-    path = f"{_shared(spark)}/{uuid.uuid4().hex}.parquet"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return spark.read.parquet(path)
 

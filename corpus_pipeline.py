@@ -1,21 +1,27 @@
 """The corpus pipeline: five stages over `documents`, each written as Parquet and read by the next.
 
 Each stage function takes (spark, docs, sf_dir) and returns a DataFrame with
-the columns of documents; the last adds `epochs`. Rows without doc_id pass the
-near-duplicate stage only if nothing equals them.
+the columns of documents; the last adds `epochs`.
+
+Defined results: rows without doc_id are judged like others, and come last in a
+group of near copies; repeated rows stay but in the near-duplicate stage, which
+returns one; different texts of one doc_id are different documents there; null
+and empty texts are texts without words; very long ones are read whole; other
+columns are dropped; an empty table passes every stage.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopia.llm import decontaminate, linededup, mixing, quality, simhash
-from canopia.llm.common import is_held_out, table
+from canopia.llm.common import is_held_out, shared_folder, table
 
+#: Rows up to which a table of ids is broadcast.
+MOST_BROADCAST = 500_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -34,20 +40,14 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each component of linked fingerprints, once."""
+    """One document of each group of linked fingerprints, the smallest doc_id, once."""
     docs = docs.select(*COLUMNS)
-    found = simhash.components(docs)
-    firsts = simhash.cut(found.where("doc_id = component_id").groupBy("doc_id").count())
-    single = docs.join(firsts.where("count = 1").select("doc_id"), "doc_id", "left_semi")
-    repeated = docs.join(firsts.where("count > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id IS NULL")
-    if found.where("doc_id IS NULL AND component_id IS NULL").isEmpty():
-        nameless = nameless.limit(0)
-    else:
-        alone = simhash.fingerprints(nameless.select(F.xxhash64("text").alias("doc_id"), "text")).groupBy("fp").agg(F.min("doc_id").alias("h"))
-        known = found.where("component_id IS NOT NULL").select("fp").distinct()
-        nameless = nameless.join(alone.join(known, "fp", "left_anti").select("h"), F.xxhash64("text") == F.col("h"), "left_semi").dropDuplicates(["text"])
-    return single.unionByName(repeated).unionByName(nameless).select(*COLUMNS)
+    kept = simhash.keepers(docs).select(F.col("doc_id").alias("_id"), F.col("same").alias("_same"), "n")
+    own = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_same"))
+    single = docs.join(kept.where("n = 1"), own, "left_semi")
+    repeated = kept.where("n > 1")
+    repeated = F.broadcast(repeated) if repeated.count() <= MOST_BROADCAST else repeated
+    return single.unionByName(docs.join(repeated, own, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,9 +76,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; what each returns is written to the shared folder and read again."""
-    sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    folder = f"{shared.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")

@@ -65,3 +65,47 @@ def display_cell(column: Column, row: Column, columns: int, rows: int, origin: s
     dx = F.lit(wide - 1) - dx if origin.endswith("right") else dx
     dy = F.lit(high - 1) - dy if origin.startswith("bottom") else dy
     return dy, dx
+
+
+def curve_radius(proposed: Column, current: Column, age: Column, curve: Column) -> Column:
+    """fn16: a proposal that shrinks is raised to the current radius and to half of what the curve (a map from day to diameter) reached before that age."""
+    before = F.array_max(F.map_values(F.map_filter(curve, lambda day, _: day < age)))
+    return F.when(proposed >= current, proposed).otherwise(F.greatest(proposed, current, F.coalesce(before, F.lit(0.0)) / 2))
+
+
+def same_run(started: Column, remembered: Column, hours: float = 1.0) -> Column:
+    """fn18: whether a run that started then is the remembered one: not earlier, and at most so many hours later."""
+    later = started.cast("double") - remembered.cast("double")
+    return F.coalesce(later.between(0, hours * 3600), F.lit(False))
+
+
+def chunk_size(capabilities: Column, capability: str, large: int = 256, small: int = 12) -> Column:
+    """fn19: cells of one capture call, by what a device (an array of names) can do."""
+    return F.when(F.array_contains(capabilities, capability), large).otherwise(small)
+
+
+def curve_day(text: Column) -> Column:
+    """fn10: a day written as a plain non-negative whole number, else null."""
+    return F.when(text.rlike("^(0|[1-9][0-9]{0,8})$"), text.try_cast("int"))
+
+
+def polygon_points(text: Column) -> Column:
+    """fn27: array of (x, y) from lines or semicolons of `x, y`; null where an entry is not two numbers."""
+    entries = F.filter(F.transform(F.split(text, "[;\n\r]"), lambda e: F.trim(e)), lambda e: e != "")
+    parts = F.transform(entries, lambda e: F.filter(F.split(F.regexp_replace(e, "\t", ","), ","), lambda p: F.trim(p) != ""))
+    points = F.transform(parts, lambda p: F.struct(F.get(p, F.lit(0)).try_cast("double").alias("x"), F.get(p, F.lit(1)).try_cast("double").alias("y"), F.size(p).alias("n")))
+    fine = F.forall(points, lambda p: (p["n"] == 2) & p["x"].isNotNull() & p["y"].isNotNull())
+    return F.when(fine, F.transform(points, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
+
+
+def snippet(text: Column, most: int = 80) -> Column:
+    """fn23: text with white space collapsed, cut to so many characters with an ellipsis."""
+    flat = F.trim(F.regexp_replace(text, "\\s+", " "))
+    return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most - 1), F.lit("…"))).otherwise(flat)
+
+
+def rescaled(ppm: Column, width: Column, height: Column, to_width: int, to_height: int, tolerance: float = 0.02) -> Column:
+    """cal2, cal4: pixels a millimetre for another size of the same picture; null if its size is unknown, or orientation or aspect differ."""
+    turned = (width >= height) != F.lit(to_width >= to_height)
+    apart = F.abs(F.lit(to_width / to_height) / (width / height) - 1) > tolerance
+    return F.when(width.isNotNull() & height.isNotNull() & ~turned & ~apart, ppm * to_width / width)

@@ -79,3 +79,9 @@ def gate(curves: DataFrame, points: DataFrame, key: str, daily_mm: float, radius
     rate = (F.col("_d") - F.col("prev_mm")) / F.greatest(F.lit(1), F.col("_day") - F.col("prev_day"))
     verdict = F.when(F.col("_d") < F.col("prev_mm"), "falls after previous").when(F.col("_d") > F.col("next_mm"), "exceeds next").when(rate > 2 * daily_mm, "grows too fast").when(F.col("_d") > 2 * radius_mm, "too large").otherwise("ok")
     return near.select(key, F.col("_day").alias("day"), F.col("_d").alias("diameter_mm"), verdict.alias("verdict"))
+
+
+def neighbours(curves: DataFrame, key: str) -> DataFrame:
+    """win9: each control point (key, day, diameter_mm) with the diameters before and after it."""
+    by = W.partitionBy(key).orderBy("day")
+    return curves.withColumns({"before_mm": F.lag("diameter_mm").over(by), "after_mm": F.lead("diameter_mm").over(by)})

@@ -106,9 +106,18 @@ def reached(points: DataFrame, discs: DataFrame, widest: float, strict: bool = F
     return (pairs.where("gap < reach") if strict else pairs).select("id").distinct()
 
 
-def near_detection(points: DataFrame, detections: DataFrame, scales: dict[str, float], least: float, widest: float) -> DataFrame:
-    """q39, q40: points (id, x, y) with a detection of a listed status within max(least, scale * its radius)."""
-    scale = F.coalesce(F.create_map(*[x for k, v in scales.items() for x in (F.lit(k), F.lit(v))])[F.col("status")], F.lit(0.0))
-    reach = F.greatest(F.lit(least), scale * F.coalesce("radius_mm", F.lit(0.0)))
-    discs = detections.where(F.col("status").isin(*scales)).select("x", "y", reach.alias("reach"))
-    return points.join(reached(points, discs, widest), "id", "left_semi")
+def near_detection(points: DataFrame, detections: DataFrame, standing: tuple[str, ...], judged: tuple[str, ...], least: float = 20.0, hours: float = 24.0) -> DataFrame:
+    """q39, q40: points (id, x, y, image_id, image_timestamp) that a detection stands for.
+
+    One of a standing status counts within `least`; if it is `created`, up to
+    `hours` before the point's image. A judged one counts for its own image only,
+    within max(least, 1.5 times its radius).
+    """
+    sites = points.select("id", "x", "y", "image_id", F.col("image_timestamp").alias("seen"))
+    near = within(sites, detections.where(F.col("status").isin(*standing)).select("x", "y", "status", "image_timestamp"), least)
+    age = (F.col("seen").cast("double") - F.col("o_image_timestamp").cast("double")) / 3600
+    near = near.where((F.col("o_status") != "created") | (age <= hours)).select("id")
+    own = detections.where(F.col("status").isin(*judged)).select("image_id", F.col("x").alias("o_x"), F.col("y").alias("o_y"), F.greatest(F.lit(least), 1.5 * F.coalesce("radius_mm", F.lit(0.0))).alias("reach"))
+    gap = F.sqrt((F.col("x") - F.col("o_x")) * (F.col("x") - F.col("o_x")) + (F.col("y") - F.col("o_y")) * (F.col("y") - F.col("o_y")))
+    same = sites.join(own, "image_id").where(gap <= F.col("reach")).select("id")
+    return points.join(near.unionByName(same).distinct(), "id", "left_semi")

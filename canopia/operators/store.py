@@ -70,10 +70,12 @@ def outstanding_failures(soil: DataFrame, decisions: DataFrame, retry_before: st
     return failed.join(retried, "measurement_id", "left_anti")
 
 
-def growth_baseline(changes: DataFrame, since: str) -> DataFrame:
-    """win2: the original radius of each entity's first increase since a time."""
-    rows = changes.where((F.col("change_type") == "radius increased") & (F.col("created_at") >= F.lit(since).cast("timestamp")))
-    return rows.groupBy("entity_id").agg(F.min_by("original_radius_mm", F.struct("created_at", "id")).alias("baseline_mm"))
+def growth_baseline(changes: DataFrame, current: DataFrame, since: str) -> DataFrame:
+    """win2: per entity (entity_id, current_mm) the radius before its first increase since a time, to the second; the current one without any."""
+    at = F.date_trunc("second", "created_at")
+    rows = changes.where((F.col("change_type") == "radius increased") & (at >= F.date_trunc("second", F.lit(since).cast("timestamp"))))
+    first = rows.groupBy("entity_id").agg(F.min_by("original_radius_mm", F.struct(at, "id")).alias("baseline_mm"))
+    return current.join(first, "entity_id", "left").select("entity_id", F.coalesce("baseline_mm", "current_mm").alias("baseline_mm"))
 
 
 def absent_streak(measurements: DataFrame) -> DataFrame:

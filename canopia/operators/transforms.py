@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,11 +67,34 @@ def _disc_steps() -> list[tuple[float, float]]:
     return [(u, v) for v in axis for u in axis if u * u + v * v <= 1]
 
 
+def _disc_share(test):
+    """A vectorised UDF: the share of the disc's sample points, over all rows of a batch at once, that pass test(u, v, *columns)."""
+    steps = np.array(_disc_steps())
+
+    @F.pandas_udf("double")
+    def share(columns: pd.DataFrame) -> pd.Series:
+        values = [columns[c].to_numpy(dtype=float) for c in columns.columns]
+        hits = np.zeros(len(columns))
+        for u, v in steps:
+            hits += test(u, v, *values)
+        return pd.Series(hits / len(steps))
+
+    return share
+
+
 def visibility(rows: DataFrame, width: int, height: int, cal: Calibration) -> DataFrame:
     """geo5: adds `visible_fraction` of the disc (px, py in pixels, radius in mm) and its `visible_sectors`.
 
-    Both are higher-order functions over a literal sample, so a row stays one row.
+    The share is a sum over the sample's points in Arrow batches; a row stays one row.
     """
+    cos, sin = cal.turn
+    kx, ky = cal.sign_x * cal.ppm_x, cal.sign_y * cal.ppm_y
+
+    def inside(u, v, px, py, r):
+        vx, vy = u * r * kx, v * r * ky
+        x, y = px + (vx * cos + vy * sin), py + (vy * cos - vx * sin)
+        return (x >= 0) & (x < width) & (y >= 0) & (y < height)
+
     r = F.greatest(F.lit(1.0), F.col("radius"))
 
     def seen(u, v):
@@ -77,30 +102,23 @@ def visibility(rows: DataFrame, width: int, height: int, cal: Calibration) -> Da
         x, y = F.col("px") + ox, F.col("py") + oy
         return (x >= 0) & (x < width) & (y >= 0) & (y < height)
 
-    step = F.sequence(F.lit(0), F.lit(40))
-    coord = lambda k: k / 20.0 - 1.0
-    disc = F.flatten(F.transform(step, lambda i: F.transform(step, lambda j: F.struct(coord(i).alias("u"), coord(j).alias("v")))))
-    inside = F.filter(disc, lambda p: p["u"] * p["u"] + p["v"] * p["v"] <= 1)
-    share = F.size(F.filter(inside, lambda p: seen(p["u"], p["v"]))) / F.lit(float(len(_disc_steps())))
     angle = lambda k: k * (2 * math.pi / SECTORS)
     sectors = F.filter(F.sequence(F.lit(0), F.lit(SECTORS - 1)), lambda k: seen(F.cos(angle(k)), F.sin(angle(k))))
+    share = _disc_share(inside)(F.struct(F.col("px").cast("double").alias("px"), F.col("py").cast("double").alias("py"), r.alias("r")))
     return rows.withColumns({"visible_fraction": share, "visible_sectors": sectors})
 
 
 def frame_coverage(x: Column, y: Column, radius: Column, frame_x: Column, frame_y: Column, half_width: float, half_height: float, cal: Calibration) -> Column:
     """geo7: share of a disc's sample inside the turned frame around (frame_x, frame_y)."""
     cos, sin = cal.turn
-    r = F.greatest(F.lit(1.0), radius)
-    step = F.sequence(F.lit(0), F.lit(40))
-    coord = lambda k: k / 20.0 - 1.0
-    disc = F.flatten(F.transform(step, lambda i: F.transform(step, lambda j: F.struct(coord(i).alias("u"), coord(j).alias("v")))))
 
-    def inside(p):
-        dx = (x + p["u"] * r - frame_x - cal.offset_x) * cal.sign_x
-        dy = (y + p["v"] * r - frame_y - cal.offset_y) * cal.sign_y
-        return (F.abs(dx * cos + dy * sin) <= half_width) & (F.abs(dy * cos - dx * sin) <= half_height)
+    def inside(u, v, cx, cy, r, fx, fy):
+        dx = (cx + u * r - fx - cal.offset_x) * cal.sign_x
+        dy = (cy + v * r - fy - cal.offset_y) * cal.sign_y
+        return (np.abs(dx * cos + dy * sin) <= half_width) & (np.abs(dy * cos - dx * sin) <= half_height)
 
-    return F.size(F.filter(disc, lambda p: (p["u"] * p["u"] + p["v"] * p["v"] <= 1) & inside(p))) / F.lit(float(len(_disc_steps())))
+    columns = {"cx": x, "cy": y, "r": F.greatest(F.lit(1.0), radius), "fx": frame_x, "fy": frame_y}
+    return _disc_share(inside)(F.struct(*[c.cast("double").alias(n) for n, c in columns.items()]))
 
 
 def blob_to_garden(u: Column, v: Column, frame_x: Column, frame_y: Column, half_width: float, half_height: float, cal: Calibration) -> tuple[Column, Column]:

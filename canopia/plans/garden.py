@@ -58,8 +58,14 @@ AND NOT EXISTS (SELECT 1 FROM soil_decisions d WHERE d.measurement_id = m.measur
              "SELECT count(*) FILTER (action = 'applied') AS applied, count(*) FILTER (action = 'reject') AS reject, count(*) FILTER (action = 'keep') AS keep FROM decisions"),
     "win1": (_of("measurements")(store.absent_streak),
              f"WITH n AS (SELECT * FROM measurements QUALIFY {_NEWEST}), s AS (SELECT plant_id, sum(CASE WHEN vegetation_absent THEN 0 ELSE 1 END) OVER (PARTITION BY plant_id ORDER BY image_timestamp DESC, measurement_id DESC ROWS UNBOUNDED PRECEDING) AS present FROM n) SELECT plant_id, CAST(count(*) FILTER (present = 0) AS BIGINT) AS streak FROM s GROUP BY plant_id"),
-    "win2": (_of("change_log")(lambda c: store.growth_baseline(c, SINCE)),
-             f"SELECT entity_id, original_radius_mm AS baseline_mm FROM (SELECT * FROM change_log WHERE change_type = 'radius increased' AND created_at >= TIMESTAMP '{SINCE}') QUALIFY ROW_NUMBER() OVER (PARTITION BY entity_id ORDER BY created_at, id) = 1"),
+    "win2": (_of("change_log", "plants")(lambda c, p: store.growth_baseline(c, p.select((F.col("id") - 1).alias("entity_id"), F.col("radius").alias("current_mm")), SINCE)),
+             f"""
+WITH f AS (
+    SELECT entity_id, original_radius_mm FROM change_log
+    WHERE change_type = 'radius increased' AND date_trunc('second', created_at) >= TIMESTAMP '{SINCE}'
+    QUALIFY ROW_NUMBER() OVER (PARTITION BY entity_id ORDER BY date_trunc('second', created_at), id) = 1)
+SELECT id - 1 AS entity_id, coalesce(original_radius_mm, radius) AS baseline_mm
+FROM plants LEFT JOIN f ON f.entity_id = id - 1"""),
     "win4": (_of("measurements")(lambda m: store.newest_per_image(m).select("measurement_id", "plant_id", "image_id")),
              f"SELECT measurement_id, plant_id, image_id FROM measurements QUALIFY {_NEWEST}"),
     "pln10": (_of("weeds", "plants")(geometry.clearance),

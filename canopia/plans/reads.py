@@ -9,7 +9,15 @@ from canopia.plans.garden import _PENDING, _TERMINAL, _of
 
 _TIE = "ORDER BY image_timestamp DESC, measurement_id DESC"
 _USABLE = "status IN ('valid', 'applied') AND proposed_z_mm IS NOT NULL"
-_NEAR = "sqrt((w.x - d.x) * (w.x - d.x) + (w.y - d.y) * (w.y - d.y))"
+_NEARBY = """
+SELECT s.id FROM sites s
+WHERE EXISTS (
+    SELECT 1 FROM detections d
+    WHERE abs(s.x - d.x) <= 60 AND abs(s.y - d.y) <= 60
+    AND ({standing} AND sqrt((s.x - d.x) * (s.x - d.x) + (s.y - d.y) * (s.y - d.y)) <= 20
+         OR d.status IN ({judged}) AND d.image_id = s.image_id
+            AND sqrt((s.x - d.x) * (s.x - d.x) + (s.y - d.y) * (s.y - d.y)) <= greatest(20, 1.5 * d.radius_mm)))"""
+
 
 PLANS = {
     "q4": (_of("measurements")(lambda m: store.newest_mask(m).select("plant_id", "measurement_id")),
@@ -38,10 +46,10 @@ PLANS = {
             "SELECT detection_id FROM detections d WHERE has_crop AND NOT EXISTS (SELECT 1 FROM labelled s WHERE s.detection_id = d.detection_id) ORDER BY image_timestamp DESC, detection_id DESC LIMIT 200"),
     "q38": (_of("measurements")(lambda m: store.current_plants(m).select("plant_id", "measurement_id", "radius_mm")),
             "SELECT plant_id, measurement_id, greatest(current_radius_mm, recommended_mm) AS radius_mm FROM measurements m WHERE NOT vegetation_absent AND image_timestamp = (SELECT max(image_timestamp) FROM measurements n WHERE n.plant_id = m.plant_id)"),
-    "q39": (_of("weeds", "detections")(lambda w, d: geometry.near_detection(w, d, {"created": 0.0, "rejected": 1.5, "dismissed": 1.5}, 20.0, 60.0).select("id")),
-            f"SELECT id FROM weeds w WHERE EXISTS (SELECT 1 FROM detections d WHERE status IN ('created', 'rejected', 'dismissed') AND {_NEAR} <= greatest(20, CASE WHEN status = 'created' THEN 0 ELSE 1.5 * d.radius_mm END))"),
-    "q40": (_of("weeds", "detections")(lambda w, d: geometry.near_detection(w, d, {"recommended": 0.0, "created": 0.0, "rejected": 1.5}, 20.0, 60.0).select("id")),
-            f"SELECT id FROM weeds w WHERE EXISTS (SELECT 1 FROM detections d WHERE status IN ('recommended', 'created', 'rejected') AND {_NEAR} <= greatest(20, CASE WHEN status = 'rejected' THEN 1.5 * d.radius_mm ELSE 0 END))"),
+    "q39": (_of("sites", "detections")(lambda w, d: geometry.near_detection(w, d, ("created",), ("rejected", "dismissed")).select("id")),
+            _NEARBY.format(standing="d.status = 'created' AND epoch(s.image_timestamp) - epoch(d.image_timestamp) <= 24 * 3600", judged="'rejected', 'dismissed'")),
+    "q40": (_of("sites", "detections")(lambda w, d: geometry.near_detection(w, d, ("recommended", "created"), ("rejected",)).select("id")),
+            _NEARBY.format(standing="(d.status = 'recommended' OR d.status = 'created' AND epoch(s.image_timestamp) - epoch(d.image_timestamp) <= 24 * 3600)", judged="'rejected'")),
     "agg4": (_of("labelled", "detections")(lambda s, d: store.labels_since(s, d.where("status = 'created'").selectExpr("detection_id AS id", "image_id AS sample_count"))),
              "SELECT greatest(0, (SELECT count(*) FROM labelled) - coalesce((SELECT image_id FROM detections WHERE status = 'created' ORDER BY detection_id DESC LIMIT 1), 0)) AS fresh"),
     "agg5": (_of("soil_measurements", "legacy_repairs")(store.repair_summary),

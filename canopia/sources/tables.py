@@ -28,15 +28,37 @@ VIEWS = {
     "cases": "SELECT event_id AS measurement_id, event_id % 11 <> 0 AS calibrated, event_type = 'error' AS absent, CASE WHEN event_id % 13 = 0 THEN NULL ELSE event_id % 90 END AS age_days, CAST(20 + user_id % 90 AS DOUBLE) AS current_mm, CAST(20 + (event_id * 7) % 120 AS DOUBLE) AS proposed_mm, event_id % 5 <> 0 AS seen_before, event_id % 4 AS streak, CAST((event_id * 31) % 100 AS DOUBLE) / 100 AS confidence, event_id % 3 = 0 AS misaligned, event_id % 17 = 0 AS ambiguous, event_id % 6 AS days FROM events",
     "sightings": "SELECT event_id AS measurement_id, user_id AS plant_id, CAST(ts AS TIMESTAMP) AS image_timestamp, event_type <> 'error' AS has_evidence, event_id % 3 <> 0 AS center_visible, event_id % 4 = 0 AS truncated, user_id % 5 <> 0 AS fits, CAST((event_id * 37) % 101 AS DOUBLE) / 100 AS coverage, CAST((event_id * 31) % 100 AS DOUBLE) / 100 AS confidence, CAST((event_id * 13) % 100 AS DOUBLE) / 100 AS image_quality, CAST((event_id * 7) % 100 AS DOUBLE) / 100 AS segmentation_quality, CAST((event_id * 53) % 72 AS INT) AS first_sector FROM events",
     "traits": "SELECT l.doc_id, l.quality, d.doc_id % 97 AS image_id, CAST(d.n_chars AS DOUBLE) / 1000 AS f1, CAST(length(regexp_replace(d.text, '[^0-9]', '')) AS DOUBLE) / greatest(1, length(d.text)) AS f2, CAST(length(regexp_replace(d.text, '[a-z ]', '')) AS DOUBLE) / greatest(1, length(d.text)) AS f3 FROM labels l JOIN documents d ON d.doc_id = l.doc_id",
+    "sites": """
+        SELECT event_id AS id, CAST(ts AS TIMESTAMP) AS image_timestamp, (event_id - (event_id % 4 + 2)) % 211 AS image_id,
+               CAST(((event_id - (event_id % 4 + 2)) * 211) % 3000 AS DOUBLE) + 9 AS x, CAST(((event_id - (event_id % 4 + 2)) * 131) % 1500 AS DOUBLE) + 12 AS y
+        FROM events""",
+    "unlinked": """
+        SELECT event_id AS id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_id % 3 END AS entry, user_id AS plant_id, event_id % 97 AS image_id FROM events""",
+    "proposals": """
+        SELECT event_id AS id, user_id % 13 AS crop, CAST(ts AS TIMESTAMP) AS created_at, value AS diameter_mm,
+               CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'applied' WHEN 2 THEN 'rejected' ELSE 'flagged' END AS status FROM events""",
+    "calibrations": """
+        SELECT o_orderkey AS id, o_custkey % 50 AS entry, CAST(o_orderdate AS TIMESTAMP) AS created_at, o_orderkey % 3 <> 0 AS active,
+               CASE o_orderkey % 4 WHEN 0 THEN 'manual' WHEN 1 THEN 'manual_transformed' WHEN 2 THEN 'integration' ELSE 'reference' END AS source,
+               CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 'bottom_right' END AS origin,
+               CAST(o_orderkey % 40 + 10 AS DOUBLE) / 20 AS ppm, CAST(o_orderkey % 7 AS DOUBLE) / 10 AS mm_per_pixel,
+               CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CASE o_orderkey % 3 WHEN 0 THEN 640 WHEN 1 THEN 960 ELSE 720 END END AS width,
+               CASE o_orderkey % 3 WHEN 0 THEN 480 WHEN 1 THEN 720 ELSE 960 END AS height,
+               CASE WHEN o_orderkey % 6 = 0 THEN 'broken' WHEN o_orderkey % 6 = 1 THEN NULL ELSE '{"slope": ' || CAST(o_orderkey % 9 AS VARCHAR(20)) || ', "camera": "c' || CAST(o_orderkey % 4 AS VARCHAR(20)) || '"}' END AS payload
+        FROM orders""",
+    "stereo": """
+        SELECT o_orderkey AS id, o_custkey % 400 AS point_id, o_orderkey % 5 AS level, CAST(100 + 40 * (o_orderkey % 5) AS DOUBLE) AS distance_mm,
+               1000.0 / (100 + 40 * (o_orderkey % 5)) + CAST(o_orderkey % 7 AS DOUBLE) / 50 AS disparity, o_orderstatus <> 'F' AS passes
+        FROM orders""",
 }
 #: Which given tables a view reads.
-READS = {"traits": ["labels", "documents"], "foliage": ["lineitem"], "beds": ["supplier"], "cases": ["events"], "sightings": ["events"], "detections": ["events"], "labelled": ["events"], "soil_decisions": ["orders"], "legacy_repairs": ["orders"], "growth": ["events"], "plants": ["part"], "weeds": ["supplier"], "soil_points": ["customer"], "images": ["events"], "measurements": ["events"], "decisions": ["events"], "soil_measurements": ["orders"], "change_log": ["lineitem"], "training": ["labels", "documents"]}
+READS = {"sites": ["events"], "unlinked": ["events"], "proposals": ["events"], "calibrations": ["orders"], "stereo": ["orders"], "traits": ["labels", "documents"], "foliage": ["lineitem"], "beds": ["supplier"], "cases": ["events"], "sightings": ["events"], "detections": ["events"], "labelled": ["events"], "soil_decisions": ["orders"], "legacy_repairs": ["orders"], "growth": ["events"], "plants": ["part"], "weeds": ["supplier"], "soil_points": ["customer"], "images": ["events"], "measurements": ["events"], "decisions": ["events"], "soil_measurements": ["orders"], "change_log": ["lineitem"], "training": ["labels", "documents"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named garden view; column pruning and filters reach the Parquet scan."""
     frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in READS[name]}
-    text = VIEWS[name]
+    text = VIEWS[name].replace("{", "{{").replace("}", "}}")  # names in braces are frames
     for t in frames:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t} ", f"JOIN {{{t}}} ")
     return spark.sql(text, **frames)

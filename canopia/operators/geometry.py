@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from canopia.operators import zones as Z
+
 
 def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """q39 to q41: pairs of rows (id, x, y, ...) closer than radius; columns of right get the prefix `o_`.
@@ -22,10 +24,34 @@ def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return pairs.withColumn("distance", F.sqrt((F.col("x") - F.col("o_x")) * (F.col("x") - F.col("o_x")) + (F.col("y") - F.col("o_y")) * (F.col("y") - F.col("o_y")))).where(F.col("distance") <= radius)
 
 
-def clearance(weeds: DataFrame, plants: DataFrame, radius: float = 200.0) -> DataFrame:
-    """pln10: free distance from each weed to the nearest plant's edge within the radius."""
-    near = within(weeds, plants, radius)
-    return near.groupBy("id").agg(F.count("*").alias("plants"), F.min(F.col("distance") - F.col("o_radius")).alias("clearance_mm"))
+def clearance(places: DataFrame, obstacles: DataFrame, baseline: float, zones: list | None = None, first: float = 400.0, last: float = 4000.0) -> DataFrame:
+    """pln10: per place (id, x, y) the clear soil around the stereo pair's reach of two baselines: -1 where that is blocked, 10,000 without obstacles.
+
+    The nearest edge is looked for within `first`; only places that have none so
+    near look on, over the whole of `last`. With zones, the margin is halved in on
+    24 times until it just fits them.
+    """
+    reach = 2 * baseline
+    widest = obstacles.agg(F.coalesce(F.max("radius"), F.lit(0.0))).first()[0]
+    discs = obstacles.select("x", "y", "radius")
+    edge = F.min(F.col("distance") - F.col("o_radius")).alias("edge")
+    near = within(places.select("id", "x", "y"), discs, first).groupBy("id").agg(edge).where(F.col("edge") <= first - widest)
+    rest = places.select("id", "x", "y").join(near, "id", "left_anti")
+    far = within(rest, discs, last).groupBy("id").agg(edge)
+    margins = places.select("id", "x", "y").join(near.unionByName(far), "id", "left").withColumn("limit", F.coalesce(F.col("edge") - reach, F.lit(10_000.0)))
+    blocked, margin = F.col("limit") < 0, F.col("limit")
+    if zones:
+        fits = lambda r: Z.evaluate(zones, "centers", F.col("x"), F.col("y"), r)["allowed"]
+        start = F.struct(F.lit(0.0).alias("low"), F.least(F.lit(10_000.0), F.col("limit")).alias("high"))
+
+        def halve(acc, _):
+            middle = (acc["low"] + acc["high"]) / 2
+            inside = fits(middle + reach)
+            return F.struct(F.when(inside, middle).otherwise(acc["low"]).alias("low"), F.when(inside, acc["high"]).otherwise(middle).alias("high"))
+
+        blocked = blocked | ~fits(F.lit(reach))
+        margin = F.when(fits(start["high"] + reach), start["high"]).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(24)), start, halve, lambda acc: acc["low"]))
+    return margins.select("id", F.when(blocked, -1.0).otherwise(margin).alias("margin_mm"))
 
 
 def grid_cells(images: DataFrame, dx: float = 373.0, dy: float = 294.0) -> DataFrame:

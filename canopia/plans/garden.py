@@ -68,8 +68,10 @@ SELECT id - 1 AS entity_id, coalesce(original_radius_mm, radius) AS baseline_mm
 FROM plants LEFT JOIN f ON f.entity_id = id - 1"""),
     "win4": (_of("measurements")(lambda m: store.newest_per_image(m).select("measurement_id", "plant_id", "image_id")),
              f"SELECT measurement_id, plant_id, image_id FROM measurements QUALIFY {_NEWEST}"),
-    "pln10": (_of("weeds", "plants")(geometry.clearance),
-              "SELECT w.id, count(*) AS plants, min(sqrt((w.x - p.x) * (w.x - p.x) + (w.y - p.y) * (w.y - p.y)) - p.radius) AS clearance_mm FROM weeds w JOIN plants p ON sqrt((w.x - p.x) * (w.x - p.x) + (w.y - p.y) * (w.y - p.y)) <= 200 GROUP BY w.id"),
+    "pln10": (_of("weeds", "plants")(lambda w, p: geometry.clearance(w, p, 12.0).select("id", F.round("margin_mm", 6).alias("margin_mm"))),
+              """
+WITH k AS (SELECT w.id, min(sqrt((w.x - p.x) * (w.x - p.x) + (w.y - p.y) * (w.y - p.y)) - p.radius) - 24 AS edge FROM weeds w LEFT JOIN plants p ON true GROUP BY w.id)
+SELECT id, CASE WHEN edge < 0 THEN -1 ELSE round(coalesce(edge, 10000), 6) END AS margin_mm FROM k"""),
     "grd4": (_of("images")(lambda i: geometry.grid_cells(i).select("cell_x", "cell_y", "images")),
              "SELECT CAST(floor(x / 373 + 0.5) AS BIGINT) AS cell_x, CAST(floor(y / 294 + 0.5) AS BIGINT) AS cell_y, count(*) AS images FROM images WHERE processed GROUP BY ALL"),
     "set3": (_of("plants", "weeds")(geometry.obstacles),

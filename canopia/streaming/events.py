@@ -94,8 +94,12 @@ def bursts(batch: DataFrame) -> DataFrame:
 
 def drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """Runs a stream over all that is there, through a Parquet sink in the shared folder, and returns its rows."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir")
+    if not shared and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = f"{(shared or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows")  # what a stream over nothing leaves
     query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")

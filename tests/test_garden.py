@@ -140,6 +140,28 @@ def empty_dir(spark, sf_dir, tmp_path_factory):
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_of_empty_tables(spark, empty_dir, name):
-    if name.startswith("str"):
-        pytest.skip("a stream of no files ends without a schema")
     registry.QUERIES[name](spark, empty_dir).collect()
+
+
+def test_clear_margins_by_hand(spark):
+    from canopia.operators import geometry
+
+    places = spark.createDataFrame([(1, 0.0, 0.0), (2, 1000.0, 0.0), (3, 105.0, 0.0), (4, 2500.0, 0.0)], "id int, x double, y double")
+    plants = spark.createDataFrame([(100.0, 0.0, 30.0), (1900.0, 0.0, 400.0)], "x double, y double, radius double")
+    found = lambda *z: {r.id: round(r.margin_mm, 2) for r in geometry.clearance(places, *z).collect()}
+    assert found(plants, 10.0) == {1: 50.0, 2: 480.0, 3: -1.0, 4: 180.0}
+    assert set(found(plants.limit(0), 10.0).values()) == {10_000.0}
+    pond = zones.Zone("pond", "exclusion", circle=(1000.0, 300.0, 100.0))
+    assert found(plants, 10.0, [pond]) == {1: 50.0, 2: 180.0, 3: -1.0, 4: 180.0}
+
+
+def test_detections_that_stand_for_a_place(spark):
+    """A created one for a day, a judged one for its own image only, whatever lies nearer."""
+    from canopia.operators import geometry
+
+    at = "timestamp_seconds({0} * 3600)"
+    points = spark.createDataFrame([(1, 0.0, 0.0, 7, 30), (2, 500.0, 0.0, 7, 30), (3, 900.0, 0.0, 8, 30)], "id int, x double, y double, image_id int, h int")
+    seen = spark.createDataFrame([("created", 5.0, 0.0, 1, 6, 1.0), ("created", 505.0, 0.0, 1, 5, 1.0), ("rejected", 900.0, 40.0, 7, 30, 30.0), ("dismissed", 900.0, 40.0, 8, 30, 30.0)], "status string, x double, y double, image_id int, h int, radius_mm double")
+    points, seen = (f.withColumn("image_timestamp", __import__("pyspark").sql.functions.expr(at.format("h"))).drop("h") for f in (points, seen))
+    near = lambda *s: {r.id for r in geometry.near_detection(points, seen, *s).collect()}
+    assert near(("created",), ("rejected", "dismissed")) == {1, 3} and near(("recommended", "created"), ("rejected",)) == {1}

@@ -187,20 +187,22 @@ def time_clusters(images: DataFrame, key: str, seconds: int = 3600) -> DataFrame
     """win6: cluster number of each image of a key; a cluster reaches that long from its first image.
 
     A gap longer than that always starts a cluster, so a window first cuts each
-    key into islands; the anchor, which depends on the cluster before, is
-    folded over the distinct times of one island only.
+    key into islands. Where clusters start depends on the cluster before, which
+    is folded over the distinct times of one island and leaves only the starts;
+    a window then hands each time the start before it.
     """
     seen = images.groupBy(key, F.col("created_at").cast("long").alias("t")).count()
     by = W.partitionBy(key).orderBy("t")
     gap = F.when(F.col("t") - F.lag("t").over(by) <= seconds, 0).otherwise(1)
-    islands = seen.select(key, "t", gap.alias("_g")).withColumn("_i", F.sum("_g").over(by.rowsBetween(W.unboundedPreceding, 0)))
+    upto = by.rowsBetween(W.unboundedPreceding, 0)
+    islands = seen.select(key, "t", gap.alias("_g")).withColumn("_i", F.sum("_g").over(upto))
     times = islands.groupBy(key, "_i").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    start = F.struct(F.lit(None).cast("long").alias("anchor"), F.array().cast("array<struct<t:bigint,anchor:bigint>>").alias("out"))
+    start = F.struct(F.lit(None).cast("long").alias("anchor"), F.array().cast("array<bigint>").alias("out"))
 
     def step(acc, t):
-        anchor = F.when(acc["anchor"].isNull() | (t - acc["anchor"] > seconds), t).otherwise(acc["anchor"])
-        return F.struct(anchor.alias("anchor"), F.concat(acc["out"], F.array(F.struct(t.alias("t"), anchor.alias("anchor")))).alias("out"))
+        new = acc["anchor"].isNull() | (t - acc["anchor"] > seconds)
+        return F.struct(F.when(new, t).otherwise(acc["anchor"]).alias("anchor"), F.when(new, F.concat(acc["out"], F.array(t))).otherwise(acc["out"]).alias("out"))
 
-    folded = times.select(key, F.explode(F.aggregate("t", start, step, lambda a: a["out"])).alias("c")).select(key, "c.t", "c.anchor")
-    dealt = images.withColumn("t", F.col("created_at").cast("long")).join(folded, [key, "t"]).drop("t")
-    return dealt
+    starts = times.select(key, F.explode(F.aggregate("t", start, step, lambda a: a["out"])).alias("t")).withColumn("_start", F.col("t"))
+    dealt = seen.select(key, "t").join(starts, [key, "t"], "left").withColumn("anchor", F.last("_start", ignorenulls=True).over(upto)).drop("_start")
+    return images.withColumn("t", F.col("created_at").cast("long")).join(dealt, [key, "t"]).drop("t")

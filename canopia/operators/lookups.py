@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from canopia.operators import planning, store
+from canopia.operators import evidence, planning, store
 
 #: The sources of a calibration that a user made.
 MANUAL = ("manual", "manual_transformed")
@@ -89,3 +89,30 @@ def explained(rows: DataFrame, heads: dict[str, tuple[dict[str, float], float]])
     total = sum(chance.values(), F.lit(0.0))
     pairs = F.array(*[F.struct((-c / total).alias("order"), F.lit(n).alias("label")) for n, c in chance.items()])
     return rows.withColumn("guesses", F.transform(F.array_sort(pairs), lambda p: F.struct(p["label"].alias("label"), (-p["order"]).alias("share"))))
+
+
+def evidence_reasons(rows: DataFrame, hours: float = 6.0, least_quality: float = 0.12) -> DataFrame:
+    """sel3: per view (plant_id, measurement_id) whether its plant's evidence uses it, and if not, why."""
+    chosen = evidence.select_evidence(rows, hours, least_quality)
+    used = chosen.select("plant_id", F.explode("used").alias("measurement_id"), F.lit(True).alias("used"))
+    newest = F.max("image_timestamp").over(W.partitionBy("plant_id")).cast("double")
+    age = (newest - F.col("image_timestamp").cast("double")) / 3600
+    why = F.when(age > hours, "outside window").when(~F.col("has_evidence"), "no evidence").when(F.col("segmentation_quality") < least_quality, "low quality").otherwise("not needed")
+    marked = rows.withColumn("reason", why).join(used, ["plant_id", "measurement_id"], "left").withColumn("used", F.coalesce("used", F.lit(False)))
+    return marked.withColumn("reason", F.when(~F.col("used"), F.col("reason"))).select("plant_id", "measurement_id", "used", "reason")
+
+
+def audit_log(decisions: DataFrame, changes: DataFrame, soil_decisions: DataFrame, proposals: DataFrame) -> DataFrame:
+    """dec17: all insert-only logs as one: kind, key, action."""
+    parts = [(decisions, "decision", "measurement_id", "action"), (changes, "change", "id", "change_type"), (soil_decisions, "soil decision", "measurement_id", "action"), (proposals, "proposal", "id", "status")]
+    frames = [df.select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("key"), F.col(action).alias("action")) for df, kind, key, action in parts]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2]).unionByName(frames[3])
+
+
+def health(tables: dict[str, DataFrame]) -> DataFrame:
+    """snk12: rows of each table; one partial count a partition."""
+    counts = [df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows") for name, df in tables.items()]
+    out = counts[0]
+    for more in counts[1:]:
+        out = out.unionByName(more)
+    return out

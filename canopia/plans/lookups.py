@@ -151,6 +151,20 @@ FROM r JOIN f USING (point_id) GROUP BY point_id, levels, slope"""),
     "str6": (_of("measurements")(lambda m: lookups.absences_so_far(m).select("measurement_id", "streak")), """
 WITH r AS (SELECT *, sum(CASE WHEN vegetation_absent THEN 0 ELSE 1 END) OVER (PARTITION BY plant_id ORDER BY image_timestamp, measurement_id ROWS UNBOUNDED PRECEDING) AS run FROM measurements)
 SELECT measurement_id, CAST(sum(CASE WHEN vegetation_absent THEN 1 ELSE 0 END) OVER (PARTITION BY plant_id, run ORDER BY image_timestamp, measurement_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS streak FROM r"""),
+    "dec17": (_of("decisions", "change_log", "soil_decisions", "proposals")(lambda d, k, s, p: lookups.audit_log(d, k, s, p).groupBy("kind", "action").agg(F.count("*").alias("rows"), F.max("key").alias("last"))), """
+WITH l AS (
+    SELECT 'decision' AS kind, measurement_id AS key, action FROM decisions
+    UNION ALL SELECT 'change', id, change_type FROM change_log
+    UNION ALL SELECT 'soil decision', measurement_id, action FROM soil_decisions
+    UNION ALL SELECT 'proposal', id, status FROM proposals)
+SELECT kind, action, count(*) AS "rows", max(key) AS last FROM l GROUP BY kind, action"""),
+    "snk12": (_of("measurements", "soil_measurements", "change_log", "plants", "weeds")(lambda *t: lookups.health(dict(zip(("measurements", "soil_measurements", "change_log", "plants", "weeds"), t, strict=True)))), """
+SELECT 'measurements' AS name, count(*) AS "rows" FROM measurements
+UNION ALL SELECT 'soil_measurements', count(*) FROM soil_measurements
+UNION ALL SELECT 'change_log', count(*) FROM change_log
+UNION ALL SELECT 'plants', count(*) FROM plants
+UNION ALL SELECT 'weeds', count(*) FROM weeds"""),
+    "sel3": (_of("sightings")(lookups.evidence_reasons), None),
     "dec18": (_of("detections")(lambda d: d.where("status IN ('recommended', 'observing') AND score < 0.4").select("detection_id", F.lit("dismissed").alias("status")).unionByName(d.where("NOT (status IN ('recommended', 'observing') AND score < 0.4)").select("detection_id", "status")).groupBy("status").agg(F.count("*").alias("rows"))), """
 SELECT CASE WHEN status IN ('recommended', 'observing') AND score < 0.4 THEN 'dismissed' ELSE status END AS status, count(*) AS "rows" FROM detections GROUP BY 1"""),
 }

@@ -165,3 +165,22 @@ def test_detections_that_stand_for_a_place(spark):
     points, seen = (f.withColumn("image_timestamp", __import__("pyspark").sql.functions.expr(at.format("h"))).drop("h") for f in (points, seen))
     near = lambda *s: {r.id for r in geometry.near_detection(points, seen, *s).collect()}
     assert near(("created",), ("rejected", "dismissed")) == {1, 3} and near(("recommended", "created"), ("rejected",)) == {1}
+
+
+def test_reasons_agree_with_the_choice_of_evidence(spark, sf_dir):
+    from canopia.operators import lookups
+    from canopia.sources.tables import view
+
+    rows = view(spark, sf_dir, "sightings").selectExpr("* except (plant_id)", "measurement_id % 60 as plant_id")
+    views = {r["measurement_id"]: r for r in rows.toPandas().to_dict("records")}
+    plants = {}
+    for v in views.values():
+        plants.setdefault(v["plant_id"], []).append(v)
+    used = {m for v in plants.values() for m in _greedy(v)[1]}
+    found = lookups.evidence_reasons(rows).collect()
+    assert len(found) == len(views) and {r.measurement_id for r in found if r.used} == used
+    for r in found:
+        v = views[r.measurement_id]
+        old = (max(x["image_timestamp"] for x in plants[v["plant_id"]]) - v["image_timestamp"]).total_seconds() > 6 * 3600
+        want = "outside window" if old else "no evidence" if not v["has_evidence"] else "low quality" if v["segmentation_quality"] < 0.12 else "not needed"
+        assert r.reason == (None if r.used else want)

@@ -58,12 +58,12 @@ def queue_key(point_id: Column, x: Column, y: Column) -> Column:
     return F.when(known, F.concat(F.lit("point:"), point_id.cast("string"))).otherwise(F.concat_ws(":", F.lit("coordinate"), place(x), place(y)))
 
 
-def display_cell(column: Column, row: Column, columns: int, rows: int, origin: str, rotate: bool) -> tuple[Column, Column]:
+def display_cell(column: Column, row: Column, columns: Column, rows: Column, origin: str, rotate: bool) -> tuple[Column, Column]:
     """fn26: (row, column) of a cell on a map with that origin corner, turned on its diagonal first if asked."""
     dx, dy = (row, column) if rotate else (column, row)
     wide, high = (rows, columns) if rotate else (columns, rows)
-    dx = F.lit(wide - 1) - dx if origin.endswith("right") else dx
-    dy = F.lit(high - 1) - dy if origin.startswith("bottom") else dy
+    dx = wide - 1 - dx if origin.endswith("right") else dx
+    dy = high - 1 - dy if origin.startswith("bottom") else dy
     return dy, dx
 
 

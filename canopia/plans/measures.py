@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from canopia.functions import scalars as S
@@ -17,13 +18,13 @@ def c(name: str):
 
 
 def _lists(g):
-    """One curve a crop: the smallest radius of every third day, doubled; the new point falls between."""
-    rows = g.where("age_days % 3 = 0").groupBy("crop", F.col("age_days").cast("long").alias("day")).agg((F.min("radius") * 2).alias("diameter_mm"))
+    """One curve a crop: the smallest radius of every three days, doubled; the new point falls between."""
+    rows = g.groupBy("crop", F.expr("cast(age_days - age_days % 3 as bigint)").alias("day")).agg((F.min("radius") * 2).alias("diameter_mm"))
     new = g.groupBy("crop").agg((F.max("id") % 90).alias("day"), F.round(F.max("radius") * 2, 2).alias("diameter_mm"))
     return rows, new
 
 
-_CURVES = "cv AS (SELECT crop, CAST(age_days AS BIGINT) AS day, min(radius) * 2 AS diameter_mm FROM growth WHERE age_days % 3 = 0 GROUP BY ALL), nw AS (SELECT crop, max(id) % 90 AS day, round(max(radius) * 2, 2) AS diameter_mm FROM growth GROUP BY crop)"
+_CURVES = "cv AS (SELECT crop, CAST(age_days - age_days % 3 AS BIGINT) AS day, min(radius) * 2 AS diameter_mm FROM growth GROUP BY ALL), nw AS (SELECT crop, max(id) % 90 AS day, round(max(radius) * 2, 2) AS diameter_mm FROM growth GROUP BY crop)"
 _BINS = "b AS (SELECT crop, CAST(floor(greatest(0, age_days) / 3.0) * 3 AS BIGINT) AS day, quantile_cont(radius, 0.9) AS upper, count(*) AS n FROM growth GROUP BY ALL)"
 _ISO = f"{_BINS}, mn AS (SELECT j.crop, j.day AS j, k.day AS k, (SELECT sum(upper * n) / sum(n) FROM b WHERE b.crop = j.crop AND b.day BETWEEN j.day AND k.day) AS m FROM b j JOIN b k ON j.crop = k.crop AND k.day >= j.day), lo AS (SELECT mn.crop, mn.j, b.day AS i, min(m) AS m FROM mn JOIN b ON b.crop = mn.crop AND b.day BETWEEN mn.j AND mn.k WHERE mn.k >= b.day GROUP BY ALL), fit AS (SELECT crop, i AS day, max(m) AS fitted FROM lo GROUP BY ALL)"
 _W = "least(1, greatest(0.05, confidence)) * least(1, greatest(0.05, visible_fraction)) * exp(-0.6931471805599453 * greatest(0, epoch(max(image_timestamp) OVER (PARTITION BY plant_id)) - epoch(image_timestamp)) / 86400 / 14)"
@@ -47,6 +48,13 @@ def _edge(f):
     return out.select("plant_id", "broad", *[F.round(n, 4).alias(n) for n in ("outer_mm", "unclipped_mm", "typical_mm", "recommended_mm")])
 
 
+def _on_map(cells):
+    """Each cell's place on a turned map with its origin at the bottom right, sized by its bed's grid."""
+    by = W.partitionBy("bed_id")
+    place = S.display_cell(c("column"), c("row"), F.max("column").over(by) + 1, F.max("row").over(by) + 1, "bottom_right", True)
+    return cells.select("bed_id", "index", *[v.alias(n) for n, v in zip(("map_row", "map_column"), place, strict=True)])
+
+
 _PCT = "100 * abs(proposed_mm - current_mm) / greatest(current_mm, 1)"
 _SURE = f"CASE WHEN NOT calibrated OR absent OR ambiguous OR proposed_mm = current_mm THEN confidence WHEN proposed_mm < current_mm AND {_PCT} > 25 THEN greatest(0.05, least(CASE WHEN abs(proposed_mm - current_mm) < 3 THEN 0.05 ELSE confidence END, least(1 - {_PCT} / 100, 0.79))) WHEN abs(proposed_mm - current_mm) < 3 THEN 0.05 ELSE confidence END"
 
@@ -94,8 +102,10 @@ SELECT crop, day, diameter_mm, CASE WHEN diameter_mm < pm THEN 'falls after prev
              "SELECT id, greatest(5, CASE WHEN radius > 25 THEN radius - 20 ELSE radius END) AS edge_mm FROM plants"),
     "fn22": (_of("soil_measurements")(lambda s: s.select("measurement_id", S.queue_key(c("point_id"), c("capture_x"), c("capture_y")).alias("target"))),
              "SELECT measurement_id, CASE WHEN point_id <> 0 THEN 'point:' || point_id ELSE 'coordinate:' || CAST(round(capture_x * 1000) AS BIGINT) || ':' || CAST(round(capture_y * 1000) AS BIGINT) END AS target FROM soil_measurements"),
-    "fn26": (_of("beds")(lambda b: planning.capture_grid(b).where("row < 8 AND column < 16").select("bed_id", "index", *[v.alias(n) for v, n in zip(S.display_cell(c("column"), c("row"), 16, 8, "bottom_right", True), ("map_row", "map_column"), strict=True)])),
-             f'WITH {_GRID} SELECT bed_id, "index", 15 - "column" AS map_row, 7 - "row" AS map_column FROM cells WHERE "row" < 8 AND "column" < 16'),
+    "fn26": (_of("beds")(lambda b: _on_map(planning.capture_grid(b))), f"""
+WITH {_GRID},
+size AS (SELECT bed_id, max("column") AS columns, max("row") AS depth FROM cells GROUP BY bed_id)
+SELECT bed_id, "index", columns - "column" AS map_row, depth - "row" AS map_column FROM cells JOIN size USING (bed_id)"""),
     "win3": (_of("measurements")(lambda m: m.select("measurement_id", F.round(S.limited_growth(c("current_radius_mm"), c("recommended_mm"), c("current_radius_mm") - 10, 30.0, 40.0), 6).alias("radius_mm"))),
              "SELECT measurement_id, round(greatest(current_radius_mm, least(recommended_mm, current_radius_mm - 10 + 30, (current_radius_mm - 10) * 1.4)), 6) AS radius_mm FROM measurements"),
     "win7": (_of("weeds")(lambda w: planning.axis_groups(w.selectExpr("id % 3 AS bed", "x"), "bed", "x", 400.0).groupBy("bed").agg(F.count("*").alias("positions"), F.sum("members").alias("members"))), None),

@@ -13,30 +13,55 @@ SECTORS = 72
 
 
 def consolidate(rows: DataFrame, half_life: float = 14.0) -> DataFrame:
-    """agg1: one row a plant: present or absent by weight, weighted confidence with a bonus for views, weighted median radius.
-
-    A weight is confidence, visible share (each from 0.05 to 1) and recency.
+    """agg1: one judgement a plant from the views that sel1 chose, else from those that show its place empty.
+
+    A weight is confidence, visible share (each from 0.05 to 1) and recency
+    against the first view. The heavier of present and absent decides; radius is
+    the weighted median, confidence the weighted mean with a bonus for views. One
+    view stands for itself. A fused edge (fused_mm, fused_confidence,
+    fusion_reliable) overrides: with several views the first chosen one's, with
+    one view the newest reliable one's. A plant without any such view keeps its
+    newest row, uncertain and of confidence 0.2 at most.
     """
     by = W.partitionBy("plant_id")
-    age = (F.max("image_timestamp").over(by).cast("double") - F.col("image_timestamp").cast("double")) / 86400
+    chosen = select_evidence(rows).select("plant_id", F.posexplode("used").alias("_pos", "measurement_id"))
+    marked = rows.join(chosen, ["plant_id", "measurement_id"], "left")
+    marked = marked.withColumns({"_age": F.row_number().over(by.orderBy(F.desc("image_timestamp"), F.desc("measurement_id"))), "_used": F.count("_pos").over(by)})
+    empty = (F.col("_used") == 0) & F.col("vegetation_absent") & F.col("center_visible")
+    marked = marked.withColumn("_pos", F.when(F.col("_used") > 0, F.col("_pos")).when(empty, F.col("_age")))
+    seconds = F.min_by("image_timestamp", "_pos").over(by).cast("double") - F.col("image_timestamp").cast("double")
     clip = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.05), F.coalesce(c, F.lit(0.0))))
-    weight = clip(F.col("confidence")) * clip(F.col("visible_fraction")) * F.exp(-math.log(2) * F.greatest(F.lit(0.0), age) / half_life)
-    marked = rows.withColumn("w", weight.cast("decimal(20,12)"))  # sums of doubles depend on their order
-    sign = F.when(F.col("vegetation_absent"), F.col("w")).otherwise(-F.col("w"))
-    side = marked.withColumn("absent", F.sum(sign).over(by) > 0).where("vegetation_absent = absent")
-    total = F.greatest(F.sum("w").cast("double"), F.lit(1e-9))
+    weight = clip(F.col("confidence")) * clip(F.col("visible_fraction")) * F.exp(-math.log(2) * F.greatest(F.lit(0.0), seconds / 86400) / half_life)
+    marked = marked.withColumn("w", F.when(F.col("_pos").isNotNull(), weight.cast("decimal(20,12)")))  # sums of doubles depend on their order
+    side = F.sum(F.when(F.col("vegetation_absent"), F.col("w")).otherwise(-F.col("w"))).over(by) > 0
+    marked = marked.withColumn("_absent", F.coalesce(side, F.lit(False))).withColumn("w", F.when(F.col("vegetation_absent") == F.col("_absent"), F.col("w")))
     running = F.sum("w").over(by.orderBy("recommended_mm").rangeBetween(W.unboundedPreceding, 0))
-    side = side.withColumns({"_run": running, "_total": F.sum("w").over(by)})
-    share = lambda c: F.sum((F.col(c) * F.col("w").cast("double")).cast("decimal(20,12)")).cast("double") / total
-    bonus = F.least(F.lit(0.08), (F.count("*") - 1) * 0.02)
-    median = F.min(F.when(F.col("_run") * 2 >= F.col("_total"), F.col("recommended_mm")))
-    out = side.groupBy("plant_id", "absent").agg(
-        F.count("*").alias("views"),
-        F.least(F.lit(0.99), share("confidence") + bonus).alias("confidence"),
-        F.least(F.lit(1.0), share("visible_fraction")).alias("visible_fraction"),
-        median.alias("median"),
+    marked = marked.withColumns({"_run": running, "_total": F.sum("w").over(by)})
+    whole = F.struct("measurement_id", "image_timestamp", "current_radius_mm", "recommended_mm", "confidence", "visible_fraction", "vegetation_absent")
+    fused, has = F.struct("fused_mm", "fused_confidence", "fusion_reliable"), F.col("fused_mm").isNotNull()
+    share = lambda c: F.sum((F.col(c) * F.col("w").cast("double")).cast("decimal(20,12)")).cast("double") / F.greatest(F.sum("w").cast("double"), F.lit(1e-9))
+    facts = marked.groupBy("plant_id").agg(
+        F.count("*").alias("views"), F.count("_pos").alias("n"), F.max("_used").alias("chosen"), F.count("w").alias("agreeing"), F.bool_or("_absent").alias("side"),
+        F.min_by(whole, "_pos").alias("one"), F.min_by(whole, "_age").alias("newest"),
+        F.min_by(fused, F.when(has, F.col("_pos"))).alias("many_fused"), F.min_by(fused, F.when(has & F.col("fusion_reliable"), F.col("_age"))).alias("one_fused"),
+        share("confidence").alias("confidence"), share("visible_fraction").alias("visible_fraction"),
+        F.min(F.when(F.col("w").isNotNull() & (F.col("_run") * 2 >= F.col("_total")), F.col("recommended_mm"))).alias("median"),
+    )
+    none, single = F.col("n") == 0, F.col("n") == 1
+    stands = F.when(none, F.col("newest")).otherwise(F.col("one"))
+    over = F.when(single, F.col("one_fused")).when(~none & ~F.col("side"), F.col("many_fused"))
+    sure = F.least(F.lit(0.99), F.col("confidence") + F.least(F.lit(0.08), (F.col("agreeing") - 1) * 0.02))
+    low = F.least(F.lit(0.2), F.when(F.coalesce("newest.confidence", F.lit(0.0)) == 0, 0.05).otherwise(F.col("newest.confidence")))
+    facts = facts.withColumns({"stands": stands, "over": over})
+    return facts.select(
+        "plant_id", "stands.measurement_id", "stands.image_timestamp", F.col("stands.current_radius_mm").alias("current_mm"),
+        F.when(none, False).when(single, F.col("one.vegetation_absent")).otherwise(F.col("side")).alias("absent"),
+        "views", F.when(single, F.lit(1)).otherwise(F.col("chosen")).cast("long").alias("used"),
+        (none | (~single & F.coalesce(~F.col("over.fusion_reliable"), F.lit(False)))).alias("uncertain"),
+        F.when(none, low).otherwise(F.coalesce("over.fused_confidence", F.when(single, F.col("one.confidence")).otherwise(sure))).alias("confidence"),
+        F.when(none | single, F.col("stands.visible_fraction")).otherwise(F.least(F.lit(1.0), F.col("visible_fraction"))).alias("visible_fraction"),
+        F.when(none, F.col("newest.recommended_mm")).otherwise(F.coalesce("over.fused_mm", F.when(single, F.col("one.recommended_mm")).when(F.col("side"), 0.0).otherwise(F.col("median")))).alias("radius_mm"),
     )
-    return out.select("plant_id", "absent", "views", "confidence", "visible_fraction", F.when(F.col("absent"), 0.0).otherwise(F.col("median")).alias("radius_mm"))
 
 
 def quality():

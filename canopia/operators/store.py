@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from canopia.operators import evidence
+
 #: The decisions that end a measurement's review.
 TERMINAL = ("applied", "approved_no_change", "reject", "removed", "keep", "superseded")
 
@@ -35,15 +37,25 @@ def weighted_median(rows: DataFrame, key: str, value: str, weight: str, out: str
     return marked.groupBy(key).agg(F.when(F.max("_total") <= 0, F.max(value)).otherwise(F.min(F.when(F.col("_run") * 2 >= F.col("_total"), F.col(value)))).alias(out))
 
 
-def review_queue(measurements: DataFrame, decisions: DataFrame, least_confidence: float = 0.3, least_change: float = 3.0, limit: int = 150) -> DataFrame:
-    """q32: pending rows, newest per image, consolidated per plant; large enough changes, largest first, limited last."""
-    rows = newest_per_image(pending(measurements, decisions)).where("NOT vegetation_absent")
-    weighted = rows.withColumn("w", F.col("confidence") * F.col("visible_fraction"))
-    median = weighted_median(weighted, "plant_id", "recommended_mm", "w", "radius_mm")
-    facts = weighted.groupBy("plant_id").agg(F.count("*").alias("images"), F.max("confidence").alias("confidence"), F.first("current_radius_mm").alias("current_mm"))
-    change = facts.join(median, "plant_id").withColumn("change_mm", F.col("radius_mm") - F.col("current_mm"))
-    kept = change.where((F.abs("change_mm") >= least_change) & (F.col("confidence") >= least_confidence))
-    return kept.orderBy(F.desc(F.abs("change_mm")), "plant_id").limit(limit)
+def review_queue(measurements: DataFrame, decisions: DataFrame, least_confidence: float = 0.0, least_increase: float = 0.0, least_reduction: float = 0.0, limit: int = 100) -> DataFrame:
+    """q32: pending rows, newest per image, judged per plant; small changes lose their confidence; newest first, limited last."""
+    judged = evidence.consolidate(newest_per_image(pending(measurements, decisions)))
+    change = F.coalesce("radius_mm", F.lit(0.0)) - F.coalesce("current_mm", F.lit(0.0))
+    least = F.when(change > 0, least_increase).otherwise(least_reduction)
+    small = ~F.col("absent") & (change != 0) & (F.abs(change) < least)
+    kept = judged.withColumns({"confidence": F.when(small, 0.05).otherwise(F.col("confidence")), "change_mm": change}).where(F.col("confidence") >= least_confidence)
+    return kept.orderBy(F.desc("image_timestamp"), F.desc("measurement_id")).limit(limit)
+
+
+def measurement_rows(measurements: DataFrame, decisions: DataFrame) -> DataFrame:
+    """q8: each measurement as it is shown: the plant's newest pending one as the judgement of all pending ones, others as stored."""
+    open_rows = pending(measurements, decisions)
+    judged = evidence.consolidate(newest_per_image(open_rows))
+    head = latest(open_rows, "plant_id", "image_timestamp", "measurement_id").select("measurement_id", "plant_id")
+    shown = head.join(judged.drop("measurement_id"), "plant_id").select("measurement_id", F.struct("absent", "confidence", "radius_mm").alias("j"))
+    both = measurements.join(shown, "measurement_id", "left")
+    pick = lambda new, old: F.when(F.col("j").isNotNull(), F.col(f"j.{new}")).otherwise(F.col(old)).alias(new)
+    return both.select("measurement_id", "plant_id", F.col("j").isNotNull().alias("judged"), pick("absent", "vegetation_absent"), pick("confidence", "confidence"), pick("radius_mm", "recommended_mm"))
 
 
 def outstanding_failures(soil: DataFrame, decisions: DataFrame, retry_before: str, reach: float = 0.001) -> DataFrame:

@@ -33,14 +33,6 @@ PLANS = {
             "SELECT id, height_mm FROM plants WHERE height_mm IS NULL OR height_mm > 250"),
     "q30": (_of("measurements", "decisions")(lambda m, d: store.pending(m, d).select("measurement_id", "plant_id")),
             f"WITH {_PENDING} SELECT measurement_id, plant_id FROM p"),
-    "q32": (_of("measurements", "decisions")(lambda m, d: store.review_queue(m, d).select("plant_id", "images", "confidence", "radius_mm", "change_mm")),
-            f"""WITH {_PENDING},
-r AS (SELECT *, confidence * visible_fraction AS w FROM (SELECT * FROM p QUALIFY {_NEWEST}) WHERE NOT vegetation_absent),
-s AS (SELECT plant_id, recommended_mm, sum(CAST(w AS DECIMAL(20,12))) OVER (PARTITION BY plant_id ORDER BY recommended_mm) AS run, sum(CAST(w AS DECIMAL(20,12))) OVER (PARTITION BY plant_id) AS total FROM r),
-m AS (SELECT plant_id, CASE WHEN max(total) <= 0 THEN max(recommended_mm) ELSE min(CASE WHEN 2 * run >= total THEN recommended_mm END) END AS radius_mm FROM s GROUP BY plant_id),
-f AS (SELECT plant_id, count(*) AS images, max(confidence) AS confidence, min(current_radius_mm) AS current_mm FROM r GROUP BY plant_id)
-SELECT plant_id, images, confidence, radius_mm, radius_mm - current_mm AS change_mm FROM f JOIN m USING (plant_id)
-WHERE abs(radius_mm - current_mm) >= 3 AND confidence >= 0.3 ORDER BY abs(radius_mm - current_mm) DESC, plant_id LIMIT 150"""),
     "q33": (_of("soil_measurements", "soil_decisions")(lambda s, d: store.outstanding_failures(s, d, RETRY).select("measurement_id", "point_id")),
             f"""SELECT measurement_id, point_id FROM soil_measurements m WHERE status = 'failed' AND created_at <= TIMESTAMP '{RETRY}'
 AND NOT EXISTS (SELECT 1 FROM soil_measurements n WHERE m.point_id > 0 AND n.point_id = m.point_id AND (n.created_at > m.created_at OR (n.created_at = m.created_at AND n.measurement_id > m.measurement_id)))

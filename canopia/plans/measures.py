@@ -27,7 +27,6 @@ def _lists(g):
 _CURVES = "cv AS (SELECT crop, CAST(age_days - age_days % 3 AS BIGINT) AS day, min(radius) * 2 AS diameter_mm FROM growth GROUP BY ALL), nw AS (SELECT crop, max(id) % 90 AS day, round(max(radius) * 2, 2) AS diameter_mm FROM growth GROUP BY crop)"
 _BINS = "b AS (SELECT crop, CAST(floor(greatest(0, age_days) / 3.0) * 3 AS BIGINT) AS day, quantile_cont(radius, 0.9) AS upper, count(*) AS n FROM growth GROUP BY ALL)"
 _ISO = f"{_BINS}, mn AS (SELECT j.crop, j.day AS j, k.day AS k, (SELECT sum(upper * n) / sum(n) FROM b WHERE b.crop = j.crop AND b.day BETWEEN j.day AND k.day) AS m FROM b j JOIN b k ON j.crop = k.crop AND k.day >= j.day), lo AS (SELECT mn.crop, mn.j, b.day AS i, min(m) AS m FROM mn JOIN b ON b.crop = mn.crop AND b.day BETWEEN mn.j AND mn.k WHERE mn.k >= b.day GROUP BY ALL), fit AS (SELECT crop, i AS day, max(m) AS fitted FROM lo GROUP BY ALL)"
-_W = "least(1, greatest(0.05, confidence)) * least(1, greatest(0.05, visible_fraction)) * exp(-0.6931471805599453 * greatest(0, epoch(max(image_timestamp) OVER (PARTITION BY plant_id)) - epoch(image_timestamp)) / 86400 / 14)"
 _SPAN = lambda span, frame: f"CASE WHEN {frame} >= {span} THEN 1 ELSE greatest(2, ceil(({span} - {frame}) / ({frame} * 0.85)) + 1) END"
 _GRID = f"""g AS (SELECT *, CAST({_SPAN('width_mm', 'frame_x')} AS BIGINT) AS nx, CAST({_SPAN('depth_mm', 'frame_y')} AS BIGINT) AS ny FROM beds), cells AS (SELECT bed_id, width_mm, depth_mm, r.range * nx + CASE WHEN r.range % 2 = 1 THEN nx - 1 - q.range ELSE q.range END AS "index", r.range AS "row", q.range AS "column",
 round(CASE WHEN nx = 1 THEN width_mm / 2 ELSE frame_x / 2 + (width_mm - frame_x) / (nx - 1) * q.range END, 3) AS x, round(CASE WHEN ny = 1 THEN depth_mm / 2 ELSE frame_y / 2 + (depth_mm - frame_y) / (ny - 1) * r.range END, 3) AS y FROM g, range(64) q, range(64) r WHERE q.range < nx AND r.range < ny)"""
@@ -59,11 +58,6 @@ _PCT = "100 * abs(proposed_mm - current_mm) / greatest(current_mm, 1)"
 _SURE = f"CASE WHEN NOT calibrated OR absent OR ambiguous OR proposed_mm = current_mm THEN confidence WHEN proposed_mm < current_mm AND {_PCT} > 25 THEN greatest(0.05, least(CASE WHEN abs(proposed_mm - current_mm) < 3 THEN 0.05 ELSE confidence END, least(1 - {_PCT} / 100, 0.79))) WHEN abs(proposed_mm - current_mm) < 3 THEN 0.05 ELSE confidence END"
 
 PLANS = {
-    "agg1": (_of("measurements")(lambda m: evidence.consolidate(m).select("plant_id", "absent", "views", *[F.round(n, 6).alias(n) for n in ("confidence", "visible_fraction", "radius_mm")])),
-             f"""WITH w AS (SELECT *, CAST({_W} AS DECIMAL(20,12)) AS w FROM measurements), s AS (SELECT *, sum(CASE WHEN vegetation_absent THEN w ELSE -w END) OVER (PARTITION BY plant_id) > 0 AS absent FROM w),
-k AS (SELECT *, sum(w) OVER (PARTITION BY plant_id ORDER BY recommended_mm) AS run, sum(w) OVER (PARTITION BY plant_id) AS total FROM s WHERE vegetation_absent = absent)
-SELECT plant_id, absent, count(*) AS views, round(least(0.99, CAST(sum(CAST(confidence * CAST(w AS DOUBLE) AS DECIMAL(20,12))) AS DOUBLE) / CAST(sum(w) AS DOUBLE) + least(0.08, 0.02 * (count(*) - 1))), 6) AS confidence, round(least(1, CAST(sum(CAST(visible_fraction * CAST(w AS DOUBLE) AS DECIMAL(20,12))) AS DOUBLE) / CAST(sum(w) AS DOUBLE)), 6) AS visible_fraction,
-round(CASE WHEN absent THEN 0 ELSE min(CASE WHEN 2 * run >= total THEN recommended_mm END) END, 6) AS radius_mm FROM k GROUP BY plant_id, absent"""),
     "agg6": (_of("growth")(lambda g: curves.fit_curve(g, "crop")),
              f"WITH {_ISO}, rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY crop ORDER BY day) - 1 AS p, count(*) OVER (PARTITION BY crop) AS n FROM fit) SELECT crop, day, round(fitted * 2, 1) AS diameter_mm FROM rk WHERE n <= 10 OR p IN (SELECT CAST(round_even(range * (n - 1) / 9.0, 0) AS BIGINT) FROM range(10))"),
     "agg7": (_of("growth")(lambda g: curves.isotonic(g.groupBy("crop", (F.floor(F.greatest(F.lit(0), c("age_days")) / 3) * 3).cast("long").alias("day")).agg(F.percentile("radius", F.lit(0.9)).alias("upper"), F.count("*").alias("n")), "crop", "day", "upper", "n").select("crop", "day", F.round("fitted", 9).alias("fitted"))),
@@ -76,7 +70,6 @@ round(CASE WHEN absent THEN 0 ELSE min(CASE WHEN 2 * run >= total THEN recommend
               "SELECT plant_id, round(quantile_cont(coverage, 0.9) - quantile_cont(coverage, 0.1), 6) AS spread FROM sightings GROUP BY plant_id"),
     "can1": (_of("foliage")(_edge),
              f"WITH {_EDGES} SELECT plant_id, bool_or(cut) AS broad, round(max(outer_mm), 4) AS outer_mm, round(max(edge), 4) AS unclipped_mm, round(least(max(typical), max(outer_mm)), 4) AS typical_mm, round(greatest(max(outer_mm) + 20, least(max(current_mm), max(edge) + 20)), 4) AS recommended_mm FROM lim JOIN outr USING (plant_id) JOIN ty USING (plant_id) GROUP BY plant_id"),
-    "sel1": (_of("sightings")(lambda s: evidence.select_evidence(s).select("plant_id", "mode", F.array_join(F.transform("used", lambda v: v.cast("string")), ",").alias("used"), "covered")), None),
     "sel2": (_of("sightings")(lambda s: s.select("measurement_id", F.round(evidence.quality(), 6).alias("quality"), evidence.is_complete().alias("complete"))),
              "SELECT measurement_id, round(confidence * sqrt(greatest(0.05, image_quality) * greatest(0.05, segmentation_quality)), 6) AS quality, has_evidence AND center_visible AND NOT truncated AND coverage >= 0.98 AS complete FROM sightings"),
     "fn6": (_of("sightings")(lambda s: s.select("measurement_id", F.size(evidence.sectors(c("first_sector"), c("coverage"))).alias("sectors"))),

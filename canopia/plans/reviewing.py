@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from canopia.operators import evidence, geometry, planning, reviews, store
 from canopia.plans.garden import _PENDING, _of
-from canopia.plans.garden import PLANS as GARDEN
+from canopia.plans.judgements import PLANS as JUDGED
 from canopia.plans.measures import _GRID
 from canopia.sources.tables import view
 from canopia.streaming import events
@@ -65,7 +65,7 @@ def _waiting(spark, sf_dir):
 
 def _queue(m, d, w):
     found = store.recent(w.where("status IN ('recommended', 'observing')"), "image_timestamp", "detection_id", 100)
-    return store.review_queue(m, d).select(F.lit("plant").alias("kind"), F.col("plant_id").alias("id")).unionByName(found.select(F.lit("weed").alias("kind"), F.col("detection_id").alias("id")))
+    return store.review_queue(m, d, 0.1, 5.0, 3.0, 100).select(F.lit("plant").alias("kind"), F.col("plant_id").alias("id")).unionByName(found.select(F.lit("weed").alias("kind"), F.col("detection_id").alias("id")))
 
 
 def _tracks(spark, sf_dir):
@@ -117,8 +117,8 @@ PLANS = {
              "SELECT id, crop FROM plants WHERE contains(lower(crop), 'econ')"),
     "q17": (_of("soil_measurements")(lambda s: store.recent(s, "created_at", "measurement_id", 100).select("measurement_id", "point_id", "status")),
             "SELECT measurement_id, point_id, status FROM soil_measurements ORDER BY created_at DESC, measurement_id DESC LIMIT 100"),
-    "q22": (_of("measurements", "decisions", "detections")(_queue),
-            f"SELECT 'plant' AS kind, plant_id AS id FROM ({GARDEN['q32'][1]}) UNION ALL SELECT 'weed', detection_id FROM (SELECT detection_id FROM detections WHERE status IN ('recommended', 'observing') ORDER BY image_timestamp DESC, detection_id DESC LIMIT 100)"),
+    "q22": (_of("viewings", "decisions", "detections")(_queue),
+            f"SELECT 'plant' AS kind, plant_id AS id FROM ({JUDGED['q32'][1]}) UNION ALL SELECT 'weed', detection_id FROM (SELECT detection_id FROM detections WHERE status IN ('recommended', 'observing') ORDER BY image_timestamp DESC, detection_id DESC LIMIT 100)"),
     "q23": (_of("images", "decisions")(lambda i, d: reviews.selected_images(i, d.where("action = 'reject'").select(F.col("measurement_id").alias("id"))).select("id", "x", "y")),
             "SELECT id, x, y FROM images WHERE processed AND id NOT IN (SELECT measurement_id FROM decisions WHERE action = 'reject')"),
     "q24": (_of("soil_measurements")(lambda s: s.select("measurement_id", reviews.applicable(F.col("status"), F.col("proposed_z_mm"), F.col("capture_x"), F.col("capture_y"), F.col("point_id"), F.when(_expr("measurement_id % 3 <> 0"), F.col("created_at"))).alias("applicable"))),

@@ -46,13 +46,24 @@ VIEWS = {
                CASE o_orderkey % 3 WHEN 0 THEN 480 WHEN 1 THEN 720 ELSE 960 END AS height,
                CASE WHEN o_orderkey % 6 = 0 THEN 'broken' WHEN o_orderkey % 6 = 1 THEN NULL ELSE '{"slope": ' || CAST(o_orderkey % 9 AS VARCHAR(20)) || ', "camera": "c' || CAST(o_orderkey % 4 AS VARCHAR(20)) || '"}' END AS payload
         FROM orders""",
+    "viewings": """
+        SELECT event_id AS measurement_id, user_id AS plant_id, event_id % 97 AS image_id,
+               TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' SECOND * (event_id * 37 % 43200) AS image_timestamp,
+               CAST(40 + user_id % 60 AS DOUBLE) AS current_radius_mm, value / 2 AS recommended_mm,
+               CAST((event_id * 31) % 100 AS DOUBLE) / 100 AS confidence, CAST(event_id % 20 + 1 AS DOUBLE) / 20 AS visible_fraction,
+               event_type = 'error' AS vegetation_absent, event_type <> 'error' AND user_id % 7 <> 0 AS has_evidence,
+               event_id % 3 <> 0 AS center_visible, event_id % 4 = 0 AS truncated, user_id % 5 <> 0 AS fits,
+               CAST((event_id * 37) % 101 AS DOUBLE) / 100 AS coverage, CAST((event_id * 13) % 100 AS DOUBLE) / 100 AS image_quality,
+               CAST((event_id * 7) % 100 AS DOUBLE) / 100 AS segmentation_quality, CAST((event_id * 53) % 72 AS INT) AS first_sector,
+               CASE WHEN event_id % 11 = 0 THEN value / 2 + 5 END AS fused_mm, CAST(40 + event_id % 50 AS DOUBLE) / 100 AS fused_confidence, event_id % 2 = 0 AS fusion_reliable
+        FROM events""",
     "stereo": """
         SELECT o_orderkey AS id, o_custkey % 400 AS point_id, o_orderkey % 5 AS level, CAST(100 + 40 * (o_orderkey % 5) AS DOUBLE) AS distance_mm,
                1000.0 / (100 + 40 * (o_orderkey % 5)) + CAST(o_orderkey % 7 AS DOUBLE) / 50 AS disparity, o_orderstatus <> 'F' AS passes
         FROM orders""",
 }
 #: Which given tables a view reads.
-READS = {"sites": ["events"], "unlinked": ["events"], "proposals": ["events"], "calibrations": ["orders"], "stereo": ["orders"], "traits": ["labels", "documents"], "foliage": ["lineitem"], "beds": ["supplier"], "cases": ["events"], "sightings": ["events"], "detections": ["events"], "labelled": ["events"], "soil_decisions": ["orders"], "legacy_repairs": ["orders"], "growth": ["events"], "plants": ["part"], "weeds": ["supplier"], "soil_points": ["customer"], "images": ["events"], "measurements": ["events"], "decisions": ["events"], "soil_measurements": ["orders"], "change_log": ["lineitem"], "training": ["labels", "documents"]}
+READS = {"viewings": ["events"], "sites": ["events"], "unlinked": ["events"], "proposals": ["events"], "calibrations": ["orders"], "stereo": ["orders"], "traits": ["labels", "documents"], "foliage": ["lineitem"], "beds": ["supplier"], "cases": ["events"], "sightings": ["events"], "detections": ["events"], "labelled": ["events"], "soil_decisions": ["orders"], "legacy_repairs": ["orders"], "growth": ["events"], "plants": ["part"], "weeds": ["supplier"], "soil_points": ["customer"], "images": ["events"], "measurements": ["events"], "decisions": ["events"], "soil_measurements": ["orders"], "change_log": ["lineitem"], "training": ["labels", "documents"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -98,12 +98,6 @@ def axis_groups(rows: DataFrame, key: str, value: str, tolerance: float = 25.0)
     return groups.select(key, (F.col("g.s") / F.col("g.n")).alias("position"), F.col("g.n").cast("long").alias("members"))
 
 
-def open_ground(blobs: DataFrame, plants: DataFrame, margin: float = 45.0, widest: float = 100.0) -> DataFrame:
-    """grd6: blobs (id, x, y) outside every plant's disc and margin: candidates for weeds."""
-    discs = plants.select("x", "y", (F.col("radius") + margin).alias("reach"))
-    return blobs.join(geometry.reached(blobs, discs, widest), "id", "left_anti")
-
-
 def measurement_target(places: DataFrame, points: DataFrame, reach: float = 200.0) -> DataFrame:
     """pln11: per place (id, x, y) the nearest point closer than reach and its distance, or point 0."""
     near = geometry.within(places.select("id", "x", "y"), points.select("id", "x", "y"), reach).where(F.col("distance") < reach)

@@ -64,8 +64,6 @@ FROM plants LEFT JOIN f ON f.entity_id = id - 1"""),
               """
 WITH k AS (SELECT w.id, min(sqrt((w.x - p.x) * (w.x - p.x) + (w.y - p.y) * (w.y - p.y)) - p.radius) - 24 AS edge FROM weeds w LEFT JOIN plants p ON true GROUP BY w.id)
 SELECT id, CASE WHEN edge < 0 THEN -1 ELSE round(coalesce(edge, 10000), 6) END AS margin_mm FROM k"""),
-    "grd4": (_of("images")(lambda i: geometry.grid_cells(i).select("cell_x", "cell_y", "images")),
-             "SELECT CAST(floor(x / 373 + 0.5) AS BIGINT) AS cell_x, CAST(floor(y / 294 + 0.5) AS BIGINT) AS cell_y, count(*) AS images FROM images WHERE processed GROUP BY ALL"),
     "set3": (_of("plants", "weeds")(geometry.obstacles),
              "SELECT 'plant' AS kind, id, x, y, radius FROM plants WHERE radius >= 15 AND (age_days IS NULL OR age_days >= 10) UNION ALL SELECT 'weed', id, x, y, radius FROM weeds"),
     "set5": (_of("weeds")(lambda w: geometry.missing_cells(geometry.grid_cells(w.selectExpr("x", "y", "true AS processed", "id AS created_at")).select("cell_x", "cell_y"))),

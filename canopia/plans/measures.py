@@ -120,6 +120,4 @@ g AS (SELECT n.*, (SELECT round(min(sqrt((n.x - ox) * (n.x - ox) + (n.y - oy) *
     "grd2": (_of("beds")(lambda b: planning.cell_bounds(planning.capture_grid(b), b).select("bed_id", "index", *[F.round(n, 6).alias(n) for n in ("x0", "x1", "y0", "y1")])),
              f"""WITH {_GRID}, cx AS (SELECT bed_id, "column", width_mm, x, lag(x) OVER (PARTITION BY bed_id ORDER BY "column") AS a, lead(x) OVER (PARTITION BY bed_id ORDER BY "column") AS b FROM (SELECT DISTINCT bed_id, "column", width_mm, x FROM cells)), cy AS (SELECT bed_id, "row", depth_mm, y, lag(y) OVER (PARTITION BY bed_id ORDER BY "row") AS a, lead(y) OVER (PARTITION BY bed_id ORDER BY "row") AS b FROM (SELECT DISTINCT bed_id, "row", depth_mm, y FROM cells))
 SELECT cells.bed_id, "index", round(coalesce((cx.a + cx.x) / 2, 0), 6) AS x0, round(coalesce((cx.x + cx.b) / 2, cx.width_mm), 6) AS x1, round(coalesce((cy.a + cy.y) / 2, 0), 6) AS y0, round(coalesce((cy.y + cy.b) / 2, cy.depth_mm), 6) AS y1 FROM cells JOIN cx ON cx.bed_id = cells.bed_id AND cx."column" = cells."column" JOIN cy ON cy.bed_id = cells.bed_id AND cy."row" = cells."row" """),
-    "grd6": (_of("detections", "plants")(lambda d, p: planning.open_ground(d.select(c("detection_id").alias("id"), "x", "y"), p).select("id")),
-             "SELECT detection_id AS id FROM detections d WHERE NOT EXISTS (SELECT 1 FROM plants p WHERE sqrt((d.x - p.x) * (d.x - p.x) + (d.y - p.y) * (d.y - p.y)) <= p.radius + 45)"),
 }

@@ -57,13 +57,49 @@ VIEWS = {
                CAST((event_id * 7) % 100 AS DOUBLE) / 100 AS segmentation_quality, CAST((event_id * 53) % 72 AS INT) AS first_sector,
                CASE WHEN event_id % 11 = 0 THEN value / 2 + 5 END AS fused_mm, CAST(40 + event_id % 50 AS DOUBLE) / 100 AS fused_confidence, event_id % 2 = 0 AS fusion_reliable
         FROM events""",
+    "grid_images": """
+        SELECT CAST(floor(event_id / 100.0) AS BIGINT) % 25 AS entry, event_id AS id,
+               TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' SECOND * (event_id * 97 + CASE WHEN event_type = 'error' AND event_id % 2 = 0 THEN 7200 ELSE 0 END) AS created_at,
+               CAST((CASE WHEN event_type IN ('error', 'signup') AND event_id % 2 = 1 THEN event_id - 1 ELSE event_id END % 6) * 200 + CAST(floor(event_id / 7.0) AS BIGINT) % 3 AS DOUBLE) AS x,
+               CAST((CAST(floor(event_id / 6.0) AS BIGINT) % 5) * 150 + event_id % 4 AS DOUBLE) AS y, CAST(event_id % 5 AS DOUBLE) AS z, event_id % 13 = 0 AS gantry
+        FROM events""",
+    "grid_repairs": """
+        SELECT CAST(floor(event_id / 100.0) AS BIGINT) % 25 AS entry, event_id AS id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' SECOND * (event_id * 97 - 3600) AS run_started_at
+        FROM events WHERE event_type = 'error' AND event_id % 2 = 0""",
+    "frames": """
+        SELECT CAST(floor(event_id / 40.0) AS BIGINT) AS run, event_id AS seq, CASE WHEN event_id % 19 = 0 THEN NULL ELSE event_id * 3 END AS image_id,
+               CAST((event_id * 7 % 6) * 200 + event_id % 17 AS DOUBLE) AS x, CAST((event_id * 11 % 5) * 150 + event_id % 23 AS DOUBLE) AS y, CAST(event_id % 9 AS DOUBLE) AS z,
+               CASE WHEN event_type = 'click' THEN event_id * 13 % 33 END AS declared
+        FROM events""",
+    "cells": """
+        SELECT event_id % 77 AS cell, CAST((event_id % 11) * 373 AS DOUBLE) AS x, CAST((CAST(floor((event_id % 77) / 11.0) AS BIGINT) % 7) * 294 AS DOUBLE) AS y,
+               CASE max(event_id) % 5 WHEN 0 THEN 'blurry' ELSE 'usable' END AS issue
+        FROM events GROUP BY 1, 2, 3""",
+    "blobs": """
+        SELECT event_id AS blob, event_id * 31 % 77 AS cell, CAST((event_id * 17) % 1000 AS DOUBLE) / 1000 AS u, CAST((event_id * 29) % 1000 AS DOUBLE) / 1000 AS v,
+               CAST(8 + event_id % 25 AS DOUBLE) / 4000 AS area_fraction
+        FROM events""",
+    "qualities": """
+        SELECT event_id AS image_id, CAST(floor(event_id / 77.0) AS BIGINT) AS run, CAST(floor((event_id % 77) / 11.0) AS BIGINT) AS cell_y, event_id % 11 AS cell_x,
+               CASE event_id * 5 % 13 WHEN 0 THEN 'washed_out' WHEN 1 THEN 'leaf_obstruction' WHEN 2 THEN 'blurry' ELSE 'usable' END AS issue,
+               CAST(event_id * 37 % 300 AS DOUBLE) / 2 AS laplacian, CAST(event_id * 41 % 100 AS DOUBLE) / 500 AS edges, CAST(event_id * 7 % 50 AS DOUBLE) / 400 AS contrast,
+               CAST(event_id * 3 % 10 AS DOUBLE) / 20 AS blur, CAST(event_id * 3 % 7 AS DOUBLE) / 7 AS clear, CAST(event_id * 11 % 5 AS DOUBLE) / 5 AS obstruction,
+               CAST(event_id * 13 % 9 AS DOUBLE) / 9 AS vegetation, CAST(event_id * 17 % 100 AS DOUBLE) / 100 AS sharpness
+        FROM events""",
+    "stereo_pairs": """
+        SELECT l_orderkey * 100 + CAST(floor(n / 3.0) AS BIGINT) AS measurement_id, n % 3 AS pair, l_partkey % 6 <> 0 AS passes,
+               CAST(180 + (l_orderkey * 7 + n * 3) % 40 * CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE 0 END + l_suppkey % 4 AS DOUBLE) / 20 - CASE WHEN l_partkey % 31 = 0 THEN 20 ELSE 0 END AS disparity,
+               CAST(l_partkey % 50 AS DOUBLE) / 100 AS coverage, CAST(50 + l_partkey % 50 AS DOUBLE) / 100 AS support,
+               CAST(l_partkey % 15 AS DOUBLE) / 10 AS lr_error, CAST(l_partkey % 20 AS DOUBLE) / 10 AS mad,
+               CAST(100 + l_orderkey % 50 AS DOUBLE) AS camera_z, CAST(l_orderkey % 12 AS DOUBLE) / 10 AS z_spread
+        FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS n FROM lineitem) l""",
     "stereo": """
         SELECT o_orderkey AS id, o_custkey % 400 AS point_id, o_orderkey % 5 AS level, CAST(100 + 40 * (o_orderkey % 5) AS DOUBLE) AS distance_mm,
                1000.0 / (100 + 40 * (o_orderkey % 5)) + CAST(o_orderkey % 7 AS DOUBLE) / 50 AS disparity, o_orderstatus <> 'F' AS passes
         FROM orders""",
 }
 #: Which given tables a view reads.
-READS = {"viewings": ["events"], "sites": ["events"], "unlinked": ["events"], "proposals": ["events"], "calibrations": ["orders"], "stereo": ["orders"], "traits": ["labels", "documents"], "foliage": ["lineitem"], "beds": ["supplier"], "cases": ["events"], "sightings": ["events"], "detections": ["events"], "labelled": ["events"], "soil_decisions": ["orders"], "legacy_repairs": ["orders"], "growth": ["events"], "plants": ["part"], "weeds": ["supplier"], "soil_points": ["customer"], "images": ["events"], "measurements": ["events"], "decisions": ["events"], "soil_measurements": ["orders"], "change_log": ["lineitem"], "training": ["labels", "documents"]}
+READS = {"grid_images": ["events"], "grid_repairs": ["events"], "frames": ["events"], "cells": ["events"], "blobs": ["events"], "qualities": ["events"], "stereo_pairs": ["lineitem"], "viewings": ["events"], "sites": ["events"], "unlinked": ["events"], "proposals": ["events"], "calibrations": ["orders"], "stereo": ["orders"], "traits": ["labels", "documents"], "foliage": ["lineitem"], "beds": ["supplier"], "cases": ["events"], "sightings": ["events"], "detections": ["events"], "labelled": ["events"], "soil_decisions": ["orders"], "legacy_repairs": ["orders"], "growth": ["events"], "plants": ["part"], "weeds": ["supplier"], "soil_points": ["customer"], "images": ["events"], "measurements": ["events"], "decisions": ["events"], "soil_measurements": ["orders"], "change_log": ["lineitem"], "training": ["labels", "documents"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

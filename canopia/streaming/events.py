@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from canopia.sources import shared
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src6: the events table as a stream, with an event time that takes a watermark."""
@@ -94,11 +95,7 @@ def bursts(batch: DataFrame) -> DataFrame:
 
 def drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """Runs a stream over all that is there, through a Parquet sink in the shared folder, and returns its rows."""
-    sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir")
-    if not shared and not (sc.master == "local" or sc.master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = f"{(shared or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared.folder(spark)}/stream-{uuid.uuid4().hex}"
     spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows")  # what a stream over nothing leaves
     query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()

@@ -93,13 +93,25 @@ VIEWS = {
                CAST(l_partkey % 15 AS DOUBLE) / 10 AS lr_error, CAST(l_partkey % 20 AS DOUBLE) / 10 AS mad,
                CAST(100 + l_orderkey % 50 AS DOUBLE) AS camera_z, CAST(l_orderkey % 12 AS DOUBLE) / 10 AS z_spread
         FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS n FROM lineitem) l""",
+    "contracts": """
+        SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 640 WHEN 1 THEN 960 WHEN 2 THEN 720 ELSE CASE WHEN o_custkey % 5 = 0 THEN 2000 ELSE 1280 END END AS width,
+               CASE o_orderkey % 4 WHEN 0 THEN 480 WHEN 1 THEN CASE WHEN o_custkey % 7 = 0 THEN 1270 ELSE 1280 END WHEN 2 THEN 960 ELSE 960 END AS height,
+               CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE 1280 END AS source_width, CASE WHEN o_custkey % 11 = 0 AND o_custkey % 2 = 0 THEN NULL ELSE 960 END AS source_height,
+               CASE WHEN o_custkey % 22 = 0 THEN NULL WHEN o_orderkey % 2 = 1 AND o_orderkey % 4 = 1 THEN 960 ELSE 1280 END AS oriented_width,
+               CASE WHEN o_custkey % 22 = 0 THEN NULL WHEN o_custkey % 13 = 0 THEN 1000 WHEN o_orderkey % 4 = 1 THEN 1280 ELSE 960 END AS oriented_height,
+               CASE WHEN o_custkey % 22 = 0 THEN NULL WHEN o_custkey % 17 = 0 THEN 0e0 ELSE CASE o_orderkey % 4 WHEN 0 THEN 5e-1 WHEN 2 THEN 5625e-4 ELSE 1e0 END * (100 + o_custkey % 9 - 4) / 100 END AS scale_x,
+               CASE WHEN o_custkey % 22 = 0 THEN NULL ELSE CASE o_orderkey % 4 WHEN 0 THEN 5e-1 ELSE 1e0 END * (100 + o_orderkey % 7 - 3) / 100 END AS scale_y,
+               CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderkey % 10 <> 0 END AS available, CASE WHEN o_custkey % 6 = 0 THEN 'source_image' ELSE 'processed_image' END AS basis,
+               CASE WHEN o_custkey % 8 = 0 THEN NULL ELSE CASE o_orderkey % 4 WHEN 0 THEN 640 WHEN 1 THEN 960 WHEN 2 THEN 720 ELSE 1280 END END AS p_width,
+               CASE o_orderkey % 4 WHEN 0 THEN 480 WHEN 1 THEN 1280 ELSE 960 END AS p_height, CAST(o_custkey % 5 AS DOUBLE) / 4 AS ppm_x, CAST(o_custkey % 7 - 1 AS DOUBLE) / 4 AS ppm_y
+        FROM (SELECT o_orderkey, o_custkey FROM orders) o""",
     "stereo": """
         SELECT o_orderkey AS id, o_custkey % 400 AS point_id, o_orderkey % 5 AS level, CAST(100 + 40 * (o_orderkey % 5) AS DOUBLE) AS distance_mm,
                1000.0 / (100 + 40 * (o_orderkey % 5)) + CAST(o_orderkey % 7 AS DOUBLE) / 50 AS disparity, o_orderstatus <> 'F' AS passes
         FROM orders""",
 }
 #: Which given tables a view reads.
-READS = {"grid_images": ["events"], "grid_repairs": ["events"], "frames": ["events"], "cells": ["events"], "blobs": ["events"], "qualities": ["events"], "stereo_pairs": ["lineitem"], "viewings": ["events"], "sites": ["events"], "unlinked": ["events"], "proposals": ["events"], "calibrations": ["orders"], "stereo": ["orders"], "traits": ["labels", "documents"], "foliage": ["lineitem"], "beds": ["supplier"], "cases": ["events"], "sightings": ["events"], "detections": ["events"], "labelled": ["events"], "soil_decisions": ["orders"], "legacy_repairs": ["orders"], "growth": ["events"], "plants": ["part"], "weeds": ["supplier"], "soil_points": ["customer"], "images": ["events"], "measurements": ["events"], "decisions": ["events"], "soil_measurements": ["orders"], "change_log": ["lineitem"], "training": ["labels", "documents"]}
+READS = {"contracts": ["orders"], "grid_images": ["events"], "grid_repairs": ["events"], "frames": ["events"], "cells": ["events"], "blobs": ["events"], "qualities": ["events"], "stereo_pairs": ["lineitem"], "viewings": ["events"], "sites": ["events"], "unlinked": ["events"], "proposals": ["events"], "calibrations": ["orders"], "stereo": ["orders"], "traits": ["labels", "documents"], "foliage": ["lineitem"], "beds": ["supplier"], "cases": ["events"], "sightings": ["events"], "detections": ["events"], "labelled": ["events"], "soil_decisions": ["orders"], "legacy_repairs": ["orders"], "growth": ["events"], "plants": ["part"], "weeds": ["supplier"], "soil_points": ["customer"], "images": ["events"], "measurements": ["events"], "decisions": ["events"], "soil_measurements": ["orders"], "change_log": ["lineitem"], "training": ["labels", "documents"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,11 +29,12 @@ def latest_grid_run(images: DataFrame, repairs: DataFrame, key: str = "entry", t
     """
     dealt = store.time_clusters(images.join(repairs.select(key, "id"), [key, "id"], "left_anti"), key, window)
     dealt = dealt.withColumn("n", F.count("*").over(W.partitionBy(key, "anchor"))).where("n >= 4").withColumn("run", F.struct(key, "anchor"))
+    dealt = cut(dealt)  # five branches read it
 
     def axis(value):
         return planning.axis_groups(dealt, "run", value, tolerance).groupBy("run").agg(F.array_sort(F.collect_list("position")).alias(f"{value}s"))
 
-    axes = axis("x").join(axis("y"), "run").where("size(xs) > 1 AND size(ys) > 1")
+    axes = cut(axis("x").join(axis("y"), "run").where("size(xs) > 1 AND size(ys) > 1"))
     height = F.coalesce(F.median(F.when(~F.col("gantry"), F.col("z"))), F.median("z"))
     facts = dealt.groupBy("run").agg(F.min("created_at").alias("started_at"), F.max("created_at").alias("completed_at"), height.alias("height")).join(axes, "run")
     hour = lambda c: F.floor(F.unix_seconds(c) / window)
@@ -46,7 +46,7 @@ def latest_grid_run(images: DataFrame, repairs: DataFrame, key: str = "entry", t
     adopted = late.join(starts, [key, "_h"]).where(drift.between(0, window)).select(*what, *place)
     adopted = adopted.where((F.abs(F.col("x") - F.col("cx")) <= tolerance) & (F.abs(F.col("y") - F.col("cy")) <= tolerance))
     placed = dealt.join(axes, "run").select(*what, *place).unionByName(adopted)
-    cells = placed.groupBy("run", "cx", "cy").agg(F.max_by(F.struct("id", "z", "gantry"), F.struct("created_at", "id")).alias("i"))
+    cells = cut(placed.groupBy("run", "cx", "cy").agg(F.max_by(F.struct("id", "z", "gantry"), F.struct("created_at", "id")).alias("i")))
     filled = facts.join(cells.groupBy("run").agg(F.count("*").alias("cells")), "run").withColumn("expected", F.size("xs") * F.size("ys"))
     whole = filled.withColumn("coverage", F.col("cells") / F.col("expected")).where(F.col("coverage") >= least)
     last = whole.withColumn("_n", F.row_number().over(W.partitionBy(f"run.{key}").orderBy(F.desc("run.anchor")))).where("_n = 1")
@@ -76,15 +76,17 @@ def match_frames(targets: DataFrame, frames: DataFrame, tolerance: float = 25.0)
     near = good.where("declared IS NULL").withColumns({"_x": cell("x"), "_y": cell("y")}).join(around, ["run", "_x", "_y"]).withColumn("distance", gap).where(F.col("distance") <= tolerance)
     pairs = named.unionByName(near.select("run", "seq", "image_id", F.col("target_index").cast("long").alias("target_index"), "distance"))
 
-    def take(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        done, free = {}, set(rows.target_index)
-        for r in rows.sort_values(["seq", "distance", "target_index"]).itertuples(index=False):
-            if r.seq not in done and r.target_index in free:
-                free.remove(r.target_index)
-                done[r.seq] = (key[0], r.target_index, r.image_id)
-        return pd.DataFrame(list(done.values()), columns=["run", "target_index", "image_id"])
+    free = pairs.groupBy("run", "seq", "image_id").agg(F.array_sort(F.collect_list(F.struct("distance", "target_index"))).alias("t"))
+    free = free.select("run", F.struct("seq", "image_id", F.transform("t", lambda t: t["target_index"]).alias("t")).alias("f"))
+    start = F.array().cast("array<struct<target_index:bigint,image_id:bigint>>")
 
-    return pairs.groupBy("run").applyInPandas(take, "run bigint, target_index bigint, image_id bigint")
+    def take(done, f):
+        left = F.filter(f["t"], lambda t: ~F.exists(done, lambda d: d["target_index"] == t))
+        pick = F.struct(F.get(left, F.lit(0)).alias("target_index"), f["image_id"].cast("bigint").alias("image_id"))
+        return F.when(F.size(left) == 0, done).otherwise(F.concat(done, F.array(pick)))
+
+    taken = free.groupBy("run").agg(F.array_sort(F.collect_list("f")).alias("f")).select("run", F.explode(F.aggregate("f", start, take)).alias("m"))
+    return taken.select("run", "m.target_index", "m.image_id")
 
 
 def newest_per_location(images: DataFrame, key: str = "entry", tolerance: float = 25.0) -> DataFrame:

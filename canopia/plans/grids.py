@@ -114,16 +114,16 @@ SELECT ru.entry, CAST(epoch(started_at) AS BIGINT) AS started, CAST(epoch(comple
 FROM ru LEFT JOIN ta ON ta.entry = ru.entry AND reason IS NOT NULL""",
     ),
     "grd6": (
-        _of("cells", "blobs", "plants")(lambda k, b, p: runs.scout_cells(k, b, p, 200.0, 150.0, CAMERA).select("cell", "issue", F.col("candidates").cast("long").alias("candidates"), F.coalesce(F.size("full"), F.lit(0)).alias("framed"), F.coalesce(_text("full"), F.lit("")).alias("full"), F.coalesce(_text("partial"), F.lit("")).alias("partial"))),
+        _of("capture_cells", "blobs", "plants")(lambda k, b, p: runs.scout_cells(k, b, p, 200.0, 150.0, CAMERA).select("cell", "issue", F.col("candidates").cast("long").alias("candidates"), F.coalesce(F.size("full"), F.lit(0)).alias("framed"), F.coalesce(_text("full"), F.lit("")).alias("full"), F.coalesce(_text("partial"), F.lit("")).alias("partial"))),
         f"""
 WITH {_DISC},
 sp AS (
     SELECT cell, blob, x + 15 + ((u - 0.5) * 400) * {_COS} - ((v - 0.5) * 300) * ({_SIN}) AS gx, y - 20 - (((u - 0.5) * 400) * ({_SIN}) + ((v - 0.5) * 300) * {_COS}) AS gy
-    FROM blobs JOIN cells USING (cell) WHERE issue = 'usable' AND area_fraction >= 0.004),
+    FROM blobs JOIN capture_cells USING (cell) WHERE issue = 'usable' AND area_fraction >= 0.004),
 wd AS (
     SELECT cell, count(*) AS candidates FROM sp
     WHERE NOT EXISTS (SELECT 1 FROM plants p WHERE sqrt((gx - p.x) * (gx - p.x) + (gy - p.y) * (gy - p.y)) <= p.radius + 45) GROUP BY cell),
-nr AS (SELECT cell, p.id, p.x AS px, p.y AS py, greatest(1, p.radius + 20) AS r, k0.x AS fx, k0.y AS fy FROM cells k0 JOIN plants p ON abs(p.x - k0.x - 15) <= 260 + p.radius + 20 AND abs(p.y - k0.y + 20) <= 260 + p.radius + 20),
+nr AS (SELECT cell, p.id, p.x AS px, p.y AS py, greatest(1, p.radius + 20) AS r, k0.x AS fx, k0.y AS fy FROM capture_cells k0 JOIN plants p ON abs(p.x - k0.x - 15) <= 260 + p.radius + 20 AND abs(p.y - k0.y + 20) <= 260 + p.radius + 20),
 dd AS (SELECT cell, id, px + u * r - fx - 15 AS dx, -(py + v * r - fy + 20) AS dy FROM nr, k),
 sh AS (SELECT cell, id, avg(CASE WHEN abs(dx * {_COS} + dy * {_SIN}) <= 200 AND abs(dy * {_COS} - dx * {_SIN}) <= 150 THEN 1.0 ELSE 0 END) AS share FROM dd GROUP BY cell, id),
 fr AS (
@@ -131,7 +131,7 @@ fr AS (
            string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FILTER (share > 0 AND share < 0.999) AS partial
     FROM sh GROUP BY cell)
 SELECT cell, issue, coalesce(candidates, 0) AS candidates, CAST(coalesce(framed, 0) AS INT) AS framed, coalesce("full", '') AS "full", coalesce(partial, '') AS partial
-FROM cells LEFT JOIN wd USING (cell) LEFT JOIN fr USING (cell)""",
+FROM capture_cells LEFT JOIN wd USING (cell) LEFT JOIN fr USING (cell)""",
     ),
     "grd8": (
         _of("grid_images")(lambda i: runs.newest_per_location(i).select("entry", "id")),

@@ -71,7 +71,7 @@ VIEWS = {
                CAST((event_id * 7 % 6) * 200 + event_id % 17 AS DOUBLE) AS x, CAST((event_id * 11 % 5) * 150 + event_id % 23 AS DOUBLE) AS y, CAST(event_id % 9 AS DOUBLE) AS z,
                CASE WHEN event_type = 'click' THEN event_id * 13 % 33 END AS declared
         FROM events""",
-    "cells": """
+    "capture_cells": """
         SELECT event_id % 77 AS cell, CAST((event_id % 11) * 373 AS DOUBLE) AS x, CAST((CAST(floor((event_id % 77) / 11.0) AS BIGINT) % 7) * 294 AS DOUBLE) AS y,
                CASE max(event_id) % 5 WHEN 0 THEN 'blurry' ELSE 'usable' END AS issue
         FROM events GROUP BY 1, 2, 3""",
@@ -111,7 +111,7 @@ VIEWS = {
         FROM orders""",
 }
 #: Which given tables a view reads.
-READS = {"contracts": ["orders"], "grid_images": ["events"], "grid_repairs": ["events"], "frames": ["events"], "cells": ["events"], "blobs": ["events"], "qualities": ["events"], "stereo_pairs": ["lineitem"], "viewings": ["events"], "sites": ["events"], "unlinked": ["events"], "proposals": ["events"], "calibrations": ["orders"], "stereo": ["orders"], "traits": ["labels", "documents"], "foliage": ["lineitem"], "beds": ["supplier"], "cases": ["events"], "sightings": ["events"], "detections": ["events"], "labelled": ["events"], "soil_decisions": ["orders"], "legacy_repairs": ["orders"], "growth": ["events"], "plants": ["part"], "weeds": ["supplier"], "soil_points": ["customer"], "images": ["events"], "measurements": ["events"], "decisions": ["events"], "soil_measurements": ["orders"], "change_log": ["lineitem"], "training": ["labels", "documents"]}
+READS = {"contracts": ["orders"], "grid_images": ["events"], "grid_repairs": ["events"], "frames": ["events"], "capture_cells": ["events"], "blobs": ["events"], "qualities": ["events"], "stereo_pairs": ["lineitem"], "viewings": ["events"], "sites": ["events"], "unlinked": ["events"], "proposals": ["events"], "calibrations": ["orders"], "stereo": ["orders"], "traits": ["labels", "documents"], "foliage": ["lineitem"], "beds": ["supplier"], "cases": ["events"], "sightings": ["events"], "detections": ["events"], "labelled": ["events"], "soil_decisions": ["orders"], "legacy_repairs": ["orders"], "growth": ["events"], "plants": ["part"], "weeds": ["supplier"], "soil_points": ["customer"], "images": ["events"], "measurements": ["events"], "decisions": ["events"], "soil_measurements": ["orders"], "change_log": ["lineitem"], "training": ["labels", "documents"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

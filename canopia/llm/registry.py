@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from canopia.llm import decontaminate, langid, linededup, mixing, neighbours, passages, pii, quality, secrets, simhash
+from canopia.llm import decontaminate, langid, linededup, mixing, neighbours, passages, pii, quality, secrets, simhash, trie
 
 QUERIES = {
     "op1_learned_partitions": neighbours.query,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_simhash_pigeonhole": simhash.query,
     "op9_hierarchical_langid": langid.query,
     "op10_assignment_secrets": secrets.query,
+    "op11_conversation_trie": trie.query,
 }
 ORACLES = {
     "op4_line_dedup": linededup.ORACLE,
     "op6_decontamination": decontaminate.ORACLE,
     "op7_hierarchical_mixing": mixing.ORACLE,
+    "op11_conversation_trie": trie.ORACLE,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from canopia.llm import decontaminate, langid, linededup, mixing, neighbours, passages, pii, quality, secrets, simhash, trie
+from canopia.llm import decontaminate, langid, linededup, mixing, neighbours, passages, pii, quality, rules, secrets, simhash, trie
 
 QUERIES = {
     "op1_learned_partitions": neighbours.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_hierarchical_langid": langid.query,
     "op10_assignment_secrets": secrets.query,
     "op11_conversation_trie": trie.query,
+    "op12_isolation_rules": rules.query,
 }
 ORACLES = {
     "op4_line_dedup": linededup.ORACLE,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from canopia.llm import decontaminate, langid, linededup, mixing, neighbours, passages, pii, quality, rules, secrets, simhash, trie
+from canopia.llm import decontaminate, langid, linededup, manifest, mixing, neighbours, passages, pii, quality, rules, secrets, simhash, trie
 
 QUERIES = {
     "op1_learned_partitions": neighbours.query,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_assignment_secrets": secrets.query,
     "op11_conversation_trie": trie.query,
     "op12_isolation_rules": rules.query,
+    "op13_merkle_manifest": manifest.query,
 }
 ORACLES = {
     "op4_line_dedup": linededup.ORACLE,
     "op6_decontamination": decontaminate.ORACLE,
     "op7_hierarchical_mixing": mixing.ORACLE,
     "op11_conversation_trie": trie.ORACLE,
+    "op13_merkle_manifest": manifest.ORACLE,
 }

@@ -93,6 +93,15 @@ VIEWS = {
                CAST(l_partkey % 15 AS DOUBLE) / 10 AS lr_error, CAST(l_partkey % 20 AS DOUBLE) / 10 AS mad,
                CAST(100 + l_orderkey % 50 AS DOUBLE) AS camera_z, CAST(l_orderkey % 12 AS DOUBLE) / 10 AS z_spread
         FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS n FROM lineitem) l""",
+    "photo_pixels": """
+        SELECT image_id, x, y, CASE WHEN k < 2 THEN 40 + n WHEN k = 2 THEN 185 + n % 9 ELSE 50 + n END AS b,
+               CASE WHEN k < 2 THEN 140 + n * 2 WHEN k = 2 THEN 195 + n % 10 ELSE 60 + n END AS g, CASE WHEN k < 2 THEN 60 + n * 2 WHEN k = 2 THEN 188 + n % 12 ELSE 80 + n END AS r
+        FROM (SELECT image_id, x, y, (CAST(floor((x + image_id) / 6.0) AS BIGINT) * 37 + CAST(floor(y / 5.0) AS BIGINT) * 53 + image_id * 29 + CASE WHEN n % 11 = 0 THEN 3 ELSE 0 END) % 7 AS k, n
+              FROM (SELECT CAST(floor(event_id / 3072.0) AS BIGINT) AS image_id, event_id % 64 AS x, CAST(floor((event_id % 3072) / 64.0) AS BIGINT) AS y, (event_id * 7919) % 41 AS n FROM events) p) q""",
+    "photo_plants": """
+        SELECT CAST(floor(event_id / 3072.0) AS BIGINT) AS image_id, event_id AS plant_id, CAST((event_id * 37) % 80 - 8 AS DOUBLE) AS cx, CAST((event_id * 53) % 60 - 6 AS DOUBLE) AS cy,
+               CAST(4 + event_id % 29 AS DOUBLE) AS radius_mm
+        FROM events WHERE event_id % 512 = 7""",
     "contracts": """
         SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 640 WHEN 1 THEN 960 WHEN 2 THEN 720 ELSE CASE WHEN o_custkey % 5 = 0 THEN 2000 ELSE 1280 END END AS width,
                CASE o_orderkey % 4 WHEN 0 THEN 480 WHEN 1 THEN CASE WHEN o_custkey % 7 = 0 THEN 1270 ELSE 1280 END WHEN 2 THEN 960 ELSE 960 END AS height,
@@ -111,7 +120,7 @@ VIEWS = {
         FROM orders""",
 }
 #: Which given tables a view reads.
-READS = {"contracts": ["orders"], "grid_images": ["events"], "grid_repairs": ["events"], "frames": ["events"], "capture_cells": ["events"], "blobs": ["events"], "qualities": ["events"], "stereo_pairs": ["lineitem"], "viewings": ["events"], "sites": ["events"], "unlinked": ["events"], "proposals": ["events"], "calibrations": ["orders"], "stereo": ["orders"], "traits": ["labels", "documents"], "foliage": ["lineitem"], "beds": ["supplier"], "cases": ["events"], "sightings": ["events"], "detections": ["events"], "labelled": ["events"], "soil_decisions": ["orders"], "legacy_repairs": ["orders"], "growth": ["events"], "plants": ["part"], "weeds": ["supplier"], "soil_points": ["customer"], "images": ["events"], "measurements": ["events"], "decisions": ["events"], "soil_measurements": ["orders"], "change_log": ["lineitem"], "training": ["labels", "documents"]}
+READS = {"photo_pixels": ["events"], "photo_plants": ["events"], "contracts": ["orders"], "grid_images": ["events"], "grid_repairs": ["events"], "frames": ["events"], "capture_cells": ["events"], "blobs": ["events"], "qualities": ["events"], "stereo_pairs": ["lineitem"], "viewings": ["events"], "sites": ["events"], "unlinked": ["events"], "proposals": ["events"], "calibrations": ["orders"], "stereo": ["orders"], "traits": ["labels", "documents"], "foliage": ["lineitem"], "beds": ["supplier"], "cases": ["events"], "sightings": ["events"], "detections": ["events"], "labelled": ["events"], "soil_decisions": ["orders"], "legacy_repairs": ["orders"], "growth": ["events"], "plants": ["part"], "weeds": ["supplier"], "soil_points": ["customer"], "images": ["events"], "measurements": ["events"], "decisions": ["events"], "soil_measurements": ["orders"], "change_log": ["lineitem"], "training": ["labels", "documents"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

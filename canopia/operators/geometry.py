@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopia.operators import zones as Z
+from canopia.sources.shared import cut
 
 
 def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
@@ -24,21 +25,39 @@ def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return pairs.withColumn("distance", F.sqrt((F.col("x") - F.col("o_x")) * (F.col("x") - F.col("o_x")) + (F.col("y") - F.col("o_y")) * (F.col("y") - F.col("o_y")))).where(F.col("distance") <= radius)
 
 
-def clearance(places: DataFrame, obstacles: DataFrame, baseline: float, zones: list | None = None, first: float = 400.0, last: float = 4000.0) -> DataFrame:
+def nearest_edges(places: DataFrame, obstacles: DataFrame, first: float = 400.0) -> DataFrame:
+    """(id, edge): how far the nearest edge of an obstacle (x, y, radius) lies from each place; places without any are left out.
+
+    The search doubles its reach, and only places go on whose nearest edge so
+    far might be beaten by the widest obstacle out of reach; it ends when all is
+    settled or the reach spans everything.
+    """
+    bounds = [F.min("x"), F.max("x"), F.min("y"), F.max("y")]
+    extent = places.select("x", "y").unionByName(obstacles.select("x", "y")).agg(*bounds).first()
+    widest = obstacles.agg(F.max("radius")).first()[0]
+    if widest is None or extent[0] is None:
+        return places.select("id", F.lit(None).cast("double").alias("edge")).limit(0)
+    span = math.hypot(extent[1] - extent[0], extent[3] - extent[2])
+    discs, rest, reach, found = cut(obstacles.select("x", "y", "radius")), places.select("id", "x", "y"), first, None
+    while True:
+        near = within(rest, discs, reach).groupBy("id").agg(F.min(F.col("distance") - F.col("o_radius")).alias("edge"))
+        near = cut(near if reach >= span else near.where(F.col("edge") <= reach - widest))
+        found = near if found is None else found.unionByName(near)
+        if reach >= span:
+            return found
+        rest = cut(rest.join(near, "id", "left_anti"))
+        if rest.isEmpty():
+            return found
+        reach *= 2
+
+
+def clearance(places: DataFrame, obstacles: DataFrame, baseline: float, zones: list | None = None, first: float = 400.0) -> DataFrame:
     """pln10: per place (id, x, y) the clear soil around the stereo pair's reach of two baselines: -1 where that is blocked, 10,000 without obstacles.
 
-    The nearest edge is looked for within `first`; only places that have none so
-    near look on, over the whole of `last`. With zones, the margin is halved in on
-    24 times until it just fits them.
+    With zones, the margin is halved in on 24 times until it just fits them.
     """
     reach = 2 * baseline
-    widest = obstacles.agg(F.coalesce(F.max("radius"), F.lit(0.0))).first()[0]
-    discs = obstacles.select("x", "y", "radius")
-    edge = F.min(F.col("distance") - F.col("o_radius")).alias("edge")
-    near = within(places.select("id", "x", "y"), discs, first).groupBy("id").agg(edge).where(F.col("edge") <= first - widest)
-    rest = places.select("id", "x", "y").join(near, "id", "left_anti")
-    far = within(rest, discs, last).groupBy("id").agg(edge)
-    margins = places.select("id", "x", "y").join(near.unionByName(far), "id", "left").withColumn("limit", F.coalesce(F.col("edge") - reach, F.lit(10_000.0)))
+    margins = places.select("id", "x", "y").join(nearest_edges(places, obstacles, first), "id", "left").withColumn("limit", F.coalesce(F.col("edge") - reach, F.lit(10_000.0)))
     blocked, margin = F.col("limit") < 0, F.col("limit")
     if zones:
         fits = lambda r: Z.evaluate(zones, "centers", F.col("x"), F.col("y"), r)["allowed"]
@@ -60,17 +79,6 @@ def grid_cells(images: DataFrame, dx: float = 373.0, dy: float = 294.0) -> DataF
     return images.where("processed").groupBy(cell("x", dx).alias("cell_x"), cell("y", dy).alias("cell_y")).agg(F.count("*").alias("images"), F.max("created_at").alias("newest"))
 
 
-def permitted(points: DataFrame, bed: tuple, circles: list[tuple], boxes: list[tuple]) -> DataFrame:
-    """zon5: `verdict` of each point (x, y): outside the bed, in an excluded zone, or permitted; first match wins."""
-    inside = F.col("x").between(bed[0], bed[2]) & F.col("y").between(bed[1], bed[3])
-    blocked = F.lit(False)
-    for x, y, r in circles:
-        blocked = blocked | ((F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y) <= r * r)
-    for x0, y0, x1, y1 in boxes:
-        blocked = blocked | (F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
-    return points.withColumn("verdict", F.when(~inside, "outside").when(blocked, "excluded").otherwise("permitted"))
-
-
 def wilson_lower(successes, trials, z: float = 1.2816):
     """fn17: one-sided lower bound of a share; 0 without trials. Takes and returns Columns."""
     n, p = trials.cast("double"), successes / trials.cast("double")

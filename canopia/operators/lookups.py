@@ -62,15 +62,23 @@ def depth_fit(stereo: DataFrame, most_residual: float = 5.0) -> DataFrame:
 
 
 def grid_window(beds: DataFrame, targets: DataFrame) -> DataFrame:
-    """q44: per target (bed_id, x, y) the rows and columns around the cell that holds it, one more on each side, within the grid."""
+    """q44: per target (target_id, bed_id, x, y) the rows and columns around the cell that holds it, one more on each side, within the grid.
+
+    A target meets the columns and the rows of its bed, not their product. On a
+    border between cells the first on the path counts; targets outside give none.
+    """
     cells = planning.capture_grid(beds)
     bounds = planning.cell_bounds(cells, beds)
     size = cells.groupBy("bed_id").agg(F.max("row").alias("rows"), F.max("column").alias("columns"))
-    places = targets.select("bed_id", F.col("x").alias("_x"), F.col("y").alias("_y"))
-    held = places.join(bounds, "bed_id").where(F.col("_x").between(F.col("x0"), F.col("x1")) & F.col("_y").between(F.col("y0"), F.col("y1")))
-    first = held.groupBy("bed_id").agg(F.min_by(F.struct("row", "column"), "index").alias("c"))
+    places = targets.select("target_id", "bed_id", F.col("x").alias("_x"), F.col("y").alias("_y"))
+    columns = bounds.groupBy("bed_id", "column").agg(F.min("x0").alias("x0"), F.min("x1").alias("x1"))
+    rows = bounds.groupBy("bed_id", "row").agg(F.min("y0").alias("y0"), F.min("y1").alias("y1"))
+    across = places.join(columns, "bed_id").where(F.col("_x").between(F.col("x0"), F.col("x1"))).select("target_id", "bed_id", "_y", "column")
+    held = across.join(rows, "bed_id").where(F.col("_y").between(F.col("y0"), F.col("y1"))).join(cells.select("bed_id", "row", "column", "index"), ["bed_id", "row", "column"])
+    first = held.groupBy("target_id", "bed_id").agg(F.min_by(F.struct("row", "column"), "index").alias("c"))
     low = lambda c: F.greatest(F.lit(0), F.col(c) - 1)
-    return first.join(size, "bed_id").select("bed_id", low("c.row").alias("row_min"), F.least("rows", F.col("c.row") + 1).alias("row_max"), low("c.column").alias("column_min"), F.least("columns", F.col("c.column") + 1).alias("column_max"))
+    window = [low("c.row").alias("row_min"), F.least("rows", F.col("c.row") + 1).alias("row_max"), low("c.column").alias("column_min"), F.least("columns", F.col("c.column") + 1).alias("column_max")]
+    return first.join(size, "bed_id").select("target_id", "bed_id", *window)
 
 
 def absences_so_far(measurements: DataFrame) -> DataFrame:

@@ -13,15 +13,20 @@ RETRY = "1998-06-01"
 _NEWEST = "ROW_NUMBER() OVER (PARTITION BY plant_id, image_id ORDER BY image_timestamp DESC, measurement_id DESC) = 1"
 _TERMINAL = ", ".join(f"'{x}'" for x in store.TERMINAL)
 _PENDING = f"p AS (SELECT * FROM measurements m WHERE NOT EXISTS (SELECT 1 FROM decisions d WHERE d.measurement_id = m.measurement_id AND d.action IN ({_TERMINAL})))"
-_BED, _CIRCLES, _BOXES = (0.0, 0.0, 3000.0, 1500.0), [(1500.0, 750.0, 200.0)], [(200.0, 200.0, 600.0, 500.0)]
 _CELL_X, _CELL_Y = "CAST(floor(x / 373 + 0.5) AS BIGINT)", "CAST(floor(y / 294 + 0.5) AS BIGINT)"
-_ZONED = "SELECT *, CASE WHEN NOT (x BETWEEN 0 AND 3000 AND y BETWEEN 0 AND 1500) THEN 'outside' WHEN (x - 1500) * (x - 1500) + (y - 750) * (y - 750) <= 40000 OR (x BETWEEN 200 AND 600 AND y BETWEEN 200 AND 500) THEN 'excluded' ELSE 'permitted' END AS verdict"
 
 
 def _of(*names):
     return lambda f: lambda spark, sf_dir: f(*(view(spark, sf_dir, n) for n in names))
 
 
+def _far_clearance(weeds, plants):
+    """Obstacles on another bed, some of them wide."""
+    radius = F.col("radius") + 400.0 * (F.col("id") % 97 == 0).cast("int")
+    far = plants.where("id % 5 = 0").select((F.col("x") + 6000).alias("x"), "y", radius.alias("radius"))
+    return geometry.clearance(weeds, far, 12.0).select("id", F.round("margin_mm", 6).alias("margin_mm"))
+
+
 PLANS = {
     "q7": (_of("measurements")(lambda m: store.recent(m, "image_timestamp", "measurement_id", 20).select("measurement_id", "plant_id", "recommended_mm")),
            "SELECT measurement_id, plant_id, recommended_mm FROM measurements ORDER BY image_timestamp DESC, measurement_id DESC LIMIT 20"),
@@ -40,8 +45,6 @@ AND NOT EXISTS (SELECT 1 FROM soil_measurements n WHERE m.point_id = 0 AND abs(n
 AND NOT EXISTS (SELECT 1 FROM soil_decisions d WHERE d.measurement_id = m.measurement_id AND d.action = 'automatic_retry_started' AND d.created_at > TIMESTAMP '{RETRY}')"""),
     "q41": (_of("plants", "weeds")(lambda p, w: geometry.within(w.select("id", "x", "y"), p.select("id", "x", "y"), 200.0).select("id", "o_id")),
             "SELECT w.id, p.id AS o_id FROM weeds w JOIN plants p ON sqrt((w.x - p.x) * (w.x - p.x) + (w.y - p.y) * (w.y - p.y)) <= 200"),
-    "q42": (_of("weeds")(lambda w: geometry.permitted(w, _BED, _CIRCLES, _BOXES).where("verdict <> 'permitted'").select("id", "verdict")),
-            f"SELECT id, verdict FROM ({_ZONED} FROM weeds) WHERE verdict <> 'permitted'"),
     "agg2": (_of("measurements")(lambda m: store.weighted_median(m, "plant_id", "recommended_mm", "visible_fraction", "median_mm")),
              "WITH s AS (SELECT plant_id, recommended_mm, sum(CAST(visible_fraction AS DECIMAL(20,12))) OVER (PARTITION BY plant_id ORDER BY recommended_mm) AS run, sum(CAST(visible_fraction AS DECIMAL(20,12))) OVER (PARTITION BY plant_id) AS total FROM measurements) SELECT plant_id, CASE WHEN max(total) <= 0 THEN max(recommended_mm) ELSE min(CASE WHEN 2 * run >= total THEN recommended_mm END) END AS median_mm FROM s GROUP BY plant_id"),
     "agg3": (_of("training")(lambda t: store.label_counts(t, LABELS)),
@@ -63,6 +66,11 @@ FROM plants LEFT JOIN f ON f.entity_id = id - 1"""),
     "pln10": (_of("weeds", "plants")(lambda w, p: geometry.clearance(w, p, 12.0).select("id", F.round("margin_mm", 6).alias("margin_mm"))),
               """
 WITH k AS (SELECT w.id, min(sqrt((w.x - p.x) * (w.x - p.x) + (w.y - p.y) * (w.y - p.y)) - p.radius) - 24 AS edge FROM weeds w LEFT JOIN plants p ON true GROUP BY w.id)
+SELECT id, CASE WHEN edge < 0 THEN -1 ELSE round(coalesce(edge, 10000), 6) END AS margin_mm FROM k"""),
+    "pln10_far": (_of("weeds", "plants")(_far_clearance),
+                  """
+WITH o AS (SELECT x + 6000 AS x, y, radius + 400 * CAST(id % 97 = 0 AS INT) AS radius FROM plants WHERE id % 5 = 0),
+k AS (SELECT w.id, min(sqrt((w.x - o.x) * (w.x - o.x) + (w.y - o.y) * (w.y - o.y)) - o.radius) - 24 AS edge FROM weeds w LEFT JOIN o ON true GROUP BY w.id)
 SELECT id, CASE WHEN edge < 0 THEN -1 ELSE round(coalesce(edge, 10000), 6) END AS margin_mm FROM k"""),
     "set3": (_of("plants", "weeds")(geometry.obstacles),
              "SELECT 'plant' AS kind, id, x, y, radius FROM plants WHERE radius >= 15 AND (age_days IS NULL OR age_days >= 10) UNION ALL SELECT 'weed', id, x, y, radius FROM weeds"),

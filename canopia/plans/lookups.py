@@ -29,6 +29,16 @@ _HEDGE = list(zip(HEDGE.points, HEDGE.points[1:] + HEDGE.points[:1], strict=True
 _RAYS = " + ".join(f"CASE WHEN ({y1} > y) <> ({y2} > y) AND x < {x1} + (y - {y1}) / {y2 - y1} * {x2 - x1} THEN 1 ELSE 0 END" for (x1, y1), (x2, y2) in _HEDGE)
 _CHANCE = {n: f"1 / (1 + exp(-({' + '.join(f'{k} * {v}' for k, v in w.items())} + {b})))" for n, (w, b) in HEADS.items()}
 
+#: Targets of each bed, as shares of its sides; the last lies outside.
+_TARGETS = ((0.37, 0.61), (0.93, 0.08), (0.37, 0.95), (1.5, 0.5))
+
+
+def _windows(beds):
+    one = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(x).alias("x"), F.lit(y).alias("y")) for t, (x, y) in enumerate(_TARGETS)])).alias("v")
+    rows = beds.select("bed_id", "width_mm", "depth_mm", one)
+    return lookups.grid_window(beds, rows.select((c("bed_id") * 10 + c("v.t")).alias("target_id"), "bed_id", (c("width_mm") * c("v.x")).alias("x"), (c("depth_mm") * c("v.y")).alias("y")))
+
+
 PLANS = {
     "q1": (_of("calibrations")(lambda k: lookups.active_calibration(k).select("entry", "id", "origin")), """
 SELECT entry, id, coalesce(origin, 'top_left') AS origin FROM calibrations
@@ -51,7 +61,7 @@ SELECT id, crop, diameter_mm FROM proposals WHERE status = 'pending'"""),
     "q19": (_of("unlinked")(lambda u: lookups.images_of(u, None).select("plant_id", F.array_join(F.transform("images", lambda x: x.cast("string")), ",").alias("images"))), """
 SELECT plant_id, array_to_string(list_sort(list(DISTINCT image_id)), ',') AS images
 FROM unlinked WHERE entry IS NOT DISTINCT FROM NULL GROUP BY plant_id"""),
-    "q44": (_of("beds")(lambda b: lookups.grid_window(b, b.select("bed_id", (c("width_mm") * 0.37).alias("x"), (c("depth_mm") * 0.61).alias("y")))), f"""
+    "q44": (_of("beds")(_windows), f"""
 WITH {_GRID},
 cx AS (
     SELECT bed_id, "column", width_mm, x, lag(x) OVER (PARTITION BY bed_id ORDER BY "column") AS a, lead(x) OVER (PARTITION BY bed_id ORDER BY "column") AS b
@@ -59,14 +69,15 @@ cx AS (
 cy AS (
     SELECT bed_id, "row", depth_mm, y, lag(y) OVER (PARTITION BY bed_id ORDER BY "row") AS a, lead(y) OVER (PARTITION BY bed_id ORDER BY "row") AS b
     FROM (SELECT DISTINCT bed_id, "row", depth_mm, y FROM cells)),
+tg AS (SELECT bed_id * 10 + t AS target_id, bed_id, width_mm * fx AS tx, depth_mm * fy AS ty FROM beds, (VALUES (0, 0.37, 0.61), (1, 0.93, 0.08), (2, 0.37, 0.95), (3, 1.5, 0.5)) v(t, fx, fy)),
 hit AS (
-    SELECT cells.bed_id, arg_min(cells."row", "index") AS r, arg_min(cells."column", "index") AS k
-    FROM cells JOIN cx ON cx.bed_id = cells.bed_id AND cx."column" = cells."column" JOIN cy ON cy.bed_id = cells.bed_id AND cy."row" = cells."row"
-    WHERE cells.width_mm * 0.37 BETWEEN coalesce((cx.a + cx.x) / 2, 0) AND coalesce((cx.x + cx.b) / 2, cx.width_mm)
-      AND cells.depth_mm * 0.61 BETWEEN coalesce((cy.a + cy.y) / 2, 0) AND coalesce((cy.y + cy.b) / 2, cy.depth_mm)
-    GROUP BY cells.bed_id)
-SELECT bed_id, greatest(0, r - 1) AS row_min, least(max("row"), r + 1) AS row_max, greatest(0, k - 1) AS column_min, least(max("column"), k + 1) AS column_max
-FROM hit JOIN cells USING (bed_id) GROUP BY bed_id, r, k"""),
+    SELECT target_id, cells.bed_id, arg_min(cells."row", "index") AS r, arg_min(cells."column", "index") AS k
+    FROM tg JOIN cells ON cells.bed_id = tg.bed_id JOIN cx ON cx.bed_id = cells.bed_id AND cx."column" = cells."column" JOIN cy ON cy.bed_id = cells.bed_id AND cy."row" = cells."row"
+    WHERE tx BETWEEN coalesce((cx.a + cx.x) / 2, 0) AND coalesce((cx.x + cx.b) / 2, cx.width_mm)
+      AND ty BETWEEN coalesce((cy.a + cy.y) / 2, 0) AND coalesce((cy.y + cy.b) / 2, cy.depth_mm)
+    GROUP BY target_id, cells.bed_id)
+SELECT target_id, bed_id, greatest(0, r - 1) AS row_min, least(max("row"), r + 1) AS row_max, greatest(0, k - 1) AS column_min, least(max("column"), k + 1) AS column_max
+FROM hit JOIN cells USING (bed_id) GROUP BY target_id, bed_id, r, k"""),
     "fn1": (_of("weeds")(lambda w: w.select("id", F.round(F.hypot(c("x") - 100, c("y") - 50), 6).alias("distance_mm"))), """
 SELECT id, round(sqrt((x - 100) * (x - 100) + (y - 50) * (y - 50)), 6) AS distance_mm FROM weeds"""),
     "fn2": (_of("images")(lambda i: i.select("id", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("utc"))), """

@@ -75,6 +75,11 @@ PLANS = {
              f"WITH {_measured('plants')}, v AS (SELECT id, CASE WHEN in_pond OR pond_mm <= radius THEN {{'allowed': false, 'step': 2, 'zone': 'pond'}} WHEN in_shed OR shed_mm <= radius THEN {{'allowed': false, 'step': 2, 'zone': 'shed'}} WHEN in_hedge OR hedge_mm <= radius THEN {{'allowed': false, 'step': 2, 'zone': 'hedge'}} WHEN x BETWEEN 0 AND 3000 AND y BETWEEN 0 AND 1500 THEN {{'allowed': true, 'step': 4, 'zone': 'bed'}} ELSE {{'allowed': false, 'step': 4, 'zone': NULL}} END AS v FROM m) SELECT id, v.allowed AS allowed, v.step AS step, v.zone AS zone FROM v"),
     "zon6": (_of("weeds")(lambda w: w.withColumn("v", Z.weeds_allowed(ZONES, F.col("x"), F.col("y"))).select("id", "v.allowed", "v.zone")),
              f"WITH {_measured('weeds')} SELECT id, CASE WHEN in_hedge THEN true WHEN in_pond OR in_shed THEN false ELSE x BETWEEN 0 AND 3000 AND y BETWEEN 0 AND 1500 END AS allowed, CASE WHEN in_hedge THEN 'hedge' WHEN in_pond THEN 'pond' WHEN in_shed THEN 'shed' WHEN x BETWEEN 0 AND 3000 AND y BETWEEN 0 AND 1500 THEN 'bed' END AS zone FROM m"),
+    "q42": (_of("weeds")(lambda w: w.withColumn("v", Z.weeds_allowed(ZONES, F.col("x"), F.col("y"))).where("NOT v.allowed").select("id", "v.step", "v.zone")),
+            f"""
+WITH {_measured('weeds')}
+SELECT id, CASE WHEN in_pond OR in_shed THEN 2 ELSE 4 END AS step, CASE WHEN in_pond THEN 'pond' WHEN in_shed THEN 'shed' END AS zone
+FROM m WHERE NOT in_hedge AND (in_pond OR in_shed OR NOT (x BETWEEN 0 AND 3000 AND y BETWEEN 0 AND 1500))"""),
     "zon7": (_of("weeds")(lambda w: w.select("id", F.round(F.least(*[F.sqrt((F.col("x") - a) * (F.col("x") - a) + (F.col("y") - b) * (F.col("y") - b)) - c for a, b, c in map(Z.obstacle, (POND, SHED, HEDGE))]), 4).alias("clearance_mm"))),
              "SELECT id, round(min(sqrt((x - a) * (x - a) + (y - b) * (y - b)) - c), 4) AS clearance_mm FROM weeds, (VALUES (1500, 750, 200), (400, 350, 250), (2300, 1400 / 3.0, 1300 / 3.0)) o(a, b, c) GROUP BY id"),
     "geo1": (_of("plants", "images")(lambda p, i: _pixels(p, i).select("id", *_round(("px", "py"), T.garden_to_pixel(F.col("x"), F.col("y"), F.col("ix"), F.col("iy"), WIDTH, HEIGHT, CAMERA)))),

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from conftest import same_rows
@@ -155,6 +156,19 @@ def test_clear_margins_by_hand(spark):
     assert found(plants, 10.0, [pond]) == {1: 50.0, 2: 180.0, 3: -1.0, 4: 180.0}
 
 
+def test_clear_margins_beyond_the_first_reach(spark):
+    from canopia.operators import geometry
+
+    places = spark.createDataFrame([(1, 0.0, 0.0), (2, 200_000.0, 0.0)], "id int, x double, y double")
+    found = lambda rows: {r.id: round(r.margin_mm, 2) for r in geometry.clearance(places, spark.createDataFrame(rows, "x double, y double, radius double"), 50.0).collect()}
+    assert found([(0.0, 5000.0, 100.0)]) == {1: 4800.0, 2: 199_862.49}
+    assert found([(0.0, 4100.0, 500.0), (3900.0, 0.0, 10.0)]) == {1: 3500.0, 2: 195_990.0}
+    rng = random.Random(4)
+    rows = [(rng.uniform(-9e4, 9e4), rng.uniform(-9e4, 9e4), rng.choice((1.0, 300.0, 20_000.0))) for _ in range(60)]
+    expected = {k: round(min(math.hypot(px - x, y) - r for x, y, r in rows) - 100, 2) for k, px in ((1, 0.0), (2, 200_000.0))}
+    assert found(rows) == {k: v if v >= 0 else -1.0 for k, v in expected.items()}
+
+
 def test_detections_that_stand_for_a_place(spark):
     """A created one for a day, a judged one for its own image only, whatever lies nearer."""
     from canopia.operators import geometry

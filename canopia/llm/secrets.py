@@ -39,8 +39,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "literal")
 
 OPERATOR = re.compile(r":=|=>|[:=]")
-#: A bare value ends at the next operator, but for trailing equals signs.
-VALUE = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([^\s"',;(){}\[\]<>:=]+=*))""")
+#: A bare value ends at the next operator, but for trailing equals signs. Possessive: a long literal keeps no state a character.
+VALUE = re.compile(r"""[ \t]*(?:"([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'|([^\s"',;(){}\[\]<>:=]+=*))""")
 NAME_START = re.compile("[A-Za-z_$]")
 MARKUP = re.compile(r"<([A-Za-z_][A-Za-z0-9_.-]*)>([^<\n]+)</\1>")
 URL = re.compile(r"://[^\s:/@]+:([^\s:/@]+)@")

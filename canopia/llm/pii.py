@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from canopia.llm.common import cut, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Distinct instances (by score) and share of them that make a pattern confident; rounds of scoring.
-SUPPORT, CONFIDENCE, ROUNDS = 4.0, 0.6, 3
-#: A pattern is read in the so many characters before a span, back to the last but one match; a longer word counts by its last ones.
-REACH = 64
+#: Distinct instances (by score) and share of them that make a pattern confident; scoring ends when no pattern's confidence moves by SETTLED, or after so many.
+SUPPORT, CONFIDENCE, ROUNDS, SETTLED = 4.0, 0.6, 50, 0.01
+#: The last two words of a text turned round, whatever their length.
+LAST_WORDS = r"^\s*+\S*+\s*+\S*+"
 #: Values that are folded one by one before blocks are joined.
 BLOCK = 64
 
@@ -91,8 +91,8 @@ def _found(text: Column, pattern: str, valid=None) -> Column:
     def spans(both: Column) -> Column:
         steps = F.transform(both["match"], lambda m, i: (F.length(m) + F.length(F.get(both["piece"], i))).cast("long"))
         ends = _running(steps, lambda x, y: x + y)
-        # what stands before, taken from the piece and the match before it: a place in a long text is far from its start
-        lefts = F.transform(both["match"], lambda m, i: F.right(F.concat(F.coalesce(F.get(both["match"], i - 1), F.lit("")), F.get(both["piece"], i)), F.lit(REACH)))
+        # the words before, back to the last but one match: a place in a long text is far from its start
+        lefts = F.transform(both["match"], lambda m, i: F.reverse(F.regexp_extract(F.reverse(F.concat(F.coalesce(F.get(both["match"], i - 1), F.lit("")), F.get(both["piece"], i))), LAST_WORDS, 0)))
         return F.zip_with(F.arrays_zip(ends.alias("e"), lefts.alias("l")), both["match"], lambda x, m: F.struct((x["e"] - F.length(m)).cast("int").alias("start"), x["e"].cast("int").alias("end"), m.alias("value"), x["l"].alias("left")))
 
     found = _let(F.struct(pieces.alias("piece"), matches.alias("match")), lambda both: F.when(F.size(both["match"]) > 0, spans(both)).otherwise(F.array().cast(SPAN)))
@@ -198,9 +198,14 @@ def patterns(found: DataFrame, support: float = SUPPORT, confidence: float = CON
     totals, seeds = cut(totals), cut(seeds)
     scored, best = seeds, None
     for _ in range(rounds):
+        before = best
         sums = edges.select("context", "value").join(scored, "value").groupBy("context", "of").agg(F.sum("score").alias("weight"))
         best = sums.join(totals, "context").withColumn("conf", F.col("weight") / F.col("n")).where((F.col("weight") >= support) & (F.col("conf") >= confidence))
         best = cut(best.select("context", F.col("of").alias("kind"), "conf"))
+        if before is not None:
+            moved = best.join(before.withColumnRenamed("conf", "was"), ["context", "kind"], "full").where(F.abs(F.coalesce("conf", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))) >= SETTLED)
+        if (best if before is None else moved).isEmpty():
+            break
         known = best.select("context", F.col("kind").alias("of"), "conf")
         fresh = edges.where("kind IS NULL").select("context", "value", "shape").join(known, "context").where(_suits(F.col("of"), F.col("shape")))
         grown = fresh.groupBy("value", "of").agg(F.avg("conf").alias("score")).where(F.col("score") >= confidence)

@@ -4,11 +4,12 @@ A window is a number of consecutive words of an item. Any window holds a whole
 block of half that many words, counted from the item's start, so the automaton
 is made of the items' blocks (over word numbers, a node a word; items shorter
 than a window are a block of their own) and finds all places where a window may
-occur. Each is extended over the item's words around the block; a stretch as
-long as a window is hit. The text is scanned once, and the words' places in the
-original text give character spans.
+occur. The few windows around such a place are looked up among the items'
+distinct windows, by 64 bits and then word by word, so a block that many items
+share or a text that repeats itself costs no more than others. The text is
+scanned once, and the words' places in the original text give character spans.
 
-The automaton is broadcast: about 150 bytes a benchmark word, and 100 for each
+The automaton is broadcast: about 200 bytes a benchmark word, and 100 for each
 different word. A benchmark of over MOST_CHARS characters is not collected;
 hashes of its windows are joined with those of the texts instead, with the same
 result.
@@ -60,54 +61,96 @@ def windows(text: str | None, width: int = WINDOW) -> list[tuple[str, int]]:
     return list(dict.fromkeys((f" {' '.join(run)} ", len(run)) for run in runs))
 
 
+#: An odd factor and one that spreads word numbers over 64 bits.
+FACTOR, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _window_hashes(numbers: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    spread = numbers.astype(np.uint64) * SPREAD
+    spread ^= spread >> np.uint64(29)
+    out = np.zeros(len(starts), np.uint64)
+    for k in range(width):
+        out *= FACTOR
+        out += spread[starts + k]
+    return out
+
+
 class Benchmark:
-    """The items' words as numbers, and the automaton of their blocks."""
+    """The items' words as numbers, the automaton of their blocks, and their distinct windows with the items that hold them."""
 
     def __init__(self, items: list[tuple[int, str | None]], width: int = WINDOW):
-        self.width, self.number, self.items = width, {}, []
-        places: dict[tuple, list[tuple[int, int]]] = {}
-        half = (width + 1) // 2
-        for item, text in items:
+        self.width, self.half, self.number = width, (width + 1) // 2, {}
+        self.ids = np.array([item for item, _ in items], np.int64)
+        blocks: dict[tuple, set[int]] = {}
+        runs, starts, owners, at = [], [], [], 0
+        for k, (_, text) in enumerate(items):
             own = tuple(self.number.setdefault(w, len(self.number) + 1) for w in words_of(text))
-            step = half if len(own) >= width else max(1, len(own))
-            for at in range(0, len(own) - step + 1, step):
-                places.setdefault(own[at : at + step], []).append((len(self.items), at))
-            self.items.append((item, own))
+            if not own:
+                continue
+            if len(own) < width:
+                blocks.setdefault(own, set()).add(k)
+                continue
+            for p in range(0, len(own) - self.half + 1, self.half):
+                blocks.setdefault(own[p : p + self.half], set())
+            runs.append(np.array(own, np.int32))
+            starts.append(np.arange(at, at + len(own) - width + 1))
+            owners.append(np.full(len(own) - width + 1, k))
+            at += len(own)
+        self.flat = np.concatenate(runs) if runs else np.zeros(0, np.int32)
+        start, owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, owners))
+        self.hashes, first, window = np.unique(_window_hashes(self.flat, start, width), return_index=True, return_inverse=True)
+        self.place = start[first]
+        held = np.unique(window.astype(np.int64) * max(1, len(items)) + owner)
+        self.owner = held % max(1, len(items))
+        self.upto = np.searchsorted(held // max(1, len(items)), np.arange(len(self.hashes) + 1))
         self.blocks = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for block, where in places.items():
-            self.blocks.add_word(block, (len(block), where))
+        for block, short in blocks.items():
+            self.blocks.add_word(block, (len(block), tuple(short)))
         self.blocks.make_automaton()
-        self.empty = not places
+        self.empty = not blocks
+
+    def _windows(self, doc: np.ndarray, begins: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Starts in the text of windows around blocks that begin at these places, and the windows they are."""
+        near = np.unique((np.array(begins, np.int64)[:, None] - np.arange(self.half)).ravel())
+        near = near[(near >= 0) & (near <= len(doc) - self.width)]
+        found = [(near[:0], near[:0])]
+        for low in range(0, len(near), SLICE):
+            part = near[low : low + SLICE]
+            h = _window_hashes(doc, part, self.width)
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            met = np.flatnonzero(self.hashes[at] == h)
+            part, at, words = part[met], at[met], np.arange(self.width)
+            same = (self.flat[self.place[at][:, None] + words] == doc[part[:, None] + words]).all(axis=1)
+            found.append((part[same], at[same]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def scan(self, text: str | None) -> tuple[int, list[int], list[int]]:
         """Words of the text, the words hit (ascending) and the items with occurring windows."""
         words = words_of(text)
-        n, items = len(words), set()
+        n = len(words)
         if self.empty or not n:
             return n, [], []
         doc = tuple(map(self.number.get, words, repeat(0)))
-        cover, done = None, {}
-        for last, (size, where) in self.blocks.iter(doc):
-            for k, at in where:
-                item, own = self.items[k]
-                shift = last + 1 - size - at
-                if done.get((k, shift), -1) > last:
-                    continue
-                low, high = last + 1 - size, last + 1
-                if len(own) >= self.width:
-                    while low > 0 and low > shift and doc[low - 1] == own[low - 1 - shift]:
-                        low -= 1
-                    while high < n and high - shift < len(own) and doc[high] == own[high - shift]:
-                        high += 1
-                    done[k, shift] = high
-                    if high - low < self.width:
-                        continue
-                if cover is None:
-                    cover = np.zeros(n + 1, np.int64)
-                cover[low] += 1
-                cover[high] -= 1
-                items.add(item)
-        return n, [] if cover is None else np.flatnonzero(np.cumsum(cover)[:-1] > 0).tolist(), sorted(items)
+        edge, items, begins = [], set(), []
+        for last, (size, short) in self.blocks.iter(doc):
+            if short:
+                edge.append((last + 1 - size, last + 1))
+                items.update(short)
+            if size == self.half:
+                begins.append(last + 1 - size)
+        cover = np.zeros(n + 1, np.int64)
+        for low, high in edge:
+            cover[low] += 1
+            cover[high] -= 1
+        if begins and len(self.hashes):
+            start, window = self._windows(np.array(doc, np.int32), begins)
+            np.add.at(cover, start, 1)
+            np.add.at(cover, start + self.width, -1)
+            for w in np.unique(window).tolist():
+                items.update(self.owner[self.upto[w] : self.upto[w + 1]].tolist())
+        if not items:
+            return n, [], []
+        return n, np.flatnonzero(np.cumsum(cover)[:-1] > 0).tolist(), np.unique(self.ids[sorted(items)]).tolist()
 
 
 def char_spans(text: str, hits: list[int]) -> list[dict]:
@@ -124,7 +167,18 @@ def char_spans(text: str, hits: list[int]) -> list[dict]:
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, most_chars: int = MOST_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row per row of docs: n_words, hits (words hit), items, char_spans, and the columns `keep` of docs."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"), *keep)
+    given = dict(zip((f"_kept{k}" for k in range(len(keep))), keep, strict=True))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(n) for n, c in given.items()])
+    return _named(_found(docs, rows, benchmark, item_col, item_text_col, width, most_chars, tuple(given)), given)
+
+
+def _named(found: DataFrame, given: dict[str, str]) -> DataFrame:
+    """The columns kept under their own names again, but for those of a name that is found here."""
+    own = [c for c in found.columns if c not in given]
+    return found.select(*own, *[F.col(n).alias(c) for n, c in given.items() if c not in own])
+
+
+def _found(docs: DataFrame, rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, width: int, most_chars: int, keep: tuple[str, ...]) -> DataFrame:
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     if size > most_chars:

@@ -51,6 +51,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as keep it apart from the columns (case aside)."""
+    taken, found = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_CHARS) -> Iterator[tuple[int, list[str | None]]]:
     """Consecutive runs of a text column with about `most` characters each, with the row they start at."""
     values = batch.column(column)

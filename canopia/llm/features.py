@@ -190,13 +190,16 @@ def scored(docs: DataFrame, finish: Callable, columns: str, grams: Grams, weight
     model = docs.sparkSession.sparkContext.broadcast(weights)
     kinds = dict(docs.dtypes)
     names = [c.split()[0] for c in columns.split(", ")]
+    given = [f"_kept{k}" for k in range(len(keep))]
 
     def run(batches):
         for batch in batches:
             for start, texts in slices(batch, 1):
                 part = batch.slice(start, len(texts))
                 made = finish(texts, *sums(texts, grams, model.value))
-                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, made), *part.columns[2:]], ["doc_id", *names, *keep])
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, made), *part.columns[2:]], ["doc_id", *names, *given])
 
-    schema = ", ".join(["doc_id long", columns, *(f"`{c}` {kinds[c]}" for c in keep)])
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("_text"), *keep).mapInArrow(run, schema)
+    schema = ", ".join(["doc_id long", columns, *(f"{n} {kinds[c]}" for n, c in zip(given, keep, strict=True))])
+    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("_text"), *[F.col(c).alias(n) for n, c in zip(given, keep, strict=True)]).mapInArrow(run, schema)
+    # a kept column of a name that is made here gives way
+    return made.select("doc_id", *names, *[F.col(n).alias(c) for n, c in zip(given, keep, strict=True) if c not in ("doc_id", *names)])

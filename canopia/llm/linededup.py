@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopia.llm.common import SPACES, cut, table
+from canopia.llm.common import SPACES, cut, table, unused
 
 MIN_CHARS, MIN_DOCS = 40, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -175,10 +175,11 @@ def apply_bitmaps(docs: DataFrame, maps: DataFrame, id_col: str = "doc_id", text
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     at = names.index(text_col)
-    maps = cut(maps.select(F.col("doc_id").alias("_id"), F.col("same").alias("_same"), F.col("keep").alias("_keep")))
-    size = maps.agg(F.coalesce(F.sum(F.length("_keep")), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
+    own, same, keep = unused(docs.columns, "_id", "_same", "_keep")
+    maps = cut(maps.select(F.col("doc_id").alias(own), F.col("same").alias(same), F.col("keep").alias(keep)))
+    size = maps.agg(F.coalesce(F.sum(F.length(keep)), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).first()
     maps = F.broadcast(maps) if size["bytes"] <= MOST_BYTES and size["rows"] <= MOST_ROWS else maps
-    joined = docs.select(*names).join(maps, (docs[id_col].cast("long") == maps["_id"]) & (F.xxhash64(docs[text_col].cast("string")) == maps["_same"]), "left").select(*names, "_keep")
+    joined = docs.select(*names).join(maps, (docs[id_col].cast("long") == maps[own]) & (F.xxhash64(docs[text_col].cast("string")) == maps[same]), "left").select(*names, keep)
     schema = docs.select(*names, F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
 
     def one(text, bitmap):

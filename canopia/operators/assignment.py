@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from canopia.operators import geometry, runs
@@ -18,35 +19,42 @@ def greedy_pairs(pairs: DataFrame, left: str, right: str, order: list[str]) -> D
     A pair that is the first left of both its sides is taken whatever happens
     elsewhere, so a round takes all of those and drops what they block. The
     order must be total; its last columns may be the sides themselves. A round
-    is two aggregates and two joins of the open pairs; no task holds them all.
+    deals the open pairs by one side and then by the other; no task holds all.
     """
-    key = F.struct(*order)
-    open_, taken = cut(pairs), None
-    while not open_.isEmpty():
-        first = {side: open_.groupBy(side).agg(F.min(key).alias(f"_{side}")) for side in (left, right)}
-        marked = open_.join(first[left], left).join(first[right], right)
-        won = cut(marked.where((key == F.col(f"_{left}")) & (key == F.col(f"_{right}"))).select(pairs.columns))
+    key, columns = F.struct(*order), pairs.columns
+    open_, taken = pairs, None
+    while True:
+        first = [F.min(key).over(W.partitionBy(side)) for side in (left, right)]
+        marked = cut(open_.withColumns({"_left": key == first[0], "_right": key == first[1]}))
+        won = marked.where("_left AND _right").select(columns)
         taken = won if taken is None else taken.unionByName(won)
-        open_ = cut(open_.join(won.select(left), left, "left_anti").join(won.select(right), right, "left_anti"))
-    return taken if taken is not None else pairs.limit(0)
+        if won.isEmpty():
+            return taken
+        open_ = marked.select(columns).join(won.select(left), left, "left_anti").join(won.select(right), right, "left_anti")
 
 
 def in_turn(options: DataFrame, agent: str, turn: str, item: str, rank: list[str]) -> DataFrame:
     """One option an agent: by rising `turn` each agent takes its first option by `rank` whose item is left.
 
-    An agent settles as soon as no open one with an earlier turn wants its best
-    item at all. Turns differ between agents.
+    An item that no open agent with an earlier turn wants is safe: its agent
+    takes it or a better one, so a round drops what is worse, which makes items
+    of others safe. Where the best one is safe, the agent settles. Turns differ
+    between agents.
     """
-    key = F.struct(*rank)
-    open_, taken = cut(options), None
-    while not open_.isEmpty():
-        best = open_.groupBy(agent).agg(F.min(key).alias("_best"))
-        earliest = open_.groupBy(item).agg(F.min(turn).alias("_earliest"))
-        marked = open_.join(best, agent).where(key == F.col("_best")).join(earliest, item)
-        won = cut(marked.where(F.col(turn) == F.col("_earliest")).select(options.columns))
+    key, columns = F.struct(*rank), options.columns
+    open_, taken = options, None
+    by_item, by_agent = W.partitionBy(item), W.partitionBy(agent)
+    while True:
+        free = open_.withColumn("_free", F.col(turn) == F.min(turn).over(by_item))
+        safe = F.min(F.when(F.col("_free"), key)).over(by_agent)
+        marked = cut(free.withColumns({"_safe": safe, "_best": F.min(key).over(by_agent)}))
+        settled = F.coalesce(F.col("_safe") == F.col("_best"), F.lit(False))
+        won = marked.where(settled & (key == F.col("_best"))).select(columns)
         taken = won if taken is None else taken.unionByName(won)
-        open_ = cut(open_.join(won.select(agent), agent, "left_anti").join(won.select(item), item, "left_anti"))
-    return taken if taken is not None else options.limit(0)
+        if won.isEmpty():
+            return taken
+        rest = marked.where(~settled & (F.col("_safe").isNull() | (key <= F.col("_safe")))).select(columns)
+        open_ = rest.join(won.select(item), item, "left_anti")
 
 
 def _clear(sites: DataFrame, obstacles: DataFrame, zones: list, margin: float) -> DataFrame:

@@ -122,8 +122,8 @@ def select_evidence(rows: DataFrame, hours: float = 6.0, least_quality: float =
     return settled.unionByName(views.groupBy("plant_id").applyInPandas(_cover, "plant_id bigint, mode string, used array<bigint>, covered bigint"))
 
 
-def canopy_edge(points: DataFrame, current: DataFrame, margin: float = 20.0) -> DataFrame:
-    """can1, can2, agg10: per plant outer_mm, unclipped_mm, typical_mm, broad and recommended_mm from foliage points.
+def edge_limits(points: DataFrame, current: DataFrame, margin: float = 20.0) -> DataFrame:
+    """can2, agg10: per plant and sector with an edge: edge, limit (where its foliage ends to count), cut, current_mm.
 
     points: plant_id, sector (0 to 71), distance_mm. current: plant_id, current_mm.
     A sector's edge is the 98th percentile of at least three points. Sectors
@@ -147,13 +147,24 @@ def canopy_edge(points: DataFrame, current: DataFrame, margin: float = 20.0) ->
     runs = runs.withColumns({"length": length, "total": F.sum("size").over(by)})
     cut = over.join(runs, ["plant_id", "_g"]).where("length > 7 OR total > 16").select("plant_id", "sector", F.lit(True).alias("cut"))
     limits = edges.join(cut, ["plant_id", "sector"], "left").withColumn("cut", F.coalesce("cut", F.lit(False)))
-    limits = limits.withColumn("limit", F.when(F.col("cut"), F.col("prior")).otherwise(F.col("edge")))
-    # a sector without an edge keeps none of its points
-    kept = points.join(limits, ["plant_id", "sector"]).where(F.col("distance_mm") <= F.col("limit") + 1e-6)
+    limit = F.when(F.col("cut"), F.col("prior")).otherwise(F.col("edge"))
+    return limits.select("plant_id", "sector", "edge", limit.alias("limit"), "cut", "current_mm")
+
+
+def kept_points(points: DataFrame, limits: DataFrame) -> DataFrame:
+    """The points within their sector's limit; a sector without an edge keeps none."""
+    return points.join(limits, ["plant_id", "sector"]).where(F.col("distance_mm") <= F.col("limit") + 1e-6)
+
+
+def canopy_edge(points: DataFrame, current: DataFrame, margin: float = 20.0, limits: DataFrame | None = None) -> DataFrame:
+    """can1: per plant outer_mm, unclipped_mm, typical_mm, broad and recommended_mm from foliage points, with limits as from `edge_limits`."""
+    limits = edge_limits(points, current, margin) if limits is None else limits
+    kept = kept_points(points, limits)
     inner = kept.groupBy("plant_id", "sector").agg(F.percentile("distance_mm", F.lit(0.98)).alias("e"), F.count("*").alias("n")).where("n >= 3")
     outer = inner.groupBy("plant_id").agg(F.max("e").alias("outer_mm"))
     typical = kept.groupBy("plant_id").agg(F.percentile("distance_mm", F.lit(0.9)).alias("typical"))
     facts = limits.groupBy("plant_id").agg(F.max("edge").alias("unclipped_mm"), F.bool_or("cut").alias("broad"), F.max("current_mm").alias("current_mm"))
     out = facts.join(outer, "plant_id").join(typical, "plant_id")
+    cur = F.greatest(F.lit(0.0), F.col("current_mm"))
     advice = F.greatest(F.col("outer_mm") + margin, F.least(cur, F.col("unclipped_mm") + margin))
     return out.select("plant_id", "outer_mm", "unclipped_mm", F.least("typical", "outer_mm").alias("typical_mm"), "broad", advice.alias("recommended_mm"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from canopia.functions import rasters as R
-from canopia.operators import ownership, photos
+from canopia.operators import fusion, ownership, photos
 from canopia.plans.garden import _of
 from canopia.sources.shared import cut
 
@@ -62,6 +62,34 @@ def _owned(pixels, plants):
     return own.agg(F.count("*").alias("pixels"), F.count_if("ambiguous").alias("ambiguous"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
 
 
+#: Images are views of a plant, three each, turned a little and moved by known millimetres.
+TURN, STEP_X, STEP_Y, SINGLE = 0.3, 7.3, 5.1, 0.6
+
+
+def _views(pixels):
+    nth, plant = F.col("image_id") % 3, F.floor(F.col("image_id") / 3)
+    to_mm = F.array(F.lit(1 / PPM), F.lit(TURN), nth * STEP_X - 80, F.lit(-TURN), F.lit(1 / PPM), nth * STEP_Y - 60)
+    known = {"plant_id": plant, "to_mm": to_mm, "scale": F.lit(PPM), "confidence": 0.5 + nth * 0.15, "current_mm": F.lit(70.0), "age_days": F.lit(30), "accepted_mm": 60.0 + nth * 5}
+    return _masks(pixels).withColumns(known | {"image_timestamp": F.lit("2024-01-01").cast("timestamp")})
+
+
+def _fused_cells(pixels):
+    cells = fusion.fused_cells(fusion.canvases(_views(pixels)), {"single": SINGLE})
+    sums = [F.count("*").alias("cells"), F.sum("support").alias("support"), F.sum("cx").alias("sum_x"), F.sum("cy").alias("sum_y"), F.round(F.sum("strongest"), 4).alias("strongest")]
+    return cells.groupBy("plant_id").agg(*sums)
+
+
+def _fused(pixels):
+    rows = fusion.fuse(_views(pixels), {"single": SINGLE})
+    return rows.select("plant_id", "views", "held", "broad", *[F.round(c, 6).alias(c) for c in ("typical_mm", "outer_mm", "recommended_mm", "confidence", "coverage", "corroborated", "spread_mm", "area_mm2")])
+
+
+def _shifts(pixels):
+    masks = _masks(pixels).select("image_id", "height", "width", "mask")
+    later = masks.select((F.col("image_id") - 1).alias("image_id"), F.col("mask").alias("after"))
+    return fusion.registered(masks.join(later, "image_id").select(F.col("image_id").alias("pair_id"), "height", "width", F.col("mask").alias("before"), "after"))
+
+
 def _near(kernel) -> str:
     """b lies under the kernel around a."""
     return "(" + " OR ".join(f"(b.y - a.y = {dy} AND abs(b.x - a.x) <= {half})" for dy, half in kernel) + ")"
@@ -166,6 +194,30 @@ nu AS (SELECT image_id, head, ROW_NUMBER() OVER (PARTITION BY image_id ORDER BY
 SELECT il.image_id, CAST(g AS INT) AS "group", min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, CAST(sum(area) AS BIGINT) AS area, count(*) AS islands
 FROM il JOIN hd USING (image_id, label) JOIN nu USING (image_id, head) GROUP BY il.image_id, g""",
     ),
+    "can3": (
+        _of("photo_pixels")(_fused_cells),
+        f"""
+WITH RECURSIVE {_COLOURS},
+vw AS (SELECT DISTINCT image_id, image_id // 3 AS plant_id, image_id % 3 * {STEP_X} - 80 AS c, image_id % 3 * {STEP_Y} - 60 AS f, 0.5 + image_id % 3 * 0.15 AS sure FROM mk),
+cn AS (
+    SELECT plant_id, min(c) AS min_x, max(c) + {WIDTH / PPM} + {TURN * HEIGHT} AS max_x, min(f) - {TURN * WIDTH} AS min_y, max(f) + {HEIGHT / PPM} AS max_y, count(*) AS views FROM vw GROUP BY plant_id),
+ca AS (SELECT *, CAST(round_even((max_x - min_x) * {PPM}, 0) AS BIGINT) AS cols, CAST(round_even((max_y - min_y) * {PPM}, 0) AS BIGINT) AS nrows FROM cn),
+gx AS (SELECT *, unnest(range(cols)) AS cx FROM ca), gr AS (SELECT *, unnest(range(nrows)) AS cy FROM gx),
+so AS (
+    SELECT g.plant_id, image_id, cx, cy, views, sure, (ax * 1 - ay * {TURN * PPM}) / {1 + (TURN * PPM) ** 2} AS sx, (ax * {TURN * PPM} + ay) / {1 + (TURN * PPM) ** 2} AS sy
+    FROM (SELECT gr.*, image_id, sure, cx - (c - min_x) * {PPM} AS ax, cy - (f - min_y) * {PPM} AS ay FROM gr JOIN vw USING (plant_id)) g),
+su AS (SELECT so.plant_id, so.image_id, cx, cy FROM so JOIN mk ON mk.image_id = so.image_id AND mk.x = round_even(sx, 0) AND mk.y = round_even(sy, 0)),
+ev AS (
+    SELECT so.plant_id, so.image_id, cx, cy, sum((1 - abs(sx - mk.x)) * (1 - abs(sy - mk.y)) * sure * least(1, greatest(0.2, least(mk.x, mk.y, {WIDTH - 1} - mk.x, {HEIGHT - 1} - mk.y) / {20 * PPM}))) AS found
+    FROM so JOIN mk ON mk.image_id = so.image_id AND mk.x BETWEEN floor(sx) AND floor(sx) + 1 AND mk.y BETWEEN floor(sy) AND floor(sy) + 1 GROUP BY ALL),
+vo AS (
+    SELECT so.plant_id, so.cx, so.cy, any_value(views) AS views, count(su.cx) AS support, max(coalesce(found, 0)) AS strongest
+    FROM so LEFT JOIN su ON su.image_id = so.image_id AND su.cx = so.cx AND su.cy = so.cy LEFT JOIN ev ON ev.image_id = so.image_id AND ev.cx = so.cx AND ev.cy = so.cy GROUP BY so.plant_id, so.cx, so.cy)
+SELECT plant_id, count(*) AS cells, CAST(sum(support) AS BIGINT) AS support, CAST(sum(cx) AS BIGINT) AS sum_x, CAST(sum(cy) AS BIGINT) AS sum_y, round(sum(strongest), 4) AS strongest
+FROM vo WHERE support >= 2 OR (support >= 1 AND strongest >= CASE WHEN views = 1 THEN 0.35 ELSE {SINGLE} END) GROUP BY plant_id""",
+    ),
+    "can3_fused": (_of("photo_pixels")(_fused), None),
+    "img9": (_of("photo_pixels")(_shifts), None),
     "img10": (
         _of("photo_pixels", "photo_plants")(_owned),
         f"""

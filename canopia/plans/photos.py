@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from canopia.functions import rasters as R
-from canopia.operators import fusion, ownership, photos
+from canopia.operators import fusion, ownership, photos, stereo
 from canopia.plans.garden import _of
 from canopia.sources.shared import cut
 
@@ -90,6 +90,18 @@ def _shifts(pixels):
     return fusion.registered(masks.join(later, "image_id").select(F.col("image_id").alias("pair_id"), "height", "width", F.col("mask").alias("before"), "after"))
 
 
+def _heights(pixels):
+    """Three frames an image, each five pixels on from the one before at 15 mm."""
+    shifted = pixels.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k"), "x", "y", ((F.col("image_id") * 3072 + F.col("y") * WIDTH + F.col("x")) * 7919 % 41 * 6).alias("v"))
+    rows = shifted.select((F.col("image_id") * 3 + F.col("k")).alias("image_id"), ((F.col("x") + 5 * F.col("k")) % WIDTH).alias("x"), "y", *[F.col("v").alias(c) for c in "bgr"])
+    images = photos.rastered(rows, HEIGHT, WIDTH)
+    grey = F.unhex(F.regexp_replace(F.hex("bgr"), "(..)....", "$1"))
+    at = (F.col("image_id") % 3) * 15.0
+    frames = images.select(F.floor(F.col("image_id") / 3).alias("measurement_id"), at.alias("lateral_mm"), at.alias("x"), F.lit(0.0).alias("y"), F.lit(300.0).alias("z"), "height", "width", grey.alias("grey"), F.lit(None).cast("binary").alias("usable"))
+    found = stereo.estimate_triplets(frames)
+    return found.select("measurement_id", "pair", "passes", "error", *[F.round(c, 4).alias(c) for c in ("normalised", "coverage", "support", "lr_error", "mad")])
+
+
 def _near(kernel) -> str:
     """b lies under the kernel around a."""
     return "(" + " OR ".join(f"(b.y - a.y = {dy} AND abs(b.x - a.x) <= {half})" for dy, half in kernel) + ")"
@@ -218,6 +230,7 @@ FROM vo WHERE support >= 2 OR (support >= 1 AND strongest >= CASE WHEN views = 1
     ),
     "can3_fused": (_of("photo_pixels")(_fused), None),
     "img9": (_of("photo_pixels")(_shifts), None),
+    "soi5": (_of("photo_pixels")(_heights), None),
     "img10": (
         _of("photo_pixels", "photo_plants")(_owned),
         f"""

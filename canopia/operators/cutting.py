@@ -118,9 +118,19 @@ def shortest(start: tuple, end: tuple, circles: np.ndarray, xb: tuple, yb: tuple
     for x, y, r in circles:
         ring = ring[np.hypot(ring[:, 0] - x, ring[:, 1] - y) >= r - SLACK]
     places = np.concatenate((places, ring))
-    best, back, done = np.full(len(places), np.inf), np.full(len(places), -1), np.zeros(len(places), bool)
     to_end = np.hypot(*(places - places[1]).T)
-    best[0], queue = 0.0, [(to_end[0], 0)]
+    # a hasty search finds some way; only places no further round than that can lie on the shortest
+    hasty = _search(places, circles, to_end, 3.0, np.inf)
+    if hasty is None:
+        return "no way inside the bed keeps off the protected plants"
+    return _search(places, circles, to_end, 1.0, hasty[0] + SLACK)[1]
+
+
+def _search(places: np.ndarray, circles: np.ndarray, to_end: np.ndarray, haste: float, most: float) -> tuple[float, list] | None:
+    """Length and waypoints of a way from the first place to the second, no longer than `most`; with haste 1 the shortest."""
+    best, back, done = np.full(len(places), np.inf), np.full(len(places), -1), np.zeros(len(places), bool)
+    best[0], queue = 0.0, [(0.0, 0)]
+    best[1] = most + SLACK
     while queue:
         _, k = heapq.heappop(queue)
         if done[k]:
@@ -130,7 +140,7 @@ def shortest(start: tuple, end: tuple, circles: np.ndarray, xb: tuple, yb: tuple
             way = []
             while (k := int(back[k])) > 0:
                 way.append((float(places[k][0]), float(places[k][1])))
-            return way[::-1]
+            return float(far), way[::-1]
         near = far + np.hypot(*(places - places[k]).T)
         if near[1] < best[1] and _clear(places[k], places[1:2], circles, k == 0)[0]:
             best[1], back[1] = near[1], k
@@ -139,8 +149,8 @@ def shortest(start: tuple, end: tuple, circles: np.ndarray, xb: tuple, yb: tuple
         open_ = np.flatnonzero(~done & (near < best) & (near + to_end < best[1]))
         for j in open_[_clear(places[k], places[open_], circles, k == 0)].tolist():
             best[j], back[j] = near[j], k
-            heapq.heappush(queue, (float(near[j] + to_end[j]), j))
-    return "no way inside the bed keeps off the protected plants"
+            heapq.heappush(queue, (float(near[j] + haste * to_end[j]), j))
+    return None
 
 
 _ROUTES = "route_id long, reversed boolean, waypoints array<struct<x: double, y: double>>, length_mm double, error string"

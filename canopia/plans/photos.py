@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from canopia.functions import rasters as R
-from canopia.operators import fusion, ownership, photos, stereo
+from canopia.operators import fusion, inspection, ownership, photos, stereo
 from canopia.plans.garden import _of
 from canopia.sources.shared import cut
 
@@ -102,6 +102,12 @@ def _heights(pixels):
     return found.select("measurement_id", "pair", "passes", "error", *[F.round(c, 4).alias(c) for c in ("normalised", "coverage", "support", "lr_error", "mad")])
 
 
+def _inspected(pixels):
+    rows = inspection.inspected(photos.rastered(pixels, HEIGHT, WIDTH), least_side=1)
+    figures = [F.round(c, 6).alias(c) for c in ("washed_out", "obstruction", "blur", "vegetation", "clear", "sharpness", "laplacian", "edges", "contrast", "image_quality")]
+    return rows.select("image_id", "issue", *figures, F.size("blobs").alias("blobs"), F.round(F.aggregate("blobs", F.lit(0.0), lambda a, b: a + b["u"] * b["area_fraction"]), 6).alias("weight_u"))
+
+
 def _near(kernel) -> str:
     """b lies under the kernel around a."""
     return "(" + " OR ".join(f"(b.y - a.y = {dy} AND abs(b.x - a.x) <= {half})" for dy, half in kernel) + ")"
@@ -206,6 +212,34 @@ nu AS (SELECT image_id, head, ROW_NUMBER() OVER (PARTITION BY image_id ORDER BY
 SELECT il.image_id, CAST(g AS INT) AS "group", min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, CAST(sum(area) AS BIGINT) AS area, count(*) AS islands
 FROM il JOIN hd USING (image_id, label) JOIN nu USING (image_id, head) GROUP BY il.image_id, g""",
     ),
+    "img18": (
+        _of("photo_pixels")(_inspected),
+        f"""
+WITH RECURSIVE {_COLOURS},
+li AS (SELECT *, CAST(floor((1868 * b + 9617 * g + 4899 * r + 8192) / 16384.0) AS BIGINT) AS l FROM co),
+nb AS (
+    SELECT a.image_id, a.x, a.y, any_value(a.l) AS l, sum(b.l * w.lap) AS bend, sum(b.l * w.sx) AS gx, sum(b.l * w.sy) AS gy
+    FROM li a CROSS JOIN (VALUES (-1,-1,0,-1,-1),(0,-1,1,0,-2),(1,-1,0,1,-1),(-1,0,1,-2,0),(0,0,-4,0,0),(1,0,1,2,0),(-1,1,0,-1,1),(0,1,1,0,2),(1,1,0,1,1)) w(i, j, lap, sx, sy)
+    JOIN li b ON b.image_id = a.image_id AND b.x = CASE WHEN a.x + i < 0 THEN 1 WHEN a.x + i >= {WIDTH} THEN {WIDTH - 2} ELSE a.x + i END AND b.y = CASE WHEN a.y + j < 0 THEN 1 WHEN a.y + j >= {HEIGHT} THEN {HEIGHT - 2} ELSE a.y + j END
+    GROUP BY a.image_id, a.x, a.y),
+fg AS (SELECT image_id, var_pop(bend) AS laplacian, avg(CASE WHEN gx * gx + gy * gy >= 10000 THEN 1.0 ELSE 0 END) AS edges, stddev_pop(l) / 255 AS contrast, avg(CASE WHEN l <= 5 OR l >= 250 THEN 1.0 ELSE 0 END) AS clipped FROM nb GROUP BY image_id),
+vf AS (SELECT image_id, avg(CASE WHEN v >= 205 AND s <= 85 THEN 1.0 ELSE 0 END) AS bright, avg(CASE WHEN v >= 235 AND s <= 85 THEN 1.0 ELSE 0 END) AS highlight, quantile_cont(v, 0.5) / 255 AS med, quantile_cont(v, 0.1) / 255 AS low FROM co GROUP BY image_id),
+g0 AS (SELECT image_id, x, y FROM co WHERE h BETWEEN 25 AND 105 AND s >= 32 AND v >= 25 AND e >= 9),
+g1 AS ({_shrunk("g0", R.square(5))}), g2 AS ({_grown("g1", R.square(5))}), g3 AS ({_grown("g2", R.square(5))}), gn AS ({_shrunk("g3", R.square(5))}), {_labelled("gn")},
+th2 AS (SELECT DISTINCT lb.image_id, lb.label FROM lb WHERE NOT EXISTS (SELECT 1 FROM cv o WHERE o.image_id = lb.image_id AND power(o.x - lb.x, 2) + power(o.y - lb.y, 2) < {(HEIGHT * 0.075) ** 2} AND NOT EXISTS (SELECT 1 FROM gn WHERE gn.image_id = o.image_id AND gn.x = o.x AND gn.y = o.y))),
+ce AS (SELECT lb.image_id, lb.label, avg(lb.x) / {WIDTH} AS u FROM lb GROUP BY ALL),
+ia AS (
+    SELECT il.*, u, area / {WIDTH * HEIGHT}.0 AS f, (x0 = 0)::INT + (y0 = 0)::INT + (x1 >= {WIDTH})::INT + (y1 >= {HEIGHT})::INT >= 2 AND th2.label IS NOT NULL AS leaf
+    FROM il JOIN ce USING (image_id, label) LEFT JOIN th2 ON th2.image_id = il.image_id AND th2.label = il.label),
+su AS (SELECT image_id, sum(f) AS veg, coalesce(max(f) FILTER (leaf), 0) AS leaf, coalesce(sum(f) FILTER (NOT leaf), 0) AS clear, count(*) FILTER (f >= 0.0015) AS blobs, coalesce(sum(u * f) FILTER (f >= 0.0015), 0) AS weight_u FROM ia GROUP BY image_id),
+al AS (SELECT fg.*, vf.* EXCLUDE (image_id), coalesce(veg, 0) AS veg, coalesce(leaf, 0) AS leaf, coalesce(clear, 0) AS clear, coalesce(blobs, 0) AS blobs, coalesce(weight_u, 0) AS weight_u FROM fg JOIN vf USING (image_id) LEFT JOIN su USING (image_id))
+SELECT image_id, CASE WHEN highlight >= 0.3 AND med >= 0.84 AND low >= 0.58 AND veg < 0.12 THEN 'washed_out' WHEN leaf >= 0.3 AND veg >= 0.3 AND leaf / greatest(0.01, veg) >= 0.88 AND clear <= 0.05 THEN 'leaf_obstruction'
+            WHEN laplacian <= 5 AND edges <= 0.025 AND contrast >= 0.025 THEN 'blurry' ELSE 'usable' END AS issue,
+       round(least(1, 0.35 * bright + 0.35 * highlight + 0.2 * med + 0.1 * low), 6) AS washed_out, round(least(1, 0.65 * leaf / 0.4 + 0.35 * leaf / greatest(0.01, veg)), 6) AS obstruction,
+       round(least(1, greatest(0, (0.6 * (1 - least(1, laplacian / 20)) + 0.4 * (1 - least(1, edges / 0.06))) * least(1, contrast / 0.04))), 6) AS blur, round(veg, 6) AS vegetation, round(clear, 6) AS clear,
+       round(least(1, ln(1 + laplacian) / ln(101)), 6) AS sharpness, round(laplacian, 6) AS laplacian, round(edges, 6) AS edges, round(contrast, 6) AS contrast,
+       round(least(1, greatest(0.05, 0.6 * least(1, ln(1 + laplacian) / ln(101)) + 0.4 * greatest(0, 1 - clipped * 2.5))), 6) AS image_quality, CAST(blobs AS INT) AS blobs, round(weight_u, 6) AS weight_u FROM al""",
+    ),
     "can3": (
         _of("photo_pixels")(_fused_cells),
         f"""

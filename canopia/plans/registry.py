@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from canopia.plans import commanding, contracts, cutting, garden, grids, judgements, learning, lookups, measures, photos, reads, reviewing, shapes, sites, streams
+from canopia.plans import commanding, contracts, cutting, exchange, garden, grids, judgements, learning, lookups, measures, photos, reads, reviewing, shapes, sites, streams
 from canopia.sources.tables import with_views
 
-_ALL = garden.PLANS | reads.PLANS | shapes.PLANS | measures.PLANS | learning.PLANS | reviewing.PLANS | lookups.PLANS | judgements.PLANS | grids.PLANS | contracts.PLANS | photos.PLANS | sites.PLANS | cutting.PLANS | streams.PLANS | commanding.PLANS
+_ALL = garden.PLANS | reads.PLANS | shapes.PLANS | measures.PLANS | learning.PLANS | reviewing.PLANS | lookups.PLANS | judgements.PLANS | grids.PLANS | contracts.PLANS | photos.PLANS | sites.PLANS | cutting.PLANS | streams.PLANS | commanding.PLANS | exchange.PLANS
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for k, (f, _) in _ALL.items()}
 ORACLES: dict[str, str] = {k: with_views(sql) for k, (_, sql) in _ALL.items() if sql}

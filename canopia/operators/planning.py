@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from canopia.operators import geometry
+from canopia.operators import folds, geometry
 
 
 def soil_samples(points: DataFrame, soil: DataFrame, since: str) -> DataFrame:
@@ -76,26 +76,24 @@ def cell_bounds(cells: DataFrame, beds: DataFrame) -> DataFrame:
 def axis_groups(rows: DataFrame, key: str, value: str, tolerance: float = 25.0) -> DataFrame:
     """win7: per key the means of runs of sorted values, each within the tolerance of the running mean before it.
 
-    Equal values never part, so the fold takes one element a distinct value;
-    gaps beyond the tolerance and twice its width part for certain, so a window
-    cuts there first and each fold holds one island.
+    Equal values never part, so the distinct values of a key are gone through in
+    order with the last run's sum and number as the only state.
     """
-    seen = rows.groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count("*").cast("double").alias("n"))
-    by = W.partitionBy(key).orderBy("v")
-    # the mean is at most the last value, so a gap beyond the tolerance always starts a group
-    part = F.when(F.col("v") - F.lag("v").over(by) <= tolerance, 0).otherwise(1)
-    islands = seen.withColumn("_g", part).withColumn("_i", F.sum("_g").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    lists = islands.groupBy(key, "_i").agg(F.array_sort(F.collect_list(F.struct("v", "n"))).alias("l"))
-    start = F.array().cast("array<struct<s:double,n:double>>")
-
-    def step(acc, e):
-        last = F.element_at(acc, -1)
-        fresh = (F.size(acc) == 0) | (F.abs(e["v"] - last["s"] / last["n"]) > tolerance)
-        grown = F.concat(F.slice(acc, F.lit(1), F.greatest(F.lit(0), F.size(acc) - 1)), F.array(F.struct((last["s"] + e["v"] * e["n"]).alias("s"), (last["n"] + e["n"]).alias("n"))))
-        return F.when(fresh, F.concat(acc, F.array(F.struct((e["v"] * e["n"]).alias("s"), e["n"].alias("n"))))).otherwise(grown)
-
-    groups = lists.select(key, F.explode(F.aggregate("l", start, step)).alias("g"))
-    return groups.select(key, (F.col("g.s") / F.col("g.n")).alias("position"), F.col("g.n").cast("long").alias("members"))
+    seen = rows.where(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+
+    def ended(state):
+        return ((state["sum"] / state["n"], state["n"]),) if state["n"] else ()
+
+    def step(state, row):
+        done = ()
+        if state["n"] and abs(row["v"] - state["sum"] / state["n"]) > tolerance:
+            done = ended(state)
+            state["sum"], state["n"] = 0.0, 0
+        state["sum"] += row["v"] * row["n"]
+        state["n"] += row["n"]
+        return done
+
+    return folds.carried(seen, key, ["v"], lambda: {"sum": 0.0, "n": 0}, step, "position double, members long", ended)
 
 
 def measurement_target(places: DataFrame, points: DataFrame, reach: float = 200.0) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from canopia.operators import evidence
+from canopia.operators import evidence, folds
 
 #: The decisions that end a measurement's review.
 TERMINAL = ("applied", "approved_no_change", "reject", "removed", "keep", "superseded")
@@ -198,23 +198,15 @@ def height_changes(soil: DataFrame, decisions: DataFrame, repairs: DataFrame, li
 def time_clusters(images: DataFrame, key: str, seconds: int = 3600) -> DataFrame:
     """win6: cluster number of each image of a key; a cluster reaches that long from its first image.
 
-    A gap longer than that always starts a cluster, so a window first cuts each
-    key into islands. Where clusters start depends on the cluster before, which
-    is folded over the distinct times of one island and leaves only the starts;
-    a window then hands each time the start before it.
+    Where a cluster starts depends on the one before, so the distinct times of a
+    key are gone through in order with the last start as the only state.
     """
-    seen = images.groupBy(key, F.col("created_at").cast("long").alias("t")).count()
-    by = W.partitionBy(key).orderBy("t")
-    gap = F.when(F.col("t") - F.lag("t").over(by) <= seconds, 0).otherwise(1)
-    upto = by.rowsBetween(W.unboundedPreceding, 0)
-    islands = seen.select(key, "t", gap.alias("_g")).withColumn("_i", F.sum("_g").over(upto))
-    times = islands.groupBy(key, "_i").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    start = F.struct(F.lit(None).cast("long").alias("anchor"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(acc, t):
-        new = acc["anchor"].isNull() | (t - acc["anchor"] > seconds)
-        return F.struct(F.when(new, t).otherwise(acc["anchor"]).alias("anchor"), F.when(new, F.concat(acc["out"], F.array(t))).otherwise(acc["out"]).alias("out"))
-
-    starts = times.select(key, F.explode(F.aggregate("t", start, step, lambda a: a["out"])).alias("t")).withColumn("_start", F.col("t"))
-    dealt = seen.select(key, "t").join(starts, [key, "t"], "left").withColumn("anchor", F.last("_start", ignorenulls=True).over(upto)).drop("_start")
+    seen = images.select(key, F.col("created_at").cast("long").alias("t")).where("t IS NOT NULL").distinct()
+
+    def step(state, row):
+        if state["anchor"] is None or row["t"] - state["anchor"] > seconds:
+            state["anchor"] = row["t"]
+        return ((row["t"], state["anchor"]),)
+
+    dealt = folds.carried(seen, key, ["t"], lambda: {"anchor": None}, step, "t long, anchor long")
     return images.withColumn("t", F.col("created_at").cast("long")).join(dealt, [key, "t"]).drop("t")

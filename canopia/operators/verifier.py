@@ -10,20 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from canopia.operators import folds
 from canopia.operators.geometry import wilson_lower
+from canopia.sources.shared import cut
 
 
-def grouped_split(samples: DataFrame, group: str, every: int = 4, prefix: int = 3) -> DataFrame:
-    """ml3: adds `held_out`: every fourth group in the order of its text, all its samples together.
-
-    Ranks are counted within the groups of a common prefix and shifted by the
-    counts before it, so no task sorts all groups.
-    """
-    groups = samples.select(F.col(group).cast("string").alias("_g")).distinct().withColumn("_p", F.substring("_g", 1, prefix))
-    counts = groups.groupBy("_p").count()
-    before = counts.withColumn("_b", F.coalesce(F.sum("count").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    ranked = groups.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy("_g")) - 1).join(before.select("_p", "_b"), "_p")
-    held = ranked.select("_g", ((F.col("_r") + F.col("_b")) % every == 0).alias("held_out"))
+def grouped_split(samples: DataFrame, group: str, every: int = 4) -> DataFrame:
+    """ml3: adds `held_out`: every fourth group in the order of its text, all its samples together."""
+    groups = folds.ranked(samples.select(F.col(group).cast("string").alias("_g")).distinct(), ["_g"], "_r")
+    held = groups.select("_g", (F.col("_r") % every == 0).alias("held_out"))
     return samples.withColumn("_g", F.col(group).cast("string")).join(held, "_g").drop("_g")
 
 
@@ -56,8 +51,6 @@ def train(samples: DataFrame, label: str, features: list[str], least: int = 4, r
     scaled = filled.select("label", F.when(F.col("label") == 1, n / (2 * pos)).otherwise(n / (2 * (n - pos))).alias("w"), *[((F.col(f) - m) / s).alias(f) for f, m, s in zip(features, means, scales, strict=True)])
     vectors = VectorAssembler(inputCols=features, outputCol="x").transform(scaled)
     fit = LogisticRegression(featuresCol="x", labelCol="label", weightCol="w", regParam=ridge, standardization=False, maxIter=50).fit(vectors)
-
-
     return Model(features, means, scales, [float(v) for v in fit.coefficients], float(fit.intercept) + math.log(pos / (n - pos)))
 
 
@@ -96,7 +89,8 @@ def operating_point(curve: DataFrame, target: float = 0.95) -> DataFrame:
 
 def held_out_scores(samples: DataFrame, label: str, group: str, features: list[str]) -> DataFrame:
     """ml1 to ml5: every sample's score by the model of the images that are not held out; no rows if it cannot be trained."""
-    split = grouped_split(samples, group)
+    # features are worked out once: the split, each step of the fit and the scores read what is written
+    split = cut(grouped_split(cut(samples), group))
     model = train(split.where("NOT held_out"), label, features)
     if model is None:
         return split.withColumn("score", F.lit(None).cast("double")).limit(0)

@@ -21,7 +21,7 @@ def _review(images):
     target = c("id") - c("id") * 31 % 700
     log = images.where("id % 6 <> 5").select(c("id").alias("command_id"), target.alias("measurement_id"), c("created_at").alias("at"), action.alias("action"))
     plants = measured.select("plant_id").distinct().where("plant_id % 19 <> 0").select("plant_id", (40.0 + c("plant_id") % 60).alias("radius_mm"))
-    return commands.review(plants, measured, log)
+    return commands.review(plants, measured, log).withColumn("plant_id", F.coalesce("plant_id", F.lit(-1).cast("long")))
 
 
 def _repairs(points, soil):
@@ -35,7 +35,7 @@ def _repairs(points, soil):
         z(point).alias("expected_z"), F.when(k % 4 == 0, px + 3.0).alias("new_x"), F.lit(None).cast("double").alias("new_y"), F.when(k % 10 != 0, z(point) + k % 3 * 0.06).alias("repaired_z"),
     )
     log = soil.select(k.alias("command_id"), (k - k % 2 * 400).alias("repair_id"), c("created_at").alias("at"), F.when(k % 5 == 0, "reject").otherwise("apply").alias("action"))
-    return commands.repair_heights(own, repairs, log)
+    return commands.repair_heights(own, repairs, log).withColumn("point_id", F.coalesce("point_id", F.lit(-1).cast("long")))
 
 
 PLANS = {
@@ -60,7 +60,7 @@ fo(plant, k, radius, settled, command_id, m, outcome, reason, before) AS (
                       WHEN abs(radius - cur) <= 0.1 THEN ['applied', NULL] ELSE ['conflict', 'changed'] END AS v
           FROM fo JOIN lo ON lo.plant = fo.plant AND lo.k = fo.k + 1))
 SELECT command_id, plant AS plant_id, m AS measurement_id, outcome, reason, before AS before_mm, radius AS after_mm FROM fo WHERE k > 0
-UNION ALL SELECT command_id, NULL, target, 'conflict', 'no measurement', NULL, NULL FROM lg WHERE target NOT IN (SELECT m FROM me)""",
+UNION ALL SELECT command_id, -1, target, 'conflict', 'no measurement', NULL, NULL FROM lg WHERE target NOT IN (SELECT m FROM me)""",
     ),
     "soi11": (
         _of("soil_points", "soil_measurements")(_repairs),
@@ -81,6 +81,6 @@ fo(point, k, x, y, z, dated, done, cid, rid, outcome, reason, before) AS (
                       WHEN NOT coalesce(dated, false) THEN ['conflict', 'missing or undated'] WHEN abs(x - ex) <= 0.1 AND abs(y - ey) <= 0.1 AND abs(z - ez) <= 0.1 THEN ['applied', NULL] ELSE ['conflict', 'changed'] END AS v
           FROM fo JOIN lo ON lo.point = fo.point AND lo.k = fo.k + 1))
 SELECT cid AS command_id, point AS point_id, rid AS repair_id, outcome, reason, before AS z_before, z AS z_after FROM fo WHERE k > 0
-UNION ALL SELECT command_id, NULL, target, 'ignored', 'not pending', NULL, NULL FROM lg WHERE target NOT IN (SELECT r FROM re)""",
+UNION ALL SELECT command_id, -1, target, 'ignored', 'not pending', NULL, NULL FROM lg WHERE target NOT IN (SELECT r FROM re)""",
     ),
 }

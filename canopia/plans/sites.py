@@ -29,7 +29,8 @@ def _sites(points, weeds):
 
 def _grid(points, weeds):
     found = assignment.measurement_grid(_points(points), _weeds(weeds), [], BED, SPACING, DEVIATION, BASELINE, MARGIN, F.lit(CUTOFF).cast("timestamp"))
-    return found.withColumns({c: F.round(c, 6) for c in ("deviation_mm", "clearance_mm")})
+    rounded = {c: F.round(c, 6) for c in ("deviation_mm", "clearance_mm")}
+    return found.withColumns(rounded | {c: F.coalesce(c, F.lit(-1).cast("long")) for c in ("point_id", "hint_mm")})
 
 
 def _fold(name: str, source: str) -> str:
@@ -69,10 +70,10 @@ al AS (SELECT turn, list({{'item': item, 'x': x, 'y': y, 'd': d, 'm': m}} ORDER
 pk AS (SELECT ch.turn, chq.c[pick] AS v FROM ch JOIN chq ON chq.turn = ch.turn WHERE pick IS NOT NULL),
 lf AS (SELECT si.turn, min(si.d) AS nearest FROM si LEFT JOIN pk ON pk.v.item = si.item WHERE si.m + 1e-6 >= {MARGIN} AND (pk.turn IS NULL OR pk.turn >= si.turn) GROUP BY si.turn),
 bs AS (SELECT turn, max(m) AS roomiest FROM si WHERE d <= {DEVIATION} + 1e-6 AND m >= 0 GROUP BY turn)
-SELECT CAST(gx AS DOUBLE) AS grid_x, CAST(gy AS DOUBLE) AS grid_y, point_id, CAST(v.x AS DOUBLE) AS site_x, CAST(v.y AS DOUBLE) AS site_y, round(v.d, 6) AS deviation_mm, round(greatest(0, v.m - {MARGIN}), 6) AS clearance_mm,
+SELECT CAST(gx AS DOUBLE) AS grid_x, CAST(gy AS DOUBLE) AS grid_y, coalesce(point_id, -1) AS point_id, CAST(v.x AS DOUBLE) AS site_x, CAST(v.y AS DOUBLE) AS site_y, round(v.d, 6) AS deviation_mm, round(greatest(0, v.m - {MARGIN}), 6) AS clearance_mm,
        CASE WHEN v IS NULL THEN 'skipped' WHEN v.d < 0.001 THEN 'clear' ELSE 'replaced' END AS status,
        CASE WHEN v IS NULL THEN coalesce(early, CASE WHEN nearest IS NOT NULL THEN 'deviation' WHEN roomiest IS NOT NULL THEN 'margin' ELSE 'blocked' END) END AS reason,
-       CASE WHEN v IS NULL AND early IS NULL THEN CAST(coalesce(ceil(nearest), floor(roomiest)) AS BIGINT) END AS hint_mm
+       coalesce(CASE WHEN v IS NULL AND early IS NULL THEN CAST(coalesce(ceil(nearest), floor(roomiest)) AS BIGINT) END, -1) AS hint_mm
 FROM hd LEFT JOIN pk ON pk.turn = hd.turn LEFT JOIN lf ON lf.turn = hd.turn LEFT JOIN bs ON bs.turn = hd.turn""",
     ),
 }

@@ -11,7 +11,8 @@ of all languages, chosen by a hash of the id.
 
 Defined results: `und` with score 0 for a null text, a text without letters, or
 when nothing was learned; a family with one language needs no second stage;
-repeated rows each give a row; rows with a null lang teach nothing; very long
+ties between languages go to the first by name; repeated rows each give a row;
+rows with a null lang teach nothing; very long
 texts are scored whole; numerals such as a half or a roman one are no letters;
 other columns are ignored; an empty table gives an empty result.
 """

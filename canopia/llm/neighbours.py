@@ -18,9 +18,11 @@ makes a partition of its own, which its queries search whole.
 
 Defined results: vectors that are null, zero, or with null or non-finite
 components take no part, nor do rows without id; vectors of different lengths
-are no neighbours; repeated rows (same id and vector) count once; fewer rows
-than asked come back only if there are no more candidates; ties go to the
-smaller id; other columns are ignored; an empty table gives an empty result.
+are no neighbours; repeated rows (same id and vector) count once; each different
+vector of one id is a query of its own, with ranks of its own, and no row of an
+id is a neighbour of it, which may leave such a query one row short a further
+vector; otherwise fewer rows than asked come back only if there are no more
+candidates; ties go to the smaller id; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ so no text overflows a stack or takes quadratic time. A character U+0001 in a
 text is treated as U+0002, which no pattern names.
 
 Defined results: null and empty texts have no spans; very long texts are read
-whole, in time near their length; repeated rows each give a row with the same
+whole, in time near their length; an identifier that equally confident patterns
+mark as two kinds is of the later one by name; repeated rows each give a row with the same
 spans; a row without doc_id keeps its base spans and gains none; other columns
 are ignored; an empty table gives an empty result.
 """

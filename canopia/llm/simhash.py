@@ -211,7 +211,11 @@ def _pairs(left: DataFrame, right: DataFrame, tau: int) -> DataFrame:
 
 
 def bonds(fps: DataFrame, tau: int = 4, heavy: int = HEAVY) -> DataFrame:
-    """(a, b): links of distinct values fp, not all of them but enough to join what links join."""
+    """(a, b): links of distinct values fp, not all of them but enough to join what links join.
+
+    A value of a dense cell makes a row for each of its neighbours half-way, up
+    to 2,081 where all 64 bits vary; an odd tau compares all pairs of a cell.
+    """
     left, right = (x.drop("g") for x in _candidates(fps.select("fp").distinct(), tau, heavy))
     left, right = cut(left), cut(right)
     bits = F.expr("bit_count(bit_or(b) ^ bit_and(b))")

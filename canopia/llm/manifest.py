@@ -36,6 +36,8 @@ from canopia.llm.trie import CRC32
 FAN, LEVELS = 8, 4
 #: Rows up to which a table of partition offsets or block tops is broadcast.
 MOST_BROADCAST = 200_000
+#: Rows that a task sorts when leaves are ranked.
+SORTED = 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,9 +57,8 @@ def few(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
 
 
 def ranked(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """rows with `rank`, from 0, and `total` of each group; rows are cut."""
-    spark = rows.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    """rows with `rank`, from 0, and `total` of each group; rows are cut, and read three times."""
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // SORTED))
     asc = [F.col(c).asc_nulls_first() for c in [group, *order]]
     placed = cut(rows.repartitionByRange(parts, *asc).sortWithinPartitions(*asc).withColumn("_at", F.monotonically_increasing_id()))
     placed = placed.withColumn("_part", F.shiftright("_at", 33))
@@ -219,7 +220,7 @@ def manifest(leaves: DataFrame, group: str, order: list[str], fan: int = FAN, le
     itself). proof_sha256 is of all siblings up to the root; with proofs, lefts
     and rights hold those on either side, a string of joined hashes a level.
     """
-    leaves = leaves.select(*dict.fromkeys([group, *order, "leaf", "changed"]))
+    leaves = cut(leaves.select(*dict.fromkeys([group, *order, "leaf", "changed"])))
     placed = cut(ranked(leaves, group, [*order, "leaf"]))
     low = rounds(placed.select(group, "rank", "total", F.col("leaf").alias("node")), group, fan, levels)
     # the groups' tops are the leaves of the upper tree, in which all are one group

@@ -2,6 +2,7 @@ import os
 import sys
 import tempfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -50,7 +51,7 @@ def same_rows(spark_df, duck_df) -> None:
     cols = sorted(a.columns)
 
     def shown(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return ""
         # a column of whole numbers with nulls is one of floats in pandas
         return str(v) if not isinstance(v, float) else str(int(v)) if float(v).is_integer() else round(float(v), 6)

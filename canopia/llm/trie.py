@@ -119,6 +119,14 @@ def common_depths(values: np.ndarray, size: np.ndarray) -> np.ndarray:
     return found
 
 
+def _first_paths(shared: np.ndarray, size: int) -> np.ndarray:
+    """For each depth up to size the first path that shares that prefix with the last one."""
+    found = np.zeros(size + 1, np.int64)
+    short = np.flatnonzero(shared < size)
+    np.maximum.at(found, np.maximum(shared[short], -1) + 1, short)  # a path that shares k turns with the one before starts depths beyond k
+    return np.maximum.accumulate(found)
+
+
 def _keys(path: np.ndarray) -> list[bytes]:
     """A key for each prefix of a path, the empty one first."""
     state, keys = hashlib.blake2b(digest_size=16), []
@@ -148,7 +156,9 @@ def peel(run: _Run, last: bool):
     """
     n_rows = len(run.size)
     edges = [] if last else sorted({0, n_rows - 1})
-    zero = [np.array([r for r in edges for _ in range(run.size[r] + 1)]), np.array([d for r in edges for d in range(run.size[r] + 1)])]
+    # an open node counts from its first path: those between it and the last one may have no figures left above
+    place = {r: _first_paths(run.shared, int(run.size[r])) if r else np.zeros(run.size[r] + 1, np.int64) for r in edges}
+    zero = [np.concatenate([place[r] for r in edges]) if edges else np.zeros(0, np.int64), np.array([d for r in edges for d in range(run.size[r] + 1)], np.int64)]
     pad = [np.zeros(len(zero[0]), np.int64)] * 6
     pad[1] = np.full(len(zero[0]), NOBODY)
     extras = [np.concatenate((x, y)).astype(np.int64) for x, y in zip(run.extras, [*zero, *pad], strict=True)]

@@ -62,7 +62,7 @@ def some(seed, n, words=("a", "b", "cc"), depth=7):
     return rows
 
 
-@pytest.mark.parametrize(("turns_a_task", "fan"), [(1 << 20, 256), (60, 2), (60, 4)])
+@pytest.mark.parametrize(("turns_a_task", "fan"), [(1 << 20, 256), (60, 2), (60, 4), (7, 3)])
 def test_nodes_equal_brute_force(spark, turns_a_task, fan):
     rows = some(3, 330)
     rows += [(2000 + k, t, "user", "same") for k in range(150) for t in range(4)]  # copies
@@ -83,6 +83,18 @@ def test_plain_conversations_and_clashing_columns(spark):
     assert rows_of(found) == brute({1: [("u", "hi"), ("a", "yo")], 2: [("u", "hi"), ("a", "yo")], 3: [("u", "hi")]})
 
 
+def test_deep_sparse_conversations(spark):
+    rng, made = random.Random(6), {}
+    for c in range(200):
+        old = made[rng.randrange(c)] if c else []
+        made[c] = old[: rng.randrange(len(old) + 1)] + [("u", rng.choice("abcdefghij")) for _ in range(rng.randrange(0, 4))]
+    rows = [(c, t, *x) for c, seq in made.items() for t, x in enumerate(seq)]
+    made = {c: seq for c, seq in made.items() if seq}
+    convs = trie.paths(trie.gathered(spark.createDataFrame(rows, SCHEMA)))
+    for turns, fan in ((3, 2), (11, 4), (1 << 20, 256)):
+        assert rows_of(trie.trie(convs, turns, fan)) == brute(made)
+
+
 def test_no_conversations(spark):
     for rows in ([], [(None, 0, "u", "x")]):
         assert rows_of(trie.trie(trie.paths(trie.rebuilt(trie.gathered(spark.createDataFrame(rows, SCHEMA)))))) == []
@@ -98,3 +110,33 @@ def test_common_depths():
     paths = [[], [1], [1, 2], [1, 2], [1, 3, 4], [2]]
     values = np.array([x for p in paths for t in p for x in (t, -t)])
     assert trie.common_depths(values, np.array([len(p) for p in paths])).tolist() == [-1, 0, 1, 2, 1, 0]
+
+
+def test_first_paths():
+    assert trie._first_paths(np.array([-1, 0, 1, 2, 1, 3]), 4).tolist() == [0, 1, 4, 4, 5]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_runs_cut_anywhere_give_the_same_nodes(seed):
+    """Peeling parts of the sorted paths and then their chains, in plain Python, without Spark."""
+    import pyarrow as pa
+
+    rng = random.Random(seed)
+    made = {}
+    for c in range(90):  # sparse and deep: a start of an earlier one, and more
+        old = made[rng.randrange(c)] if c else []
+        made[c] = old[: rng.randrange(len(old) + 1)] + [("u", rng.choice("abcdefghij")) for _ in range(rng.randrange(0, 4))]
+    names = {x: (k * 7919) % 101 - 50 for k, x in enumerate("abcdefghij")}
+    rows = sorted(([x for _, t in seq for x in (names[t], names[t])], c) for c, seq in made.items())
+    parts, at = [], 0
+    while at < len(rows):
+        step = rng.randrange(1, 9)
+        parts.append(rows[at : at + step])
+        at += step
+    batch = lambda part: pa.RecordBatch.from_pydict({"path": pa.array([p for p, _ in part], pa.list_(pa.int64())), "chars": pa.array([[1] * (len(p) // 2) for p, _ in part], pa.list_(pa.int64())), "conv_id": pa.array([c for _, c in part], pa.int64())})
+    first = [b for part in parts for b in trie._task(False, False)([batch(part)])]
+    chains = sorted((r for b in first for r in b.to_pylist() if r["kind"] == trie.CHAIN), key=lambda r: (r["path"], r["conv_id"]))
+    whole = pa.RecordBatch.from_pylist(chains, schema=trie.MADE)
+    second = list(trie._task(True, True)([whole]))
+    got = sorted((r["conv_id"], r["depth"], r["n"], r["kids"], r["leaves"], r["saved"]) for b in first + second for r in b.to_pylist() if r["kind"] == trie.NODE)
+    assert got == sorted((r[0], r[1], r[3], r[4], r[5], r[6]) for r in brute(made))

@@ -49,6 +49,8 @@ def _soil(points):
 
 def _bundle(training):
     samples = training.select(F.when(c("doc_id") % 10 != 0, c("doc_id").cast("string")).otherwise("").alias("detection_id"), F.when(c("doc_id") % 7 == 0, "ufo").otherwise(c("label")).alias("label"), F.create_map(F.lit("f1"), "f1").alias("features"), F.lit("2024-01-01").cast("timestamp").alias("created_at"), "image_id")
+    if samples.where("detection_id <> '' AND label <> 'ufo'").isEmpty():  # an import without usable samples is refused
+        return training.limit(0).groupBy("label").agg(F.count("*").alias("samples"), F.sum("f1").alias("f1"), F.sum("image_id").alias("images"))
     path = f"{shared.folder(training.sparkSession)}/bundle-{uuid.uuid4().hex}"
     documents.export_training(samples, path)
     back = documents.import_training(training.sparkSession, path)

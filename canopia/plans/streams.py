@@ -34,6 +34,8 @@ def _handed(spark, sf_dir):
     excluded = view(spark, sf_dir, "unlinked").select(F.coalesce("entry", F.lit(3)).alias("entry_id"), "image_id")
     bursts.hand_off(frames, excluded, f"{folder}/rows", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     found = bursts.written(spark, f"{folder}/rows")
+    if found is None:  # a stream over nothing has no batch
+        return excluded.limit(0)
     return found.select("entry_id", "image_id")
 
 

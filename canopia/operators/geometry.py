@@ -15,12 +15,13 @@ def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """q39 to q41: pairs of rows (id, x, y, ...) closer than radius; columns of right get the prefix `o_`.
 
     Both sides are dealt to square cells of the radius; the right side goes to
-    its cell and the eight around it, so the join is an equi-join.
+    its cell and the eight around it, so the join is an equi-join. It is dealt
+    out after that, so that its ninefold size is known before one is broadcast.
     """
     cell = lambda c: F.floor(F.col(c) / radius).cast("long")
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     other = right.select([F.col(c).alias(f"o_{c}") for c in right.columns]).withColumn("_d", around)
-    other = other.select("*", (cell("o_x") + F.col("_d.i")).alias("_cx"), (cell("o_y") + F.col("_d.j")).alias("_cy")).drop("_d")
+    other = other.select("*", (cell("o_x") + F.col("_d.i")).alias("_cx"), (cell("o_y") + F.col("_d.j")).alias("_cy")).drop("_d").repartition("_cx", "_cy")
     pairs = left.withColumns({"_cx": cell("x"), "_cy": cell("y")}).join(other, ["_cx", "_cy"]).drop("_cx", "_cy")
     return pairs.withColumn("distance", F.sqrt((F.col("x") - F.col("o_x")) * (F.col("x") - F.col("o_x")) + (F.col("y") - F.col("o_y")) * (F.col("y") - F.col("o_y")))).where(F.col("distance") <= radius)
 

@@ -110,12 +110,13 @@ def ordinary_median(rows: DataFrame, key: str, value: str, apart: Column) -> Dat
 def visible_plants(images: DataFrame, plants: DataFrame, half_x: float = 500.0, half_y: float = 400.0) -> DataFrame:
     """q20: per image (id, x, y) how many plants lie in its frame, and the smallest id, 0 where there is none.
 
-    Images of one place see the same plants, so places are joined, not images.
+    Images of one place see the same plants, so places are joined, not images,
+    and plants of one place go as one with their number.
     """
-    places = images.select("x", "y").distinct().select(F.struct("x", "y").alias("id"), "x", "y")
-    near = geometry.within(places, plants.select("id", "x", "y"), math.hypot(half_x, half_y) * (1 + 1e-9))
+    spots = plants.groupBy("x", "y").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    near = geometry.within(images.select("x", "y").distinct(), spots, math.hypot(half_x, half_y) * (1 + 1e-9))
     near = near.where((F.abs(F.col("x") - F.col("o_x")) <= half_x) & (F.abs(F.col("y") - F.col("o_y")) <= half_y))
-    seen = near.groupBy("x", "y").agg(F.count("*").alias("plants"), F.min("o_id").alias("first_plant"))
+    seen = near.groupBy("x", "y").agg(F.sum("o_n").alias("plants"), F.min("o_first").alias("first_plant"))
     return images.select("id", "x", "y").join(seen, ["x", "y"], "left").select("id", F.coalesce("plants", F.lit(0)).alias("plants"), F.coalesce("first_plant", F.lit(0)).alias("first_plant"))
 
 

@@ -115,24 +115,26 @@ def neighbour_cells(cells: DataFrame) -> DataFrame:
     return moved.join(cells.select(F.col("cell_x").alias("o_cell_x"), F.col("cell_y").alias("o_cell_y")), ["o_cell_x", "o_cell_y"])
 
 
-def reach_pairs(points: DataFrame, discs: DataFrame, widest: float) -> DataFrame:
-    """Pairs of a point's id and a disc (x, y, reach) that holds it, with reach, gap, their distance, and the disc's tag, if it has one.
+def reach_pairs(points: DataFrame, discs: DataFrame, widest: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of a point's id and a disc (x, y, reach) that holds it, with reach, gap, their distance, and the disc's tag, if it has one; of equal `by` only.
 
     Pairs are found in cells of side `widest`; a disc that reaches further is
-    joined in cells of the next power of two, so no link is lost.
+    joined in cells of the next power of two, so no link is lost. Discs are dealt
+    out when their cells are known, so that their ninefold size decides the join.
     """
     level = F.when(F.col("reach") <= widest, 0).otherwise(F.ceil(F.log2(F.col("reach") / widest))).cast("int")
     tag = [c for c in discs.columns if c == "tag"]
-    marked = discs.where("reach >= 0").select("x", "y", "reach", *tag, level.alias("level"))
+    marked = discs.where("reach >= 0").select("x", "y", "reach", *tag, *by, level.alias("level"))
     levels = marked.select("level").distinct()  # a few values: sizes double from one to the next
-    left = points.select("id", "x", "y").crossJoin(F.broadcast(levels))
+    left = points.select("id", "x", "y", *by).crossJoin(F.broadcast(levels))
     side = F.lit(widest) * F.pow(F.lit(2.0), F.col("level"))
     steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("d")
-    right = marked.select(F.col("x").alias("o_x"), F.col("y").alias("o_y"), "reach", "level", *tag, steps)
-    right = right.select("o_x", "o_y", "reach", "level", *tag, (F.floor(F.col("o_x") / side) + F.col("d.i")).alias("_cx"), (F.floor(F.col("o_y") / side) + F.col("d.j")).alias("_cy"))
+    right = marked.select(F.col("x").alias("o_x"), F.col("y").alias("o_y"), "reach", "level", *tag, *by, steps)
+    right = right.select("o_x", "o_y", "reach", "level", *tag, *by, (F.floor(F.col("o_x") / side) + F.col("d.i")).alias("_cx"), (F.floor(F.col("o_y") / side) + F.col("d.j")).alias("_cy"))
+    right = right.repartition("level", "_cx", "_cy", *by)
     left = left.select("*", F.floor(F.col("x") / side).alias("_cx"), F.floor(F.col("y") / side).alias("_cy"))
     gap = F.sqrt((F.col("x") - F.col("o_x")) * (F.col("x") - F.col("o_x")) + (F.col("y") - F.col("o_y")) * (F.col("y") - F.col("o_y")))
-    return left.join(right, ["level", "_cx", "_cy"]).select("id", "reach", *tag, gap.alias("gap")).where("gap <= reach")
+    return left.join(right, ["level", "_cx", "_cy", *by]).select("id", *by, "reach", *tag, gap.alias("gap")).where("gap <= reach")
 
 
 def reached(points: DataFrame, discs: DataFrame, widest: float, strict: bool = False) -> DataFrame:

@@ -119,20 +119,25 @@ def scout_cells(cells: DataFrame, blobs: DataFrame, plants: DataFrame, half_widt
 
     blobs: cell, blob, u, v, area_fraction. Blobs of usable frames and of some size
     count if no plant (id, x, y, radius) reaches them with its disc and `clear`. A
-    plant with its margin is wholly framed from a coverage of 0.999 on.
+    plant with its margin is wholly framed from a coverage of 0.999 on. Blobs and
+    plants that coincide are measured once and meet their rows afterwards.
     """
     gx, gy = transforms.blob_to_garden(F.col("u"), F.col("v"), F.col("x"), F.col("y"), half_width, half_height, cal)
     spots = blobs.where(F.col("area_fraction") >= least_area).join(cells.where("issue = 'usable'").select("cell", "x", "y"), "cell").select("cell", F.col("blob").alias("id"), gx.alias("x"), gy.alias("y"))
-    discs = plants.select("x", "y", (F.col("radius") + clear).alias("reach"))
-    weeds = spots.join(geometry.reached(spots, discs, 100.0), "id", "left_anti").groupBy("cell").agg(F.count("*").alias("candidates"), F.array_sort(F.collect_list(F.struct(F.round("x", 1).alias("x"), F.round("y", 1).alias("y")))).alias("points"))
+    discs = plants.groupBy("x", "y").agg((F.max("radius") + clear).alias("reach"))
+    places = spots.select("x", "y").distinct().withColumn("id", F.struct("x", "y"))
+    held = geometry.reached(places, discs, 100.0).select("id.x", "id.y")
+    weeds = spots.join(held, ["x", "y"], "left_anti").groupBy("cell").agg(F.count("*").alias("candidates"), F.array_sort(F.collect_list(F.struct(F.round("x", 1).alias("x"), F.round("y", 1).alias("y")))).alias("points"))
     frames = cells.select(F.col("cell").alias("id"), (F.col("x") + cal.offset_x).alias("x"), (F.col("y") + cal.offset_y).alias("y"))
     wide = F.greatest(F.lit(1.0), F.col("radius") + margin)
-    far = plants.select("x", "y", (wide + math.hypot(half_width, half_height)).alias("reach"), F.struct("id", "x", "y", wide.alias("r")).alias("tag"))
+    sized = plants.select("id", "x", "y", wide.alias("r"))
+    far = sized.select("x", "y", "r").distinct().select("x", "y", (F.col("r") + math.hypot(half_width, half_height)).alias("reach"), F.struct("x", "y", "r").alias("tag"))
     near = geometry.reach_pairs(frames, far, 400.0).select(F.col("id").alias("cell"), "tag").join(cells.select("cell", "x", "y"), "cell")
     share = transforms.frame_coverage(F.col("tag.x"), F.col("tag.y"), F.col("tag.r"), F.col("x"), F.col("y"), half_width, half_height, cal)
-    seen = near.withColumn("share", share).groupBy("cell").agg(
-        F.array_sort(F.collect_list(F.when(F.col("share") >= 0.999, F.col("tag.id")))).alias("full"),
-        F.array_sort(F.collect_list(F.when((F.col("share") > 0) & (F.col("share") < 0.999), F.col("tag.id")))).alias("partial"),
+    shown = near.select("cell", "tag.*", share.alias("share")).join(sized.hint("merge"), ["x", "y", "r"])
+    seen = shown.groupBy("cell").agg(
+        F.array_sort(F.collect_list(F.when(F.col("share") >= 0.999, F.col("id")))).alias("full"),
+        F.array_sort(F.collect_list(F.when((F.col("share") > 0) & (F.col("share") < 0.999), F.col("id")))).alias("partial"),
     )
     return cells.select("cell", "issue").join(weeds, "cell", "left").join(seen, "cell", "left").withColumn("candidates", F.coalesce("candidates", F.lit(0)))
 

@@ -56,3 +56,16 @@ def test_images_and_plants_of_a_place(spark, pairs):
     rows = reviews.visible_plants(spark.createDataFrame(images, "id long, x double, y double"), spark.createDataFrame(plants, "id long, x double, y double")).collect()
     assert {tuple(r) for r in rows} == {(i, 4 * N, 7) for i, _, _ in images}
     assert pairs == [(12, 4)]
+
+
+def test_cells_meet_discs_once(spark, discs_met):
+    cells = [(1, 0.0, 0.0, "usable")]
+    plants = [(k + 1, 10.0, 10.0, 5.0) for k in range(N)] + [(N + k + 1, 200.0, 0.0, None) for k in range(N)]
+    blobs = [(1, k, 0.5, 0.5, 0.01) for k in range(N)] + [(1, N + k, 0.95, 0.95, 0.01) for k in range(N)]
+    row = runs.scout_cells(
+        spark.createDataFrame(cells, "cell long, x double, y double, issue string"), spark.createDataFrame(blobs, "cell long, blob long, u double, v double, area_fraction double"),
+        spark.createDataFrame(plants, "id long, x double, y double, radius double"), 200.0, 150.0, T.Calibration(1.0, 1.0),
+    ).collect()[0]
+    assert row["full"] == list(range(1, N + 1)) and row["partial"] == list(range(N + 1, 2 * N + 1))
+    assert row["candidates"] == N and len(row["points"]) == N
+    assert max(discs_met) <= 2

@@ -30,7 +30,8 @@ def greedy_pairs(pairs: DataFrame, left: str, right: str, order: list[str]) -> D
         taken = won if taken is None else taken.unionByName(won)
         if won.isEmpty():
             return taken
-        open_ = marked.select(columns).join(won.select(left), left, "left_anti").join(won.select(right), right, "left_anti")
+        # estimates made before rows were multiplied would broadcast them: joins here are merged
+        open_ = marked.select(columns).join(won.select(left).hint("merge"), left, "left_anti").join(won.select(right).hint("merge"), right, "left_anti")
 
 
 def in_turn(options: DataFrame, agent: str, turn: str, item: str, rank: list[str]) -> DataFrame:
@@ -64,22 +65,36 @@ def _clear(sites: DataFrame, obstacles: DataFrame, zones: list, margin: float) -
         places = places.where(Z.evaluate(zones, "centers", F.col("x"), F.col("y"), F.lit(margin))["allowed"])
     places = cut(places)
     near = geometry.nearest_edges(places, obstacles)
-    found = places.join(near, "id", "left").withColumn("clearance_mm", F.coalesce(F.col("edge") - margin, F.lit(10_000.0)))
+    found = places.join(near.hint("merge"), "id", "left").withColumn("clearance_mm", F.coalesce(F.col("edge") - margin, F.lit(10_000.0)))
     return found.where(F.col("clearance_mm") >= 0).select("x", "y", "clearance_mm")
 
 
+#: The distances in millimetres between which options are made together, up to the reach of candidates.
+BANDS = (0.0, 25.0, 50.0, 100.0, 200.0)
+
+
 def safe_sites(points: DataFrame, obstacles: DataFrame, zones: list, bed: tuple[float, float, float, float], baseline: float, margin: float, cutoff: Column | None = None) -> DataFrame:
     """pln7: per soil point (id, x, y, updated_at) the nearest clear capture site, no site twice: id, site_x, site_y, distance_mm, clearance_mm.
 
     Points without a date, or measured at the cutoff or later, are left alone.
-    Among all pairs the nearest goes first, ties by point, then x and y.
+    Among all pairs the nearest goes first, ties by point, then x and y. So what
+    is nearer than a distance is settled before any option beyond it is made, and
+    only points that are left, and sites that are, go on to the next band.
     """
     old = points.where(F.col("updated_at").isNotNull() & (F.lit(True) if cutoff is None else F.col("updated_at") < cutoff))
     reach = margin + 2 * baseline
-    options = runs.soil_candidates(old.select("id", "x", "y"), bed, baseline)
-    options = options.join(_clear(options, obstacles, zones, reach), ["x", "y"])
-    places = options.select("id", F.col("x").alias("site_x"), F.col("y").alias("site_y"), "distance_mm", "clearance_mm", F.struct(F.rint(F.col("x") * 1000), F.rint(F.col("y") * 1000)).alias("site"))
-    return greedy_pairs(places, "id", "site", ["distance_mm", "id", "site_x", "site_y"]).drop("site")
+    site = F.struct(F.rint(F.col("x") * 1000), F.rint(F.col("y") * 1000))
+    left, taken = cut(old.select("id", "x", "y")), None
+    for low, high in zip(BANDS, BANDS[1:], strict=False):
+        options = runs.soil_candidates(left, bed, baseline, reach=high, least=low)
+        options = options.join(_clear(options, obstacles, zones, reach).hint("merge"), ["x", "y"])
+        places = options.select("id", F.col("x").alias("site_x"), F.col("y").alias("site_y"), "distance_mm", "clearance_mm", site.alias("site"))
+        if taken is not None:
+            places = places.join(taken.select("site").hint("merge"), "site", "left_anti")
+        won = greedy_pairs(places, "id", "site", ["distance_mm", "id", "site_x", "site_y"])
+        taken = won if taken is None else taken.unionByName(won)
+        left = cut(left.join(won.select("id").hint("merge"), "id", "left_anti"))
+    return taken.drop("site")
 
 
 def axis_grid(spacing: float, low: float, high: float) -> list[float]:

@@ -208,11 +208,11 @@ def soil_heights(triplets: DataFrame, slope: float, intercept: float, residual:
     return rows.select("measurement_id", valid.alias("valid"), "reason", show(F.rint(F.col("camera_z") + direction * median("d"))).alias("proposed_z"), show(F.col("uncertainty")).alias("uncertainty"), show(F.least(F.lit(0.99), F.greatest(F.lit(0.0), sure))).alias("confidence"))
 
 
-def soil_candidates(points: DataFrame, bed: tuple[float, float, float, float], baseline: float, reach: float = 200.0, spacing: float = 25.0) -> DataFrame:
-    """pln9: per point (id, x, y) the lattice places nearer than reach, on the bed, where a triplet along y fits."""
+def soil_candidates(points: DataFrame, bed: tuple[float, float, float, float], baseline: float, reach: float = 200.0, spacing: float = 25.0, least: float = 0.0) -> DataFrame:
+    """pln9: per point (id, x, y) the lattice places nearer than reach, and not nearer than least, on the bed, where a triplet along y fits."""
     k = math.ceil(reach / spacing)
     steps = [(i * spacing, j * spacing) for i in range(-k, k + 1) for j in range(-k, k + 1)]
-    offsets = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i, j in steps if math.hypot(i, j) < reach])).alias("o")
+    offsets = F.explode(F.array(*[F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i, j in steps if least <= math.hypot(i, j) < reach])).alias("o")
     y0, y1 = bed[1], bed[3]
     y = F.col("y")
     fits = ((y - baseline >= y0) & (y + baseline <= y1)) | (y + 2 * baseline <= y1) | (y - 2 * baseline >= y0)

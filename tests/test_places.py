@@ -69,3 +69,21 @@ def test_cells_meet_discs_once(spark, discs_met):
     assert row["full"] == list(range(1, N + 1)) and row["partial"] == list(range(N + 1, 2 * N + 1))
     assert row["candidates"] == N and len(row["points"]) == N
     assert max(discs_met) <= 2
+
+
+def test_only_points_that_are_left_see_further_sites(spark, monkeypatch):
+    made = []
+    candidates = runs.soil_candidates
+
+    def counted(*args, **more):
+        found = candidates(*args, **more)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(runs, "soil_candidates", counted)
+    points = [(k, 500.0 + 400 * k, 500.0, dt.datetime(2024, 1, 1)) for k in range(20)]
+    discs = [(500.0, 500.0, 60.0)]
+    rows = assignment.safe_sites(spark.createDataFrame(points, "id long, x double, y double, updated_at timestamp"), spark.createDataFrame(discs, "x double, y double, radius double"), [], (0.0, 0.0, 9000.0, 1000.0), 12.0, 20.0).collect()
+    assert {r["id"]: r["distance_mm"] for r in rows if r["id"]} == {k: 0.0 for k in range(1, 20)}
+    assert next(r["distance_mm"] for r in rows if r["id"] == 0) == 106.06601717798213
+    assert made[0] == 20 and sum(made) < 250

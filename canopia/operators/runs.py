@@ -63,17 +63,18 @@ def match_frames(targets: DataFrame, frames: DataFrame, tolerance: float = 25.0)
     targets: run, target_index, x, y, z. frames: run, seq, image_id, x, y, z,
     declared. In order of seq a frame takes the target that it declares, else the
     nearest one within the tolerance, unless an earlier frame has it. Spark finds
-    the candidates; the fold holds one run's.
+    the candidates; the fold holds one run's. Targets may number many times what
+    they are made from, so they are merged, never broadcast.
     """
     good = frames.where("image_id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
-    named = good.where("declared IS NOT NULL").join(targets.select("run", F.col("target_index").alias("declared")), ["run", "declared"])
+    named = good.where("declared IS NOT NULL").join(targets.select("run", F.col("target_index").alias("declared")).hint("merge"), ["run", "declared"])
     named = named.select("run", "seq", "image_id", F.col("declared").cast("long").alias("target_index"), F.lit(0.0).alias("distance"))
     cell = lambda c: F.floor(F.col(c) / tolerance)
     steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _AROUND]))
     around = targets.select("run", "target_index", F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz"), (cell("x")).alias("_x"), cell("y").alias("_y"), steps.alias("d"))
     around = around.select("run", "target_index", "tx", "ty", "tz", (F.col("_x") + F.col("d.i")).alias("_x"), (F.col("_y") + F.col("d.j")).alias("_y"))
     gap = F.sqrt((F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2 + (F.col("z") - F.col("tz")) ** 2)
-    near = good.where("declared IS NULL").withColumns({"_x": cell("x"), "_y": cell("y")}).join(around, ["run", "_x", "_y"]).withColumn("distance", gap).where(F.col("distance") <= tolerance)
+    near = good.where("declared IS NULL").withColumns({"_x": cell("x"), "_y": cell("y")}).join(around.hint("merge"), ["run", "_x", "_y"]).withColumn("distance", gap).where(F.col("distance") <= tolerance)
     pairs = named.unionByName(near.select("run", "seq", "image_id", F.col("target_index").cast("long").alias("target_index"), "distance"))
 
     free = pairs.groupBy("run", "seq", "image_id").agg(F.array_sort(F.collect_list(F.struct("distance", "target_index"))).alias("t"))

@@ -71,6 +71,21 @@ def test_cells_meet_discs_once(spark, discs_met):
     assert max(discs_met) <= 2
 
 
+def _broadcasts(frame):
+    return frame._jdf.queryExecution().toString().count("BroadcastHashJoin")
+
+
+def test_targets_are_not_broadcast(spark, tmp_path):
+    """Thirty targets a run are estimated at the size of the few rows that they come from."""
+    path = str(tmp_path / "runs")
+    spark.range(64).select(F.col("id").alias("run")).write.parquet(path)
+    targets = spark.read.parquet(path).select("run", F.explode(F.sequence(F.lit(0), F.lit(30))).alias("target_index")).select("run", "target_index", *[(F.col("target_index") * 40.0).alias(c) for c in "xyz"])
+    frames = spark.range(640).select((F.col("id") % 64).alias("run"), F.col("id").alias("seq"), F.col("id").alias("image_id"), *[(F.col("id") % 31 * 40.0 + 1).alias(c) for c in "xyz"], F.when(F.col("id") % 5 == 0, F.col("id") % 31).alias("declared"))
+    rows = runs.match_frames(targets, frames)
+    assert not _broadcasts(rows)
+    assert rows.count() > 0
+
+
 def test_only_points_that_are_left_see_further_sites(spark, monkeypatch):
     made = []
     candidates = runs.soil_candidates

@@ -108,18 +108,22 @@ def clear_site(weeds: DataFrame, obstacles: DataFrame, anchors: DataFrame, bed:
     clear zone, and closer than reach to an anchor: innermost ring, largest clearance, smallest angle.
 
     The weed is one of the obstacles, so a clearance is at most its ring; only
-    obstacles that near can matter and are joined.
+    obstacles that near can matter and are joined. Weeds that coincide are
+    settled once, by their smallest id; of obstacles that coincide the widest
+    counts, of anchors the one of the smallest id.
     """
+    every = weeds.select(F.col("id").cast("long").alias("own_id"), "x", "y")
+    first = every.groupBy("x", "y").agg(F.min("own_id").alias("weed_id"))
     rings = F.explode(F.sequence(F.lit(75), F.lit(325), F.lit(25)))
-    spots = weeds.select(F.col("id").cast("long").alias("weed_id"), "x", "y", rings.alias("ring")).select("*", F.explode(F.sequence(F.lit(0), F.lit(345), F.lit(15))).alias("angle"))
+    spots = first.select("weed_id", "x", "y", rings.alias("ring")).select("*", F.explode(F.sequence(F.lit(0), F.lit(345), F.lit(15))).alias("angle"))
     rad = F.col("angle") * (math.pi / 180)
     # a spot's number holds its weed, ring and angle: joins compare one long
     number = (F.col("weed_id") * 1000 + F.col("ring")) * 1000 + F.col("angle")
     spots = spots.select(number.alias("id"), (F.col("x") + F.col("ring") * F.cos(rad)).alias("x"), (F.col("y") + F.col("ring") * F.sin(rad)).alias("y"))
     spots = spots.where(F.col("x").between(0, bed[0]) & F.col("y").between(0, bed[1]))
-    discs = obstacles.select("x", "y", (F.col("radius") + clear).alias("reach"))
+    discs = obstacles.groupBy("x", "y").agg((F.max("radius") + clear).alias("reach"))
     free = spots.join(geometry.reached(spots, discs, 100.0, strict=True), "id", "left_anti")
-    near = geometry.within(free.select("id", "x", "y"), anchors.select("id", "x", "y"), reach).where(F.col("distance") < reach)
+    near = geometry.within(free.select("id", "x", "y"), anchors.groupBy("x", "y").agg(F.min("id").alias("id")), reach).where(F.col("distance") < reach)
     best = near.groupBy("id", "x", "y").agg(F.min(F.struct("distance", "o_id")).alias("a"))
     weed, ring, angle = F.expr("id div 1000000"), F.expr("id div 1000 % 1000"), F.expr("id % 1000")
     inner = best.withColumns({"weed_id": weed, "ring": ring}).withColumn("_r", F.min("ring").over(W.partitionBy("weed_id"))).where("ring = _r")
@@ -128,4 +132,5 @@ def clear_site(weeds: DataFrame, obstacles: DataFrame, anchors: DataFrame, bed:
     gaps = around.groupBy("id").agg(F.min(F.col("gap") - F.col("reach") + margin).alias("clearance"))
     ranked = inner.join(gaps, "id", "left").withColumn("clearance", F.round(F.coalesce("clearance", F.lit(margin)), 6))
     chosen = ranked.groupBy("weed_id").agg(F.min(F.struct("ring", -F.col("clearance"), angle.alias("angle"), "x", "y", "clearance", F.col("a.o_id").alias("anchor_id"))).alias("s"))
-    return chosen.select(F.col("weed_id").alias("id"), F.col("s.ring").cast("int").alias("ring"), F.col("s.angle").cast("int").alias("angle"), "s.x", "s.y", "s.clearance", "s.anchor_id")
+    settled = every.join(first, ["x", "y"]).select("own_id", "weed_id").join(chosen, "weed_id")
+    return settled.select(F.col("own_id").alias("id"), F.col("s.ring").cast("int").alias("ring"), F.col("s.angle").cast("int").alias("angle"), "s.x", "s.y", "s.clearance", "s.anchor_id")

@@ -58,6 +58,17 @@ def test_images_and_plants_of_a_place(spark, pairs):
     assert pairs == [(12, 4)]
 
 
+def test_clear_sites_of_a_place(spark, pairs, discs_met):
+    weeds = [(k + 1, 500.0, 500.0) for k in range(N)]
+    discs, anchors = [(500.0, 500.0, 10.0 + k % 5) for k in range(N)], [(k + 3, 500.0, 600.0) for k in range(N)]
+    rows = planning.clear_site(
+        spark.createDataFrame(weeds, "id long, x double, y double"), spark.createDataFrame(discs, "x double, y double, radius double"), spark.createDataFrame(anchors, "id long, x double, y double"), (1000.0, 1000.0)
+    ).collect()
+    assert {(r["id"], r["ring"], r["anchor_id"]) for r in rows} == {(i, 100, 3) for i, _, _ in weeds}
+    assert len({(r["angle"], r["x"], r["y"], r["clearance"]) for r in rows}) == 1 and rows[0]["clearance"] == 100 - 14 - 75
+    assert pairs[0][1] == 1 and max(discs_met) <= 24 * 11
+
+
 def test_cells_meet_discs_once(spark, discs_met):
     cells = [(1, 0.0, 0.0, "usable")]
     plants = [(k + 1, 10.0, 10.0, 5.0) for k in range(N)] + [(N + k + 1, 200.0, 0.0, None) for k in range(N)]

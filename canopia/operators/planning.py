@@ -24,13 +24,17 @@ def soil_height(places: DataFrame, samples: DataFrame, reach: float = 500.0) ->
 
     Inverse squared distance, not under 1 mm; a sample closer than half a
     millimetre wins outright. Moments are summed about the nearest sample's
-    height, so the spread does not cancel.
+    height, so the spread does not cancel. Samples that coincide go as one, with
+    their number, mean and variance, and places that coincide are asked once.
     """
-    near = geometry.within(places.select("id", "x", "y"), samples.select("x", "y", "z"), reach)
+    heights = samples.where("x IS NOT NULL AND y IS NOT NULL").groupBy("x", "y").agg(F.count("*").alias("n"), F.count("z").alias("known"), F.min("z").alias("low"), F.avg("z").alias("mean"), F.var_pop("z").alias("bend"))
+    near = geometry.within(places.select("x", "y").distinct(), heights, reach)
     w = 1 / F.pow(F.greatest(F.col("distance"), F.lit(1.0)), F.lit(2.0))
-    base = F.min_by("o_z", F.struct("distance", "o_z")).over(W.partitionBy("id"))
-    near = near.withColumns({"w": w, "base": base}).withColumn("dz", F.col("o_z") - F.col("base"))
-    sums = near.groupBy("id").agg(F.count("*").alias("samples"), F.min("distance").alias("nearest_mm"), F.first("base").alias("base"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("dz")).alias("wz"), F.sum(F.col("w") * F.col("dz") * F.col("dz")).alias("wzz"))
+    base = F.min_by("o_low", F.struct("distance", "o_low")).over(W.partitionBy("x", "y"))
+    near = near.withColumns({"w": w, "base": base}).withColumn("dz", F.col("o_mean") - F.col("base"))
+    known = F.col("w") * F.col("o_known")
+    sums = near.groupBy("x", "y").agg(F.sum("o_n").alias("samples"), F.min("distance").alias("nearest_mm"), F.first("base").alias("base"), F.sum(F.col("w") * F.col("o_n")).alias("w"), F.sum(known * F.col("dz")).alias("wz"), F.sum(known * (F.col("dz") * F.col("dz") + F.col("o_bend"))).alias("wzz"))
+    sums = places.select("id", "x", "y").join(sums, ["x", "y"])
     exact = F.col("nearest_mm") < 0.5
     mean = F.col("wz") / F.col("w")
     spread = F.sqrt(F.greatest(F.lit(0.0), F.col("wzz") / F.col("w") - mean * mean))

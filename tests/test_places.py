@@ -58,6 +58,21 @@ def test_images_and_plants_of_a_place(spark, pairs):
     assert pairs == [(12, 4)]
 
 
+def test_soil_heights_of_a_place(spark, pairs):
+    rng = random.Random(5)
+    places = [(1, 0.0, 0.0), (2, 0.0, 0.0), (3, 30.0, 40.0), (4, 5000.0, 0.0)]
+    samples = [(x, y, round(rng.uniform(-9, 9), 2)) for x, y in ((10.0, 0.0), (0.0, 20.0), (30.0, 40.0)) for _ in range(N)]
+    found = {r["id"]: r for r in planning.soil_height(spark.createDataFrame(places, "id long, x double, y double"), spark.createDataFrame(samples, "x double, y double, z double")).collect()}
+    assert set(found) == {1, 2, 3} and pairs == [(6, 3)]
+    for k in (1, 2):
+        w = [1 / max(1.0, math.hypot(x, y)) ** 2 for x, y, _ in samples]
+        mean = sum(a * s[2] for a, s in zip(w, samples, strict=True)) / sum(w)
+        spread = math.sqrt(sum(a * (s[2] - mean) ** 2 for a, s in zip(w, samples, strict=True)) / sum(w))
+        assert (found[k]["samples"], found[k]["nearest_mm"], found[k]["method"]) == (3 * N, 10.0, "interpolated")
+        assert found[k]["z"] == pytest.approx(mean, abs=1e-9) and found[k]["spread_mm"] == pytest.approx(spread, abs=1e-9)
+    assert (found[3]["samples"], found[3]["method"], found[3]["z"]) == (1, "exact", min(z for x, _, z in samples if x == 30))
+
+
 def test_clear_sites_of_a_place(spark, pairs, discs_met):
     weeds = [(k + 1, 500.0, 500.0) for k in range(N)]
     discs, anchors = [(500.0, 500.0, 10.0 + k % 5) for k in range(N)], [(k + 3, 500.0, 600.0) for k in range(N)]

@@ -102,9 +102,10 @@ def axis_groups(rows: DataFrame, key: str, value: str, tolerance: float = 25.0)
 
 def measurement_target(places: DataFrame, points: DataFrame, reach: float = 200.0) -> DataFrame:
     """pln11: per place (id, x, y) the nearest point closer than reach and its distance, or point 0."""
-    near = geometry.within(places.select("id", "x", "y"), points.select("id", "x", "y"), reach).where(F.col("distance") < reach)
-    best = near.groupBy("id").agg(F.min(F.struct("distance", "o_id")).alias("b"))
-    return places.select("id").join(best, "id", "left").select("id", F.coalesce("b.o_id", F.lit(0)).alias("point_id"), F.coalesce("b.distance", F.lit(0.0)).alias("moved_mm"))
+    spots = points.groupBy("x", "y").agg(F.min("id").alias("id"))  # of points that coincide the smallest id wins
+    near = geometry.within(places.select("x", "y").distinct(), spots, reach).where(F.col("distance") < reach)
+    best = near.groupBy("x", "y").agg(F.min(F.struct("distance", "o_id")).alias("b"))
+    return places.select("id", "x", "y").join(best, ["x", "y"], "left").select("id", F.coalesce("b.o_id", F.lit(0)).alias("point_id"), F.coalesce("b.distance", F.lit(0.0)).alias("moved_mm"))
 
 
 def clear_site(weeds: DataFrame, obstacles: DataFrame, anchors: DataFrame, bed: tuple[float, float], clear: float = 75.0, reach: float = 200.0) -> DataFrame:

@@ -73,6 +73,13 @@ def test_soil_heights_of_a_place(spark, pairs):
     assert (found[3]["samples"], found[3]["method"], found[3]["z"]) == (1, "exact", min(z for x, _, z in samples if x == 30))
 
 
+def test_targets_of_a_place(spark, pairs):
+    places, points = _rows([(0.0, 0.0), (900.0, 0.0)]), _rows([(3.0, 4.0), (60.0, 0.0)], 11)
+    rows = planning.measurement_target(spark.createDataFrame(places, "id long, x double, y double"), spark.createDataFrame(points, "id long, x double, y double")).collect()
+    assert {tuple(r) for r in rows} == {(i, 11, 5.0) if x == 0 else (i, 0, 0.0) for i, x, _ in places}
+    assert pairs == [(2, 2)]
+
+
 def test_clear_sites_of_a_place(spark, pairs, discs_met):
     weeds = [(k + 1, 500.0, 500.0) for k in range(N)]
     discs, anchors = [(500.0, 500.0, 10.0 + k % 5) for k in range(N)], [(k + 3, 500.0, 600.0) for k in range(N)]

@@ -31,7 +31,8 @@ def nearest_edges(places: DataFrame, obstacles: DataFrame, first: float = 400.0)
 
     The search doubles its reach, and only places go on whose nearest edge so
     far might be beaten by the widest obstacle out of reach; it ends when all is
-    settled or the reach spans everything.
+    settled or the reach spans everything. Places that coincide are one, and so
+    are obstacles, of which the widest counts.
     """
     bounds = [F.min("x"), F.max("x"), F.min("y"), F.max("y")]
     extent = places.select("x", "y").unionByName(obstacles.select("x", "y")).agg(*bounds).first()
@@ -39,17 +40,19 @@ def nearest_edges(places: DataFrame, obstacles: DataFrame, first: float = 400.0)
     if widest is None or extent[0] is None:
         return places.select("id", F.lit(None).cast("double").alias("edge")).limit(0)
     span = math.hypot(extent[1] - extent[0], extent[3] - extent[2])
-    discs, rest, reach, found = cut(obstacles.select("x", "y", "radius")), places.select("id", "x", "y"), first, None
+    discs = cut(obstacles.groupBy("x", "y").agg(F.max("radius").alias("radius")))
+    rest, reach, found = cut(places.select("x", "y").distinct()), first, None
     while True:
-        near = within(rest, discs, reach).groupBy("id").agg(F.min(F.col("distance") - F.col("o_radius")).alias("edge"))
+        near = within(rest, discs, reach).groupBy("x", "y").agg(F.min(F.col("distance") - F.col("o_radius")).alias("edge"))
         near = cut(near if reach >= span else near.where(F.col("edge") <= reach - widest))
         found = near if found is None else found.unionByName(near)
         if reach >= span:
-            return found
-        rest = cut(rest.join(near, "id", "left_anti"))
+            break
+        rest = cut(rest.join(near, ["x", "y"], "left_anti"))
         if rest.isEmpty():
-            return found
+            break
         reach *= 2
+    return places.select("id", "x", "y").join(found, ["x", "y"]).groupBy("id").agg(F.min("edge").alias("edge"))
 
 
 def clearance(places: DataFrame, obstacles: DataFrame, baseline: float, zones: list | None = None, first: float = 400.0) -> DataFrame:

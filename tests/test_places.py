@@ -91,6 +91,14 @@ def test_clear_sites_of_a_place(spark, pairs, discs_met):
     assert pairs[0][1] == 1 and max(discs_met) <= 24 * 11
 
 
+@pytest.mark.parametrize("away", [0.0, 5000.0])
+def test_nearest_edges_of_a_place(spark, pairs, away):
+    places, discs = _rows(_near(3)), [(away + 50.0, 0.0, 1.0 + k % 7) for k in range(N)]
+    rows = geometry.nearest_edges(spark.createDataFrame(places, "id long, x double, y double"), spark.createDataFrame(discs, "x double, y double, radius double")).collect()
+    assert {r["id"]: r["edge"] for r in rows} == {i: math.sqrt((x - away - 50) ** 2 + y * y) - 7 for i, x, y in places}
+    assert all(n <= 3 and right == 1 for n, right in pairs)
+
+
 def test_cells_meet_discs_once(spark, discs_met):
     cells = [(1, 0.0, 0.0, "usable")]
     plants = [(k + 1, 10.0, 10.0, 5.0) for k in range(N)] + [(N + k + 1, 200.0, 0.0, None) for k in range(N)]

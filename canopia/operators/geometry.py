@@ -26,6 +26,17 @@ def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return pairs.withColumn("distance", F.sqrt((F.col("x") - F.col("o_x")) * (F.col("x") - F.col("o_x")) + (F.col("y") - F.col("o_y")) * (F.col("y") - F.col("o_y")))).where(F.col("distance") <= radius)
 
 
+def linked(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
+    """q41: (id, o_id) of all pairs of rows (id, x, y) closer than radius.
+
+    Distances are taken between distinct places only; a pair of places then meets
+    its rows on each side, so the work beyond the places is the output's.
+    """
+    near = within(left.select("x", "y").distinct(), right.select("x", "y").distinct(), radius)
+    mine = left.select("id", "x", "y").join(near, ["x", "y"]).select("id", "o_x", "o_y")
+    return mine.join(right.select(F.col("id").alias("o_id"), F.col("x").alias("o_x"), F.col("y").alias("o_y")).hint("merge"), ["o_x", "o_y"]).select("id", "o_id")
+
+
 def nearest_edges(places: DataFrame, obstacles: DataFrame, first: float = 400.0) -> DataFrame:
     """(id, edge): how far the nearest edge of an obstacle (x, y, radius) lies from each place; places without any are left out.
 

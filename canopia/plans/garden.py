@@ -43,7 +43,7 @@ PLANS = {
 AND NOT EXISTS (SELECT 1 FROM soil_measurements n WHERE m.point_id > 0 AND n.point_id = m.point_id AND (n.created_at > m.created_at OR (n.created_at = m.created_at AND n.measurement_id > m.measurement_id)))
 AND NOT EXISTS (SELECT 1 FROM soil_measurements n WHERE m.point_id = 0 AND abs(n.capture_x - m.capture_x) <= 0.001 AND abs(n.capture_y - m.capture_y) <= 0.001 AND (n.created_at > m.created_at OR (n.created_at = m.created_at AND n.measurement_id > m.measurement_id)))
 AND NOT EXISTS (SELECT 1 FROM soil_decisions d WHERE d.measurement_id = m.measurement_id AND d.action = 'automatic_retry_started' AND d.created_at > TIMESTAMP '{RETRY}')"""),
-    "q41": (_of("plants", "weeds")(lambda p, w: geometry.within(w.select("id", "x", "y"), p.select("id", "x", "y"), 200.0).select("id", "o_id")),
+    "q41": (_of("plants", "weeds")(lambda p, w: geometry.linked(w, p, 200.0)),
             "SELECT w.id, p.id AS o_id FROM weeds w JOIN plants p ON sqrt((w.x - p.x) * (w.x - p.x) + (w.y - p.y) * (w.y - p.y)) <= 200"),
     "agg2": (_of("measurements")(lambda m: store.weighted_median(m, "plant_id", "recommended_mm", "visible_fraction", "median_mm")),
              "WITH s AS (SELECT plant_id, recommended_mm, sum(CAST(visible_fraction AS DECIMAL(20,12))) OVER (PARTITION BY plant_id ORDER BY recommended_mm) AS run, sum(CAST(visible_fraction AS DECIMAL(20,12))) OVER (PARTITION BY plant_id) AS total FROM measurements) SELECT plant_id, CASE WHEN max(total) <= 0 THEN max(recommended_mm) ELSE min(CASE WHEN 2 * run >= total THEN recommended_mm END) END AS median_mm FROM s GROUP BY plant_id"),

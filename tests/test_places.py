@@ -99,6 +99,14 @@ def test_nearest_edges_of_a_place(spark, pairs, away):
     assert all(n <= 3 and right == 1 for n, right in pairs)
 
 
+def test_pairs_are_whole(spark, pairs):
+    left, right = _rows([(0.0, 0.0), (90.0, 0.0)]), _rows([(0.0, 10.0), (100.0, 0.0)], 500)
+    frames = [spark.createDataFrame(r, "id long, x double, y double") for r in (left, right)]
+    rows = [tuple(r) for r in geometry.linked(*frames, 20.0).collect()]
+    assert sorted(rows) == sorted((i, o) for i, x, y in left for o, a, b in right if math.hypot(x - a, y - b) <= 20)
+    assert pairs == [(2, 2)]
+
+
 def test_cells_meet_discs_once(spark, discs_met):
     cells = [(1, 0.0, 0.0, "usable")]
     plants = [(k + 1, 10.0, 10.0, 5.0) for k in range(N)] + [(N + k + 1, 200.0, 0.0, None) for k in range(N)]

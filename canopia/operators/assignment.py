@@ -125,10 +125,11 @@ def measurement_grid(
     spark = points.sparkSession
     # a plan's places are at most MOST_PLACES
     grid = spark.createDataFrame([(k * len(xs) + i, x, y) for k, y in enumerate(ys) for i, x in enumerate(xs)], "turn long, x double, y double")
-    near = geometry.within(grid.select(F.col("turn").alias("id"), "x", "y"), points.select("id", "x", "y"), MOST_MOVE).where(F.col("distance") < MOST_MOVE)
-    anchors = in_turn(near.select(F.col("id").alias("turn"), F.col("o_id").alias("point_id"), "distance"), "turn", "turn", "point_id", ["distance", "point_id"])
-    dated = points.select(F.col("id").alias("point_id"), F.col("x").alias("px"), F.col("y").alias("py"), "updated_at")
-    held = cut(grid.join(anchors.select("turn", "point_id"), "turn", "left").join(dated, "point_id", "left"))
+    about = points.where(F.col("x").between(bed[0] - MOST_MOVE, bed[2] + MOST_MOVE) & F.col("y").between(bed[1] - MOST_MOVE, bed[3] + MOST_MOVE))
+    near = geometry.within(grid.select(F.col("turn").alias("id"), "x", "y"), about.select("id", "x", "y", "updated_at"), MOST_MOVE).where(F.col("distance") < MOST_MOVE)
+    near = near.select(F.col("id").alias("turn"), F.col("o_id").alias("point_id"), "distance", F.col("o_x").alias("px"), F.col("o_y").alias("py"), F.col("o_updated_at").alias("updated_at"))
+    anchors = in_turn(near, "turn", "turn", "point_id", ["distance", "point_id"])
+    held = cut(grid.join(anchors.drop("distance"), "turn", "left"))
     recent = F.lit(False) if cutoff is None else F.col("updated_at") >= cutoff
     early = F.when(F.col("point_id").isNull(), "no point").when(F.col("updated_at").isNull(), "no date").when(recent, "recent")
     held = held.withColumn("early", early)

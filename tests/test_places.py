@@ -130,6 +130,14 @@ def test_detections_of_a_place(spark, pairs, discs_met):
     assert pairs[0][0] <= 13 and pairs[0][1] <= 5 and discs_met[0] <= 3 * 25
 
 
+def test_plan_leaves_far_points_alone(spark, pairs):
+    points = [(k, 60.0 + 900 * k, 50.0, dt.datetime(2024, 1, 1)) for k in range(50)]
+    frame = spark.createDataFrame(points, "id long, x double, y double, updated_at timestamp")
+    rows = assignment.measurement_grid(frame, spark.createDataFrame([], "x double, y double, radius double"), [], (0.0, 0.0, 300.0, 100.0), 100.0, 60.0, 12.0, 20.0).collect()
+    assert sorted((r["grid_x"], r["point_id"] if r["point_id"] is not None else -1) for r in rows) == [(50.0, 0), (150.0, -1), (250.0, -1)]
+    assert pairs[0][1] == 1
+
+
 def test_cells_meet_discs_once(spark, discs_met):
     cells = [(1, 0.0, 0.0, "usable")]
     plants = [(k + 1, 10.0, 10.0, 5.0) for k in range(N)] + [(N + k + 1, 200.0, 0.0, None) for k in range(N)]

@@ -26,6 +26,8 @@ from canopia.sources.shared import cut
 SETTINGS = {"least_confidence": 0.35, "views": 2, "single": 0.82, "hours": 6.0, "edge_mm": 20.0, "most_px": 2400}
 #: The least scale of a canvas, the least island in square millimetres, the share of the edge at its border.
 LEAST_PPM, LEAST_MM2, BORDER = 0.25, 12.0, 0.2
+#: Places in a view are compared to a billionth of a pixel.
+DIGITS = 9
 SECTORS = evidence.SECTORS
 
 
@@ -54,14 +56,20 @@ def canvases(views: DataFrame, settings: dict | None = None) -> DataFrame:
 
 
 def to_canvas(to_mm: list[float], min_x: float, min_y: float, ppm: float) -> np.ndarray:
-    """The map from a canvas cell to a pixel, 2 by 3."""
-    a = np.array(to_mm, np.float64).reshape(2, 3) * ppm
-    a[:, 2] -= np.array([min_x, min_y]) * ppm
-    back = np.linalg.inv(a[:, :2])
-    return np.column_stack((back, -back @ a[:, 2]))
+    """The map from a pixel to its place on the canvas, 2 by 3."""
+    a = np.array(to_mm, np.float64).reshape(2, 3)
+    a[:, 2] -= np.array([min_x, min_y])
+    return a * ppm
 
 
-def warp(mask: np.ndarray, back: np.ndarray, columns: int, rows: int, edge_px: float, confidence: float):
+def from_canvas(a: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place in the view (x, y) of canvas cells, by the inverse of the map `a` with its products taken to DIGITS, as decimals are: a cell half-way between two pixels then goes where SQL puts it."""
+    dx, dy = x - a[0, 2], y - a[1, 2]
+    size = a[0, 0] * a[1, 1] - a[0, 1] * a[1, 0]
+    return np.round(a[1, 1] * dx - a[0, 1] * dy, DIGITS) / size, np.round(a[0, 0] * dy - a[1, 0] * dx, DIGITS) / size
+
+
+def warp(mask: np.ndarray, placed: np.ndarray, columns: int, rows: int, edge_px: float, confidence: float):
     """Cells (y, x) of the canvas in which the view has foliage or evidence, both there.
 
     Foliage is the nearest pixel's; evidence is the view's confidence, less
@@ -69,7 +77,7 @@ def warp(mask: np.ndarray, back: np.ndarray, columns: int, rows: int, edge_px: f
     """
     height, width = mask.shape
     x, y = np.meshgrid(np.arange(columns), np.arange(rows))
-    sx, sy = (back[k, 0] * x + back[k, 1] * y + back[k, 2] for k in (0, 1))
+    sx, sy = from_canvas(placed, x, y)
     near_x, near_y = np.rint(sx).astype(np.int64), np.rint(sy).astype(np.int64)
     inside = (near_x >= 0) & (near_x < width) & (near_y >= 0) & (near_y < height)
     seen = np.zeros((rows, columns), bool)
@@ -145,8 +153,7 @@ def _observed(views: DataFrame, outer: DataFrame) -> DataFrame:
                 x, y = np.meshgrid(np.arange(v["columns"]), np.arange(v["rows"]))
                 dx, dy = x / v["ppm"] + v["min_x"], y / v["ppm"] + v["min_y"]
                 far = np.hypot(dx, dy)
-                back = to_canvas(v["to_mm"], v["min_x"], v["min_y"], v["ppm"])
-                sx, sy = (np.rint(back[i, 0] * x + back[i, 1] * y + back[i, 2]) for i in (0, 1))
+                sx, sy = (np.rint(c) for c in from_canvas(to_canvas(v["to_mm"], v["min_x"], v["min_y"], v["ppm"]), x, y))
                 ring = (far >= max(1.0, v["outer_mm"] * 0.75)) & (far <= max(2.0, v["outer_mm"] * 1.05))
                 shown = ring & (sx >= 0) & (sx < v["width"]) & (sy >= 0) & (sy < v["height"])
                 found = np.unique(np.floor(np.mod(np.arctan2(dy, dx)[shown], 2 * math.pi) / (2 * math.pi) * SECTORS).astype(np.int32) % SECTORS)

@@ -121,3 +121,19 @@ def test_planted_shifts(spark):
     found = {r.pair_id: r for r in fusion.registered(spark.createDataFrame(rows, "pair_id long, height int, width int, before binary, after binary")).collect()}
     assert abs(found[1].dx + 11) < 0.2 and abs(found[1].dy - 6) < 0.2 and found[1].response > 0.8
     assert (found[3].dx, found[3].dy, found[4].response) == (0.0, 0.0, 0.0) and found[2].response < 0.3
+
+
+def test_cells_half_way_equal_decimals():
+    """Moves of 7.3 and 5.1 mm at 0.4 pixels a millimetre and a turn of 0.3: products are exact decimals, divided once."""
+    from fractions import Fraction as Q
+
+    cx, cy = np.meshgrid(np.arange(90), np.arange(70))
+    size, ties = Q(10144, 10000), 0
+    for k in range(3):
+        sx, sy = fusion.from_canvas(fusion.to_canvas([2.5, 0.3, k * 7.3 - 80, -0.3, 2.5, k * 5.1 - 60], -80.0, -60.0 - 0.3 * 64, 0.4), cx, cy)
+        for x, y, fx, fy in zip(cx.flat, cy.flat, sx.flat, sy.flat, strict=True):
+            ax, ay = int(x) - k * Q(292, 100), int(y) - k * Q(204, 100) - Q(768, 100)
+            for exact, found in ((ax - ay * Q(12, 100), fx), (ax * Q(12, 100) + ay, fy)):
+                ties += exact / size % 1 == Q(1, 2)
+                assert found == float(exact) / float(size)
+    assert ties > 2

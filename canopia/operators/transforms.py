@@ -85,7 +85,8 @@ def _disc_share(test):
 def visibility(rows: DataFrame, width: int, height: int, cal: Calibration) -> DataFrame:
     """geo5: adds `visible_fraction` of the disc (px, py in pixels, radius in mm) and its `visible_sectors`.
 
-    The share is a sum over the sample's points in Arrow batches; a row stays one row.
+    The share is a sum over the sample's points in Arrow batches; a row stays one
+    row. Discs that coincide in their frames are measured once.
     """
     cos, sin = cal.turn
     kx, ky = cal.sign_x * cal.ppm_x, cal.sign_y * cal.ppm_y
@@ -95,7 +96,8 @@ def visibility(rows: DataFrame, width: int, height: int, cal: Calibration) -> Da
         x, y = px + (vx * cos + vy * sin), py + (vy * cos - vx * sin)
         return (x >= 0) & (x < width) & (y >= 0) & (y < height)
 
-    r = F.greatest(F.lit(1.0), F.col("radius"))
+    rows = rows.withColumn("_r", F.greatest(F.lit(1.0), F.col("radius")))
+    own, r = rows.select("px", "py", "_r").distinct(), F.col("_r")
 
     def seen(u, v):
         ox, oy = world_to_pixel_offset(u * r, v * r, cal)
@@ -105,7 +107,9 @@ def visibility(rows: DataFrame, width: int, height: int, cal: Calibration) -> Da
     angle = lambda k: k * (2 * math.pi / SECTORS)
     sectors = F.filter(F.sequence(F.lit(0), F.lit(SECTORS - 1)), lambda k: seen(F.cos(angle(k)), F.sin(angle(k))))
     share = _disc_share(inside)(F.struct(F.col("px").cast("double").alias("px"), F.col("py").cast("double").alias("py"), r.alias("r")))
-    return rows.withColumns({"visible_fraction": share, "visible_sectors": sectors})
+    found = own.withColumns({"visible_fraction": share, "visible_sectors": sectors}).select(*[F.col(c).alias(f"_{c}") for c in ("px", "py")], F.col("_r").alias("_size"), "visible_fraction", "visible_sectors")
+    same = F.col("px").eqNullSafe(F.col("_px")) & F.col("py").eqNullSafe(F.col("_py")) & (F.col("_r") == F.col("_size"))
+    return rows.join(found, same, "left").drop("_r", "_px", "_py", "_size")
 
 
 def frame_coverage(x: Column, y: Column, radius: Column, frame_x: Column, frame_y: Column, half_width: float, half_height: float, cal: Calibration) -> Column:

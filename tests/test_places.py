@@ -182,3 +182,26 @@ def test_only_points_that_are_left_see_further_sites(spark, monkeypatch):
     assert {r["id"]: r["distance_mm"] for r in rows if r["id"]} == {k: 0.0 for k in range(1, 20)}
     assert next(r["distance_mm"] for r in rows if r["id"] == 0) == 106.06601717798213
     assert made[0] == 20 and sum(made) < 250
+
+
+def test_discs_of_a_frame_are_measured_once(spark, monkeypatch):
+    met = spark.sparkContext.accumulator(0)
+    share = T._disc_share
+
+    def counted(test):
+        first = []
+
+        def met_once(u, v, px, *rest):
+            if not first or first[0] == (u, v):
+                first[:] = [(u, v)]
+                met.add(len(px))
+            return test(u, v, px, *rest)
+
+        return share(met_once)
+
+    monkeypatch.setattr(T, "_disc_share", counted)
+    rows = spark.createDataFrame([(k, 10.0 * (k % 2), 0.0 if k % 2 else None, None if k % 4 == 1 else 1.0) for k in range(200)], "id long, px double, py double, radius double")
+    found = T.visibility(rows, 960, 720, T.Calibration(1.0, 1.0)).select("id", "visible_fraction", F.size("visible_sectors").alias("n")).collect()
+    assert sorted(r["id"] for r in found) == list(range(200))
+    assert len({(r["visible_fraction"], r["n"]) for r in found if r["id"] % 2}) == 1
+    assert 0 < met.value <= 2

@@ -37,6 +37,11 @@ def weighted_median(rows: DataFrame, key: str, value: str, weight: str, out: str
     return marked.groupBy(key).agg(F.when(F.max("_total") <= 0, F.max(value)).otherwise(F.min(F.when(F.col("_run") * 2 >= F.col("_total"), F.col(value)))).alias(out))
 
 
+def _open(measurements: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Pending rows, newest per image, dealt out by plant once for all windows that follow."""
+    return newest_per_image(pending(measurements, decisions).repartition("plant_id"))
+
+
 def review_queue(measurements: DataFrame, decisions: DataFrame, least_confidence: float = 0.0, least_increase: float = 0.0, least_reduction: float = 0.0, limit: int = 100) -> DataFrame:
     """q32: pending rows, newest per image, judged per plant; small changes lose their confidence; newest first, limited last."""
     judged = evidence.consolidate(newest_per_image(pending(measurements, decisions)))
@@ -49,10 +54,8 @@ def review_queue(measurements: DataFrame, decisions: DataFrame, least_confidence
 
 def measurement_rows(measurements: DataFrame, decisions: DataFrame) -> DataFrame:
     """q8: each measurement as it is shown: the plant's newest pending one as the judgement of all pending ones, others as stored."""
-    open_rows = pending(measurements, decisions)
-    judged = evidence.consolidate(newest_per_image(open_rows))
-    head = latest(open_rows, "plant_id", "image_timestamp", "measurement_id").select("measurement_id", "plant_id")
-    shown = head.join(judged.drop("measurement_id"), "plant_id").select("measurement_id", F.struct("absent", "confidence", "radius_mm").alias("j"))
+    judged = evidence.consolidate(_open(measurements, decisions))  # the newest of each image's newest rows is the plant's newest
+    shown = judged.select(F.col("newest_id").alias("measurement_id"), F.struct("absent", "confidence", "radius_mm").alias("j"))
     both = measurements.join(shown, "measurement_id", "left")
     pick = lambda new, old: F.when(F.col("j").isNotNull(), F.col(f"j.{new}")).otherwise(F.col(old)).alias(new)
     return both.select("measurement_id", "plant_id", F.col("j").isNotNull().alias("judged"), pick("absent", "vegetation_absent"), pick("confidence", "confidence"), pick("radius_mm", "recommended_mm"))

@@ -44,7 +44,7 @@ def _open(measurements: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def review_queue(measurements: DataFrame, decisions: DataFrame, least_confidence: float = 0.0, least_increase: float = 0.0, least_reduction: float = 0.0, limit: int = 100) -> DataFrame:
     """q32: pending rows, newest per image, judged per plant; small changes lose their confidence; newest first, limited last."""
-    judged = evidence.consolidate(newest_per_image(pending(measurements, decisions)))
+    judged = evidence.consolidate(_open(measurements, decisions))
     change = F.coalesce("radius_mm", F.lit(0.0)) - F.coalesce("current_mm", F.lit(0.0))
     least = F.when(change > 0, least_increase).otherwise(least_reduction)
     small = ~F.col("absent") & (change != 0) & (F.abs(change) < least)

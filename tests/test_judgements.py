@@ -60,7 +60,7 @@ def test_fused_edges_override(spark):
     assert [(found[k].radius_mm, found[k].confidence, found[k].uncertain) for k in (1, 2, 3)] == [(81.0, 0.7, False), (60.0, 0.8, False), (81.0, 0.7, True)]
 
 
-@pytest.mark.parametrize("name", ["sel1", "sel3", "q8"])
+@pytest.mark.parametrize("name", ["sel1", "sel3", "q8", "q32"])
 def test_plants_are_not_groups_of_their_own(spark, sf_dir, name):
     """A group in pandas costs milliseconds a plant; views are folded over partitions instead."""
     plan = __spark_entry__.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
@@ -77,7 +77,7 @@ def test_views_of_unknown_fit_or_place(spark):
     assert found == {1: ("partial_composite", [0, 1], 36), 2: ("insufficient_partial", [3], 18)}
 
 
-@pytest.mark.parametrize("name", ["agg1", "q8"])
+@pytest.mark.parametrize("name", ["agg1", "q8", "q32"])
 def test_rows_without_a_plant_equal_sql(spark, duck, tmp_path, name):
     duck.execute(f"COPY (SELECT * REPLACE (CASE WHEN event_id % 10 = 0 THEN NULL ELSE user_id END AS user_id) FROM events) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
     con = duckdb.connect()

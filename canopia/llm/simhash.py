@@ -207,7 +207,7 @@ def links(fps: DataFrame, tau: int = 4, heavy: int = HEAVY) -> DataFrame:
 
 def _pairs(left: DataFrame, right: DataFrame, tau: int) -> DataFrame:
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= tau
-    return left.drop("g").join(right.drop("g"), ["key", "block"]).where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
+    return left.drop("g").join(right.drop("g").hint("merge"), ["key", "block"]).where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
 
 
 def bonds(fps: DataFrame, tau: int = 4, heavy: int = HEAVY) -> DataFrame:
@@ -215,6 +215,8 @@ def bonds(fps: DataFrame, tau: int = 4, heavy: int = HEAVY) -> DataFrame:
 
     A value of a dense cell makes a row for each of its neighbours half-way, up
     to 2,081 where all 64 bits vary; an odd tau compares all pairs of a cell.
+    Rows that explode makes are merged: Spark would broadcast them at the size of
+    the rows that they are made from, and the driver holds what is broadcast.
     """
     left, right = (x.drop("g") for x in _candidates(fps.select("fp").distinct(), tau, heavy))
     left, right = cut(left), cut(right)
@@ -225,15 +227,16 @@ def bonds(fps: DataFrame, tau: int = 4, heavy: int = HEAVY) -> DataFrame:
     dense = cut(cells.where((F.col("n") > LEAST_DENSE) & (F.col("n") > reach)).select("key", "block"))
     if tau % 2 or dense.isEmpty():
         return _pairs(left.withColumn("g", F.lit(0)), right.withColumn("g", F.lit(0)), tau)
-    few = F.broadcast(dense) if dense.count() <= MOST_BROADCAST else dense
+    held = F.broadcast if dense.count() <= MOST_BROADCAST else (lambda cells: cells.hint("merge"))
+    few = held(dense)
     thin = [x.join(few, ["key", "block"], "left_anti").withColumn("g", F.lit(0)) for x in (left, right)]
     # probes may come from other keys: all that meet in a dense cell, each with the bits that vary there
     members = left.select("key", "block", F.col("a").alias("fp")).unionByName(right.select("key", "block", F.col("b").alias("fp"))).join(few, ["key", "block"])
     varying = members.groupBy("key", "block").agg(F.expr("bit_or(fp) ^ bit_and(fp)").alias("mask"))
-    own = members.join(F.broadcast(varying) if dense.count() <= MOST_BROADCAST else varying, ["key", "block"]).select("fp", "mask").distinct()
+    own = members.join(held(varying), ["key", "block"]).select("fp", "mask").distinct()
     spots = own.select("fp", F.explode(_within(F.col("fp"), F.col("mask"), half)).alias("spot"))
     least = spots.groupBy("spot").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("spot", "a")
-    met = spots.join(least, "spot").where("a < fp").select("a", F.col("fp").alias("b")).distinct()
+    met = spots.join(least.hint("merge"), "spot").where("a < fp").select("a", F.col("fp").alias("b")).distinct()
     return _pairs(*thin, tau).unionByName(met).distinct()
 
 

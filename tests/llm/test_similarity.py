@@ -225,3 +225,29 @@ def test_passages_of_documents_that_meet_unrelated_smaller_ones(spark):
     found = passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).collect()
     assert {(r.doc_id, r.rep_id) for r in found} == {(61, 60)} | {(i, 80) for i in range(81, 100)}
     assert all(docs[r.doc_id][r.start : r.end] == docs[r.rep_id][r.rep_start : r.rep_end] == (shared if r.doc_id == 61 else near) for r in found)
+
+
+def _broadcast_of_exploded(frame):
+    """Whether the plan that ran broadcasts what it made of exploded rows."""
+    lines = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-*()0123456789")) for line in lines]
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            if any("Generate" in x for x in lines[i:below]):
+                return True
+    return False
+
+
+def test_crowds_are_not_broadcast(spark):
+    """A crowd's values make many rows each; what is kept of those rows is joined without a broadcast, and components stay those of all pairs."""
+    import itertools
+
+    crowd = [sum(1 << 5 * b for b in bits) for n in range(5) for bits in itertools.combinations(range(12), n)]
+    rng = random.Random(8)
+    values = spark.createDataFrame([(v,) for v in {*crowd, *(rng.getrandbits(62) | 1 << 61 for _ in range(50))}], "fp long").coalesce(1)
+    found = simhash.bonds(values)
+    assert len(found.collect()) < len(crowd) * 100
+    joined = {(r.node, r.component) for r in connected_components(found).collect()}
+    assert joined == {(r.node, r.component) for r in connected_components(simhash.links(values)).collect()}
+    assert not _broadcast_of_exploded(found)
